@@ -1 +1,6 @@
+"""All registered queries."""
 
+from riskscope.catalog import changes, profile  # noqa: F401
+from riskscope.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

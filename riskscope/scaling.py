@@ -33,9 +33,14 @@ def hash_bucket(hex_digest: Column) -> Column:
 
 
 def bucketed_position(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    name: str,
+    total_name: str | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row inside its key.
+    """Add the 1-based position of each row inside its key, and on request the rows of the key.
 
     `bucket` must not decrease along `order`. Key columns must not be null.
     """
@@ -43,12 +48,14 @@ def bucketed_position(
     slot = [*keys, "__bucket"]
     offsets = _offsets(tagged.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n")), keys, ["__n"])
     inside = Window.partitionBy(*slot).orderBy(*order)
-    return (
+    placed = (
         tagged.withColumn("__inside", F.row_number().over(inside))
         .join(offsets, slot)
         .withColumn(name, (F.col("__inside") + F.col("__n_before")).cast("long"))
-        .drop("__bucket", "__inside", "__n_before", "__n_total")
     )
+    if total_name:
+        placed = placed.withColumn(total_name, F.col("__n_total"))
+    return placed.drop("__bucket", "__inside", "__n_before", "__n_total")
 
 
 def bucketed_running_sums(
