@@ -192,7 +192,7 @@ def test_blocks(text: Column) -> Column:
     The text is cut before each test header; within a cut, the block starts at the first
     brace after the header. A brace missing from its cut is looked for in what follows.
     """
-    cut = ""
+    cut = "\ue000"
     marked = F.regexp_replace(F.translate(text, cut, ""), f"({TEST_METHOD})", cut + "$1")
     pieces = F.split(marked, cut)
     count = F.size(pieces)
