@@ -30,8 +30,11 @@ PARAMS_LINE = r"(?U)Params:\s*\(([^)]*)\)"
 
 
 def extract(content: Column, pattern: str) -> Column:
-    """First capture of a pattern, trimmed; null when the pattern is absent."""
-    return F.when(content.rlike(pattern), strip_space(F.regexp_extract(content, pattern, 1)))
+    """First capture of a pattern, trimmed; null when the pattern is absent.
+
+    Patterns capture at least one character, so an empty capture means no match.
+    """
+    return strip_space(none_if_empty(F.regexp_extract(content, pattern, 1)))
 
 
 def _typed(params: Column, missing: str) -> Column:
@@ -136,10 +139,8 @@ def response_types(content: Column) -> Column:
 
 
 def hidden_ids(content: Column) -> Column:
-    listed = extract(content, HIDDEN_IDS)
-    return F.when(listed.isNull(), F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(listed, ","), strip_space)
-    )
+    listed = F.transform(F.split(extract(content, HIDDEN_IDS), ","), strip_space)
+    return F.coalesce(listed, F.array().cast("array<string>"))
 
 
 def first_heading(content: Column) -> Column:

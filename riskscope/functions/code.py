@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from riskscope.functions.binding import let
+
 # Constructs that add one to the cyclomatic complexity.
 COMPLEXITY_PATTERNS = [
     r"\bif\b",
@@ -116,7 +118,6 @@ def balanced_block(text: Column) -> Column:
 
     One pass over the tokens with the running depth as state; null when never closed.
     """
-    parts = tokens(text)
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("closed_at")
     )
@@ -134,11 +135,11 @@ def balanced_block(text: Column) -> Column:
             F.when(closes, state["seen"] + 1).otherwise(state["closed_at"]).alias("closed_at"),
         )
 
-    closed_at = F.aggregate(parts, start, step)["closed_at"]
-    return F.when(
-        text.startswith("{") & (closed_at > 0),
-        F.array_join(F.slice(parts, 1, F.greatest(closed_at, F.lit(1))), ""),
-    )
+    def cut(parts: Column) -> Column:
+        closed_at = F.aggregate(parts, start, step)["closed_at"]
+        return let(closed_at, lambda n: F.when(n > 0, F.array_join(F.slice(parts, 1, F.greatest(n, F.lit(1))), "")))
+
+    return F.when(text.startswith("{"), let(tokens(text), cut))
 
 
 def header_pattern(template: str, name: Column) -> Column:
@@ -154,7 +155,7 @@ def _extract(text: Column, pattern: Column, group: int) -> Column:
 def block_after(text: Column, header: Column) -> Column:
     """The balanced block opened by the first match of `header` followed by `{`."""
     opened = _extract(text, F.concat(F.lit(r"(?s)\A.*?"), header, F.lit(r"(\{.*)\z")), 1)
-    return F.when(opened != "", balanced_block(opened))
+    return let(opened, balanced_block)
 
 
 def symbol_block(text: Column, header: Column) -> Column:
@@ -174,7 +175,8 @@ def method_block(class_text: Column, method_name: Column) -> Column:
 def method_body(text: Column, method_name: Column) -> Column:
     """Text between the braces of a method; empty when not found."""
     block = block_after(text, header_pattern(DATASET_METHOD_HEADER, method_name))
-    return F.coalesce(F.substring(block, F.lit(2), F.length(block) - 2), F.lit(""))
+    inner = let(block, lambda b: F.substring(b, F.lit(2), F.length(b) - 2))
+    return F.coalesce(inner, F.lit(""))
 
 
 def indent_block(block: Column) -> Column:
@@ -194,17 +196,23 @@ def test_blocks(text: Column) -> Column:
     """
     cut = "\ue000"
     marked = F.regexp_replace(F.translate(text, cut, ""), f"({TEST_METHOD})", cut + "$1")
-    pieces = F.split(marked, cut)
-    count = F.size(pieces)
-
-    def block(piece: Column, i: Column) -> Column:
-        rest = F.array_join(F.slice(pieces, i + 1, count), "")
-        head = F.regexp_extract(rest, f"(?s)\\A({TEST_METHOD}[^{{]*)\\{{", 1)
-        body = balanced_block(F.substring(rest, F.length(head) + 1, F.length(rest)))
-        whole = F.concat(head, body)
-        return F.when((i > 0) & (head != ""), indent_block(strip_space(whole)))
 
-    return F.filter(F.transform(pieces, block), lambda b: b.isNotNull())
+    def block(pieces: Column, i: Column) -> Column:
+        def complete(rest: Column) -> Column:
+            head = F.regexp_extract(rest, f"(?s)\\A({TEST_METHOD}[^{{]*)\\{{", 1)
+            return let(
+                head,
+                lambda h: F.when(
+                    h != "",
+                    F.concat(h, balanced_block(F.substring(rest, F.length(h) + 1, F.length(rest)))),
+                ),
+            )
+
+        rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
+        return F.when(i > 0, indent_block(strip_space(let(rest, complete))))
+
+    blocks = let(F.split(marked, cut), lambda pieces: F.transform(pieces, lambda _, i: block(pieces, i)))
+    return F.filter(blocks, lambda b: b.isNotNull())
 
 
 def test_name(block: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from riskscope.functions import code
+from riskscope.functions.binding import let
 from riskscope.functions.code import none_if_empty, strip_space
 
 # Patterns over doc comments.
@@ -27,16 +28,16 @@ def _is_type(value: Column, prefix: str) -> Column:
 
 def text_value(value: Column) -> Column:
     """The variant as text when it holds a string, else null."""
-    return F.when(_is_type(value, "STRING"), F.try_variant_get(value, "$", "string"))
+    return let(value, lambda v: F.when(_is_type(v, "STRING"), F.try_variant_get(v, "$", "string")))
 
 
 def text_list(value: Column) -> Column:
     """The variant as a list of texts when it holds a list, else an empty list."""
     empty = F.array().cast("array<string>")
-    return F.when(
-        _is_type(value, "ARRAY"),
-        F.coalesce(F.try_variant_get(value, "$", "array<string>"), empty),
-    ).otherwise(empty)
+    items = let(
+        value, lambda v: F.when(_is_type(v, "ARRAY"), F.try_variant_get(v, "$", "array<string>"))
+    )
+    return F.coalesce(items, empty)
 
 
 def named_argument(args: Column, name: str) -> Column:
@@ -49,17 +50,22 @@ def first_positional(args: Column) -> Column:
 
 def join_path(prefix: Column, path: Column) -> Column:
     """Class prefix and method path with one slash between them."""
-    joined = F.concat(
-        F.regexp_replace(prefix, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", "")
+    joined = lambda p: F.concat(
+        F.regexp_replace(prefix, "/+$", ""), F.lit("/"), F.regexp_replace(p, "^/+", "")
+    )
+    return let(
+        path, lambda p: F.when(prefix == "", p).otherwise(F.replace(joined(p), F.lit("//"), F.lit("/")))
     )
-    return F.when(prefix == "", path).otherwise(F.replace(joined, F.lit("//"), F.lit("/")))
 
 
 def attribute_path(attribute: Column) -> Column:
     """Literal path of a route attribute: the `path` argument, else the first positional one."""
-    named = named_argument(attribute["args"], "path")
-    given = named.isNotNull() & ~F.is_variant_null(named)
-    return text_value(F.when(given, named).otherwise(first_positional(attribute["args"])))
+    args = attribute["args"]
+    value = let(
+        named_argument(args, "path"),
+        lambda named: F.when(named.isNotNull() & ~F.is_variant_null(named), named).otherwise(first_positional(args)),
+    )
+    return text_value(value)
 
 
 def attribute_routes(attributes: Column, prefix: Column) -> Column:
@@ -84,10 +90,10 @@ def class_prefix(attributes: Column, docblock: Column) -> Column:
 
 def doc_verbs(docblock: Column) -> Column:
     listed = F.regexp_extract(docblock, DOC_METHODS, 1)
-    verbs = F.transform(
-        F.split(listed, ","), lambda v: F.upper(F.btrim(strip_space(v), F.lit("'\"")))
+    verbs = lambda text: F.transform(
+        F.split(text, ","), lambda v: F.upper(F.btrim(strip_space(v), F.lit("'\"")))
     )
-    return F.when(listed == "", F.array().cast("array<string>")).otherwise(verbs)
+    return let(listed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(verbs(t)))
 
 
 def _one_route(path: Column, verbs: Column) -> Column:
@@ -99,20 +105,22 @@ def _one_route(path: Column, verbs: Column) -> Column:
 
 def method_routes(attributes: Column, docblock: Column, method_name: Column, prefix: Column) -> Column:
     """Routes of a method: attributes, else doc comment, else the naming convention."""
-    from_attributes = attribute_routes(attributes, prefix)
     doc = F.coalesce(docblock, F.lit(""))
-    doc_path = none_if_empty(F.regexp_extract(doc, DOC_ROUTE, 1))
     conventional = (
         (prefix != "")
         & (method_name != "__construct")
         & (method_name.endswith("Action") | (method_name == "index"))
     )
-    no_verbs = F.array().cast("array<string>")
-    return (
-        F.when(F.size(from_attributes) > 0, from_attributes)
-        .when(doc_path.isNotNull(), _one_route(join_path(prefix, doc_path), doc_verbs(doc)))
-        .when(conventional, _one_route(prefix, no_verbs))
-        .otherwise(F.array().cast(f"array<{ROUTE_TYPE}>"))
+    by_name = F.when(conventional, _one_route(prefix, F.array().cast("array<string>"))).otherwise(
+        F.array().cast(f"array<{ROUTE_TYPE}>")
+    )
+    fallback = let(
+        F.regexp_extract(doc, DOC_ROUTE, 1),
+        lambda path: F.when(path != "", _one_route(join_path(prefix, path), doc_verbs(doc))).otherwise(by_name),
+    )
+    return let(
+        attribute_routes(attributes, prefix),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(fallback),
     )
 
 
@@ -199,6 +207,12 @@ def profile_from_counts(routed: Column, json: Column, render: Column) -> Column:
 
 def class_profile(facts: Column) -> Column:
     """Profile of a class from its method facts."""
-    routed = F.filter(facts, lambda m: F.size(m["routes"]) > 0)
-    having = lambda word: F.size(F.filter(routed, lambda m: mentions(m["response_types"], word)))
-    return profile_from_counts(F.size(routed), having("json"), having("render"))
+
+    def name(routed: Column) -> Column:
+        having = lambda word: F.size(F.filter(routed, lambda m: mentions(m["response_types"], word)))
+        counts = F.struct(
+            F.size(routed).alias("all"), having("json").alias("json"), having("render").alias("render")
+        )
+        return let(counts, lambda c: profile_from_counts(c["all"], c["json"], c["render"]))
+
+    return let(F.filter(facts, lambda m: F.size(m["routes"]) > 0), name)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from riskscope.functions import chunk_text
+from riskscope.functions.binding import let
 from riskscope.functions.code import none_if_empty, strip_space
 
 # Values put in place of route parameters.
@@ -66,12 +67,8 @@ def resolve_route(route: Column) -> Column:
     """
     pieces = F.regexp_extract_all(route, F.lit(r"(?U)(\{\w+\}|[^{]+|\{)"), 1)
     name = lambda p: F.lower(F.regexp_extract(p, r"(?U)^\{(\w+)\}$", 1))
-    resolved = F.transform(
-        pieces,
-        lambda p: F.when(name(p) == "", p).otherwise(
-            F.coalesce(F.try_element_at(literal_map(PARAM_DEFAULTS), name(p)), F.lit(OTHER_PARAM))
-        ),
-    )
+    value = lambda n: F.coalesce(F.try_element_at(literal_map(PARAM_DEFAULTS), n), F.lit(OTHER_PARAM))
+    resolved = F.transform(pieces, lambda p: let(name(p), lambda n: F.when(n == "", p).otherwise(value(n))))
     return F.array_join(resolved, "")
 
 
@@ -107,10 +104,8 @@ def declared_verb(content: Column) -> Column:
     """Preferred verb of the declared list, else its first entry, else null."""
     listed = chunk_text.extract(content, chunk_text.HTTP_VERBS)
     verbs = F.filter(F.transform(F.split(listed, ","), strip_space), lambda v: v != "")
-    preferred = F.filter(
-        F.array(*map(F.lit, VERB_PREFERENCE)), lambda p: F.array_contains(verbs, p)
-    )
-    return F.coalesce(F.get(preferred, F.lit(0)), F.get(verbs, F.lit(0)))
+    preferred = lambda given: F.array_intersect(F.array(*map(F.lit, VERB_PREFERENCE)), given)
+    return let(verbs, lambda given: F.coalesce(F.get(preferred(given), F.lit(0)), F.get(given, F.lit(0))))
 
 
 def marker_verb(content: Column) -> Column:

@@ -7,19 +7,21 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskscope.functions import chunk_text, routes, templates
+from riskscope.functions.code import none_if_empty
 
 CHUNK_COLUMNS = ["project_id", "file_path", "class_name", "pos", "chunk_type", "content"]
 
 
 def template_rows(raw: DataFrame, file: str = "file", html: str = "html") -> DataFrame:
     """Facts of each template as columns, with its two texts."""
-    return (
-        raw.withColumn("__f", templates.template_facts(F.col(html)))
-        .withColumn("description", templates.description(F.col(file), F.col("__f")))
-        .withColumn("content", templates.index_text(F.col(file), F.col("__f")))
-        .withColumn("h1", templates.heading_list(F.col("__f")))
-        .select("*", "__f.*")
-        .drop("__f", html)
+    facts = F.col("__f")
+    read = raw.select("*", templates.template_facts(F.col(html)).alias("__f"))
+    return read.select(
+        *[c for c in raw.columns if c != html],
+        templates.description(F.col(file), facts).alias("description"),
+        templates.index_text(F.col(file), facts).alias("content"),
+        templates.heading_list(facts).alias("h1"),
+        "__f.*",
     )
 
 
@@ -102,37 +104,40 @@ def chunk_metadata(
     """
     c = F.col(content)
     mapping = role_map or {}
-    df = (
-        chunks.where(c.startswith("Méthode '") & c.rlike(chunk_text.METHOD_NAME))
-        .withColumn("method_name", F.regexp_extract(c, chunk_text.METHOD_NAME, 1))
-        .where(F.col("method_name") != "__construct")
-        .withColumn("raw_route", F.when(c.rlike(chunk_text.ROUTE), F.regexp_extract(c, chunk_text.ROUTE, 1)))
-        .withColumn("class_role", class_role)
-        .withColumn("method_role", routes.method_role(c, F.col("class_role")))
-        .withColumn("response_types", chunk_text.response_types(c))
-    )
+    name, route = F.col("method_name"), F.col("raw_route")
     mentions = lambda *words: F.exists("response_types", lambda t: _any(t, words))
-    name = F.col("method_name")
-    return (
-        df.withColumn("cap", F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)))
-        .withColumn("route", routes.resolve_route(F.col("raw_route")))
-        .withColumn("http_verb", routes.http_verb(c, name, F.coalesce("raw_route", F.lit(""))))
-        .withColumn("factory_key", routes.role_key(F.col("method_role"), mapping))
-        .withColumn("class_factory_key", routes.role_key(F.col("class_role"), mapping))
-        .withColumn("role_label", routes.role_label(F.col("factory_key")))
-        .withColumn("class_role_label", routes.role_label(F.col("class_factory_key")))
-        .withColumn("has_render", mentions("render"))
-        .withColumn("has_redirect", mentions("redirect"))
-        .withColumn("has_json", mentions("json"))
-        .withColumn("has_file", mentions("file_download", "binary"))
-        .withColumn("has_export", mentions("export"))
-        .withColumn("is_ajax", c.contains(chunk_text.AJAX_ONLY))
-        .withColumn("form_type", chunk_text.extract(c, chunk_text.FORM_TYPE))
-        .withColumn("has_form", F.col("form_type").isNotNull())
-        .withColumn("voter_attr", chunk_text.extract(c, chunk_text.VOTER))
-        .withColumn("has_voter", F.col("voter_attr").isNotNull())
-        .withColumn("h1", chunk_text.first_heading(c))
-        .withColumn("hidden_ids", chunk_text.hidden_ids(c))
+    first = chunks.where(c.startswith("Méthode '")).select(
+        *[x for x in chunks.columns if x != "class_role"],
+        class_role.alias("class_role"),
+        F.regexp_extract(c, chunk_text.METHOD_NAME, 1).alias("method_name"),
+        none_if_empty(F.regexp_extract(c, chunk_text.ROUTE, 1)).alias("raw_route"),
+        routes.method_role(c, class_role).alias("method_role"),
+        chunk_text.response_types(c).alias("response_types"),
+        chunk_text.extract(c, chunk_text.FORM_TYPE).alias("form_type"),
+        none_if_empty(F.regexp_extract(c, chunk_text.VOTER, 1)).alias("voter_attr"),
+        chunk_text.first_heading(c).alias("h1"),
+        chunk_text.hidden_ids(c).alias("hidden_ids"),
+        c.contains(chunk_text.AJAX_ONLY).alias("is_ajax"),
+    )
+    second = first.where(~name.isin("", "__construct")).select(
+        *first.columns,
+        F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)).alias("cap"),
+        routes.resolve_route(route).alias("route"),
+        routes.http_verb(c, name, F.coalesce(route, F.lit(""))).alias("http_verb"),
+        routes.role_key(F.col("method_role"), mapping).alias("factory_key"),
+        routes.role_key(F.col("class_role"), mapping).alias("class_factory_key"),
+        mentions("render").alias("has_render"),
+        mentions("redirect").alias("has_redirect"),
+        mentions("json").alias("has_json"),
+        mentions("file_download", "binary").alias("has_file"),
+        mentions("export").alias("has_export"),
+        F.col("form_type").isNotNull().alias("has_form"),
+        F.col("voter_attr").isNotNull().alias("has_voter"),
+    )
+    return second.select(
+        *second.columns,
+        routes.role_label(F.col("factory_key")).alias("role_label"),
+        routes.role_label(F.col("class_factory_key")).alias("class_role_label"),
     )
 
 

@@ -10,31 +10,40 @@ from riskscope.operators.changes import BUGFIX_THRESHOLD, attach_change_metrics,
 
 def class_facts(raw: DataFrame) -> DataFrame:
     """Interpreted facts, one row per class; files without a class are dropped."""
-    return (
-        raw.where(F.coalesce("class_name", F.lit("")) != "")
-        .withColumn("class_route_prefix", facts.class_prefix(F.col("class_attributes"), F.col("class_docblock")))
-        .withColumn("class_grants", facts.grants(F.col("class_attributes"), F.col("class_docblock")))
-        .withColumn("method_facts", facts.method_facts(F.col("methods"), F.col("class_route_prefix")))
-        .withColumn(
-            "constructor_params",
-            F.coalesce(
-                F.try_element_at(
-                    F.filter("method_facts", lambda m: m["name"] == "__construct"), F.lit(-1)
-                )["params"],
-                F.array().cast("array<struct<type: string, name: string>>"),
-            ),
-        )
-        .withColumn("properties", code.properties(F.col("content")))
-        .withColumn("controller_profile", facts.class_profile(F.col("method_facts")))
-        .drop("class_attributes", "class_docblock", "methods")
+    no_params = F.array().cast("array<struct<type: string, name: string>>")
+    own = [c for c in raw.columns if c not in ("class_attributes", "class_docblock", "methods")]
+    prefixed = raw.where(F.coalesce("class_name", F.lit("")) != "").select(
+        *own,
+        "methods",
+        facts.class_prefix(F.col("class_attributes"), F.col("class_docblock")).alias("class_route_prefix"),
+        facts.grants(F.col("class_attributes"), F.col("class_docblock")).alias("class_grants"),
+    )
+    read = prefixed.select(
+        *own,
+        "class_route_prefix",
+        "class_grants",
+        facts.method_facts(F.col("methods"), F.col("class_route_prefix")).alias("method_facts"),
+    )
+    constructor = F.try_element_at(F.filter("method_facts", lambda m: m["name"] == "__construct"), F.lit(-1))
+    return read.select(
+        "*",
+        F.coalesce(constructor["params"], no_params).alias("constructor_params"),
+        code.properties(F.col("content")).alias("properties"),
+        facts.class_profile(F.col("method_facts")).alias("controller_profile"),
     )
 
 
 def method_rows(classes: DataFrame) -> DataFrame:
-    """One row per method with its class columns; constructors are left out but still counted."""
+    """One row per method with its class columns; constructors are left out but still counted.
+
+    The outer form keeps Spark from testing the facts for emptiness, which would compute them twice.
+    """
     return (
-        classes.withColumn("nb_methods_in_class", F.size("method_facts").cast("long"))
-        .select("*", F.posexplode("method_facts").alias("method_pos", "m"))
+        classes.select(
+            "*",
+            F.size("method_facts").cast("long").alias("nb_methods_in_class"),
+            F.posexplode_outer("method_facts").alias("method_pos", "m"),
+        )
         .drop("method_facts")
         .where(F.col("m.name") != "__construct")
     )
