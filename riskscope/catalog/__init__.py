@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from riskscope.catalog import changes, code, evaluate, profile  # noqa: F401
+from riskscope.catalog import changes, code, evaluate, plans, profile  # noqa: F401
 from riskscope.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

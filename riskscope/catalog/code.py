@@ -444,7 +444,7 @@ def metadata(spark, sf_dir, role_map=None):
     """Method chunks read back, each with the main role of its class."""
     chunks = all_chunks(spark, sf_dir)
     settings = chunk_ops.class_settings(chunks, ["class_name"])
-    joined = chunks.where(F.col("chunk_type") == "controllers_method").join(settings, "class_name")
+    joined = chunk_ops.method_references(chunks).join(settings, "class_name")
     return chunk_ops.chunk_metadata(joined, F.col("class_role"), role_map)
 
 
@@ -474,4 +474,5 @@ def chunk_metadata(spark, sf_dir):
     FROM profiles JOIN p USING (p_partkey)""",
 )
 def class_settings(spark, sf_dir):
-    return chunk_ops.class_settings(all_chunks(spark, sf_dir), ["class_name"])
+    settings = chunk_ops.class_settings(all_chunks(spark, sf_dir), ["class_name"])
+    return settings.select("class_name", "profile", "class_role")

@@ -95,22 +95,35 @@ def template_chunks(template_table: DataFrame) -> DataFrame:
     )
 
 
+def method_references(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """Method chunks with `method_name` and `raw_route` (null without a route) read from the text."""
+    c = F.col(content)
+    read = chunks.where(c.startswith("Méthode '")).select(
+        "*",
+        F.regexp_extract(c, chunk_text.METHOD_NAME, 1).alias("method_name"),
+        none_if_empty(F.regexp_extract(c, chunk_text.ROUTE, 1)).alias("raw_route"),
+    )
+    return read.where(~F.col("method_name").isin("", "__construct"))
+
+
 def chunk_metadata(
-    chunks: DataFrame, class_role: Column, role_map: Mapping[str, str] | None = None, content: str = "content"
+    references: DataFrame, class_role: Column, role_map: Mapping[str, str] | None = None, content: str = "content"
 ) -> DataFrame:
-    """Method chunks with their fields read back from the text.
+    """`method_references` rows with all fields read back from the text.
 
-    `cap` carries no rank suffix yet; `raw_route` is null for a method without a route.
+    `cap` is the capitalised method name; a `route_rank` column above one adds its suffix.
     """
     c = F.col(content)
     mapping = role_map or {}
     name, route = F.col("method_name"), F.col("raw_route")
     mentions = lambda *words: F.exists("response_types", lambda t: _any(t, words))
-    first = chunks.where(c.startswith("Méthode '")).select(
-        *[x for x in chunks.columns if x != "class_role"],
+    cap = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20))
+    if "route_rank" in references.columns:
+        rank = F.col("route_rank")
+        cap = F.when(rank > 1, F.concat(cap, F.lit("Route"), rank.cast("string"))).otherwise(cap)
+    first = references.select(
+        *[x for x in references.columns if x != "class_role"],
         class_role.alias("class_role"),
-        F.regexp_extract(c, chunk_text.METHOD_NAME, 1).alias("method_name"),
-        none_if_empty(F.regexp_extract(c, chunk_text.ROUTE, 1)).alias("raw_route"),
         routes.method_role(c, class_role).alias("method_role"),
         chunk_text.response_types(c).alias("response_types"),
         chunk_text.extract(c, chunk_text.FORM_TYPE).alias("form_type"),
@@ -118,12 +131,12 @@ def chunk_metadata(
         chunk_text.first_heading(c).alias("h1"),
         chunk_text.hidden_ids(c).alias("hidden_ids"),
         c.contains(chunk_text.AJAX_ONLY).alias("is_ajax"),
-    )
-    second = first.where(~name.isin("", "__construct")).select(
-        *first.columns,
-        F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)).alias("cap"),
+        cap.alias("cap"),
         routes.resolve_route(route).alias("route"),
         routes.http_verb(c, name, F.coalesce(route, F.lit(""))).alias("http_verb"),
+    )
+    second = first.select(
+        *first.columns,
         routes.role_key(F.col("method_role"), mapping).alias("factory_key"),
         routes.role_key(F.col("class_role"), mapping).alias("class_factory_key"),
         mentions("render").alias("has_render"),
@@ -153,34 +166,38 @@ def class_settings(chunks: DataFrame, keys: list[str], pos: str = "pos", content
 
     Without any statement the role is the default one, and the profile is internal only if
     the class has methods without routes and none with a route. All are plain aggregates
-    that combine before the shuffle.
+    that combine before the shuffle. `first_route`, `first_unrouted` and `last_pos` are the
+    places that the layout of a test file needs.
     """
-    c = F.col(content)
-    first = lambda value: F.min_by(value, F.when(value.isNotNull(), F.col(pos)))
-    profile = chunk_text.extract(c, chunk_text.PROFILE)
-    role = routes.first_class_role(c)
-    found = (
-        chunks.select(
-            *keys,
-            pos,
-            profile.alias("__profile"),
-            role.alias("__role"),
-            c.rlike(chunk_text.ROUTE).alias("__routed"),
-            c.contains(chunk_text.NO_ROUTE).alias("__internal"),
-        )
-        .groupBy(*keys)
-        .agg(
-            first(F.col("__profile")).alias("profile"),
-            first(F.col("__role")).alias("class_role"),
-            F.bool_or("__routed").alias("__routed"),
-            F.bool_or("__internal").alias("__internal"),
-        )
+    c, p = F.col(content), F.col(pos)
+    first = lambda value: F.min_by(value, F.when(value.isNotNull(), p))
+    is_method = c.startswith("Méthode '") & ~c.startswith("Méthode '__construct'")
+    read = chunks.select(
+        *keys,
+        p,
+        chunk_text.extract(c, chunk_text.PROFILE).alias("__profile"),
+        routes.first_class_role(c).alias("__role"),
+        is_method.alias("__method"),
+        c.rlike(chunk_text.ROUTE).alias("__routed"),
+        c.contains(chunk_text.NO_ROUTE).alias("__internal"),
+    )
+    found = read.groupBy(*keys).agg(
+        first(F.col("__profile")).alias("profile"),
+        first(F.col("__role")).alias("class_role"),
+        F.bool_or("__routed").alias("__routed"),
+        F.bool_or("__internal").alias("__internal"),
+        F.min(F.when(F.col("__method") & F.col("__routed"), p)).alias("first_route"),
+        F.min(F.when(F.col("__method") & ~F.col("__routed"), p)).alias("first_unrouted"),
+        F.max(p).alias("last_pos"),
     )
     fallback = F.when(~F.col("__routed") & F.col("__internal"), "internal").otherwise("web_crud")
     return found.select(
         *keys,
         F.coalesce("profile", fallback).alias("profile"),
         F.coalesce("class_role", F.lit(routes.DEFAULT_ROLE)).alias("class_role"),
+        "first_route",
+        "first_unrouted",
+        "last_pos",
     )
 
 

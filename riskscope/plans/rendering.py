@@ -1,8 +1,8 @@
 """Scenarios to test files.
 
-A file is an ordered list of segments, one row each. Segments are numbered without
-gathering a class in one task and joined into volumes of a bounded number of segments; a
-class of ordinary size has one volume, which is the whole file.
+A file is an ordered list of segments, one row each, joined in bounded slots and then in
+volumes, so no task gathers a class of any size. A class of ordinary size has one volume,
+which is the whole file.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from riskscope.functions import chunk_text
 from riskscope.functions.code import strip_space
 from riskscope.functions.commits import safe_name
 from riskscope.plans.settings import AppSettings
-from riskscope.scaling import bucketed_position, checked_position
+from riskscope.scaling import checked_position
 
-VOLUME_SEGMENTS = 20_000
+# Positions joined by one task, positions of one file text, and entity types of one fixture file.
+SLOT = 1 << 16
+VOLUME = 1 << 28
+FIXTURE_TYPES = 20_000
 
 # Types that are not business entities.
 NON_ENTITY_TYPES = [
@@ -102,56 +105,71 @@ def scenario_method(comment: Column, func_name: Column, body: Column) -> Column:
 def file_segments(
     classes: DataFrame, scenarios: DataFrame, unrouted: DataFrame, key: str = "class_name", settings: AppSettings = AppSettings()
 ) -> DataFrame:
-    """(key, section, pos, part, text): everything a file is made of, in order.
+    """(key, last_pos, section, pos, part, text): everything a file is made of, in order.
 
-    Sections: header, mention of unrouted methods, end of header, methods, footer.
+    Sections: 0 header, 1 names of unrouted methods, 2 end of header, 3 methods, 4 footer.
+    `classes` are class settings; `scenarios` and `unrouted` carry `last_pos` and the place
+    of the first of their kind, which alone has no separator before it.
     """
-    name = F.col(key)
-    row = lambda section, text: [name.alias(key), F.lit(section).alias("section"), F.lit(0).cast("long").alias("pos"),
-                                 F.lit(0).alias("part"), text.alias("text")]
-    header = classes.select(*row(0, file_header(test_class_name(name), settings)))
-    gap = classes.select(*row(3, F.lit("\n")))
-    footer = classes.select(*row(5, F.lit(FILE_FOOTER)))
-    mention = unrouted.select(key).distinct()
-    mention_open = mention.select(*row(1, F.lit("\n    // Méthodes sans route HTTP (non testées ici) : ")))
-    mention_end = mention.select(*row(2, F.lit("\n")))
-    names = unrouted.select(key, F.lit(1).alias("section"), F.col("pos").cast("long").alias("pos"), F.lit(1).alias("part"), F.col("method_name").alias("text"))
+    text_row = lambda section, text: F.struct(
+        F.lit(section).alias("section"), F.lit(0).cast("long").alias("pos"), text.alias("text")
+    )
+    mention = F.col("first_unrouted").isNotNull()
+    frame = F.array(
+        text_row(
+            0,
+            F.concat(
+                file_header(test_class_name(F.col(key)), settings),
+                F.when(mention, "\n    // Méthodes sans route HTTP (non testées ici) : ").otherwise(""),
+            ),
+        ),
+        text_row(2, F.when(mention, F.lit("\n\n")).otherwise("\n")),
+        text_row(4, F.lit(FILE_FOOTER)),
+    )
+    around = classes.select(key, "last_pos", F.explode(frame).alias("s")).select(
+        key, "last_pos", "s.section", "s.pos", F.lit(0).alias("part"), "s.text"
+    )
+    separated = lambda first, separator, text: F.concat(F.when(first, "").otherwise(separator), text)
+    names = unrouted.select(
+        key,
+        "last_pos",
+        F.lit(1).alias("section"),
+        F.col("pos").cast("long").alias("pos"),
+        F.lit(0).alias("part"),
+        separated(F.col("pos") == F.col("first_unrouted"), ", ", F.col("method_name")).alias("text"),
+    )
+    is_first = (F.col("pos") == F.col("first_route")) & (F.col("scenario_no") == 0)
     methods = scenarios.select(
         key,
-        F.lit(4).alias("section"),
+        "last_pos",
+        F.lit(3).alias("section"),
         F.col("pos").cast("long").alias("pos"),
         F.col("scenario_no").alias("part"),
-        scenario_method(F.col("comment"), F.col("func_name"), F.col("body")).alias("text"),
+        separated(
+            is_first, "\n\n", scenario_method(F.col("comment"), F.col("func_name"), F.col("body"))
+        ).alias("text"),
     )
-    out = header
-    for part in (mention_open, names, mention_end, gap, methods, footer):
-        out = out.unionByName(part)
-    return out
+    return around.unionByName(names).unionByName(methods)
 
 
-def join_segments(segments: DataFrame, key: str = "class_name", volume_rows: int = VOLUME_SEGMENTS) -> DataFrame:
+def join_segments(segments: DataFrame, key: str = "class_name", slot: int = SLOT, volume: int = VOLUME) -> DataFrame:
     """(key, volume, text): the segments of a file joined in order.
 
-    Names of unrouted methods are separated by `, ` and test methods by a blank line; the
-    first of each list has no separator, which its position inside the section tells.
+    Positions are unique in a class, so a slot of them holds a bounded number of segments:
+    slots are joined first, then the slots of a volume. Classes whose positions fit into one
+    volume, which all but giant ones do, have the whole file in volume 0; the volumes of a
+    giant class, read in order, are its file.
     """
-    slot = F.col("section") * F.lit(1 << 40) + F.floor(F.col("pos") / F.lit(1 << 20))
-    order = [F.col("section"), F.col("pos"), F.col("part")]
-    numbered = bucketed_position(segments, [key], slot, order, "place")
-    firsts = segments.where(F.col("section").isin(1, 4)).where((F.col("section") == 4) | (F.col("part") == 1))
-    firsts = firsts.groupBy(key, "section").agg(F.min(F.struct("pos", "part")).alias("first"))
-    marked = numbered.join(firsts, [key, "section"], "left")
-    is_first = F.struct("pos", "part") == F.col("first")
-    separator = (
-        F.when((F.col("section") == 4) & ~is_first, "\n\n")
-        .when((F.col("section") == 1) & (F.col("part") == 1) & ~is_first, ", ")
-        .otherwise("")
+    part = F.floor(F.col("pos") / F.lit(volume))
+    sliced = segments.withColumn(
+        "volume",
+        F.when(F.col("last_pos") < volume, F.lit(0).cast("long")).otherwise(F.col("section") * F.lit(1 << 40) + part),
+    ).withColumn("slot", F.struct("section", F.floor(F.col("pos") / F.lit(slot)).alias("at")))
+    slots = sliced.groupBy(key, "volume", "slot").agg(
+        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos, part)").alias("text")
     )
-    return (
-        marked.withColumn("text", F.concat(separator, F.col("text")))
-        .withColumn("volume", F.floor((F.col("place") - 1) / F.lit(volume_rows)).cast("int"))
-        .groupBy(key, "volume")
-        .agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY place)").alias("text"))
+    return slots.groupBy(key, "volume").agg(
+        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY slot)").alias("text")
     )
 
 
@@ -190,7 +208,7 @@ def fixture_segments(counts: DataFrame, key: str = "class_name") -> DataFrame:
     )
 
 
-def fixture_files(segments: DataFrame, key: str = "class_name", volume_rows: int = VOLUME_SEGMENTS) -> DataFrame:
+def fixture_files(segments: DataFrame, key: str = "class_name", volume_rows: int = FIXTURE_TYPES) -> DataFrame:
     """(key, volume, text): fixture skeletons; a class beyond one volume gets several classes' worth of files."""
     name = test_class_name(F.col(key))
     volumes = (

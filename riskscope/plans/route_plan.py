@@ -10,6 +10,7 @@ from riskscope.functions import code
 from riskscope.plans.scenarios import _text
 from riskscope.plans.settings import AppSettings
 from riskscope.scaling import bucketed_position, position_bucket
+from riskscope.session import ensure_checkpoint_dir
 
 # Attempts per route and output budget of the first one.
 MAX_ATTEMPTS = 3
@@ -89,15 +90,15 @@ def planned_methods(s: AppSettings = AppSettings()) -> Column:
     return F.filter(F.array(anonymous, logged_in, extra), lambda m: m.isNotNull())
 
 
-def route_plan(ranked: DataFrame, keys: Sequence[str], settings: AppSettings = AppSettings(), pos: str = "pos") -> DataFrame:
+def route_plan(metadata: DataFrame, keys: Sequence[str], settings: AppSettings = AppSettings(), pos: str = "pos") -> DataFrame:
     """One row per planned method; repeated names inside a class get the suffix 2, 3…
 
     Names start from a method and its route number, so repeats are rare; they are numbered by
     their place in the file.
     """
-    plan = ranked.select(
+    plan = metadata.select(
         *keys, pos, "method_name", "raw_route", "http_verb", "route",
-        F.posexplode(planned_methods(settings)).alias("plan_no", "p"),
+        F.posexplode_outer(planned_methods(settings)).alias("plan_no", "p"),
     ).select(*keys, pos, "method_name", "raw_route", "http_verb", "route", "plan_no", "p.*")
     return unique_names(plan, keys, "name", pos, "plan_no")
 
@@ -108,10 +109,12 @@ def unique_names(
     """Rename repeats of a name inside a file: the n-th one gets the suffix n.
 
     A suffixed name may equal a name that exists already; a renamed row then counts after
-    the rows that own the name, and further rounds settle it.
+    the rows that own the name, and further rounds settle it. Each round reads its input
+    twice, so the rows are first written to the checkpoint folder.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     order = [F.col(pos)] + ([F.col(part)] if part else [])
-    base = df.withColumn("__owner", F.lit(0).cast("long"))
+    base = df.withColumn("__owner", F.lit(0).cast("long")).checkpoint()
     for _ in range(rounds):
         ordered = bucketed_position(
             base,

@@ -285,39 +285,51 @@ RULES: list[Rule] = [
 ]
 
 
-def first_routes(metadata: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+def first_routes(references: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """The first chunk of each (method, route) of a class.
 
     Spark limits each pair to one row per task before the shuffle, so repeats never pile up.
     """
     pair = Window.partitionBy(*keys, "method_name", "raw_route").orderBy(pos)
-    routed = metadata.where(F.col("raw_route").isNotNull())
+    routed = references.where(F.col("raw_route").isNotNull())
     return routed.withColumn("__n", F.row_number().over(pair)).where(F.col("__n") == 1).drop("__n")
 
 
 def rank_routes(first: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
-    """Number the routes of a method; later ones get the suffix `Route2`, `Route3`…"""
-    ranked = bucketed_position(
+    """Number the routes of a method in chunk order; later ones get names of their own.
+
+    Ranking comes before anything else is read from the chunk, so the pass that counts the
+    buckets only reads names and routes.
+    """
+    return bucketed_position(
         first, [*keys, "method_name"], position_bucket(F.col(pos)), [F.col(pos)], "route_rank"
     )
-    suffix = F.when(F.col("route_rank") == 1, "").otherwise(
-        F.concat(F.lit("Route"), F.col("route_rank").cast("string"))
-    )
-    return ranked.withColumn("cap", F.concat("cap", suffix))
 
 
-def expand(ranked: DataFrame, keys: Sequence[str], settings: AppSettings = AppSettings(), rules: list[Rule] = RULES, pos: str = "pos") -> DataFrame:
-    """One row per scenario, numbered inside its route; no shuffle."""
+def expand(
+    metadata: DataFrame,
+    keys: Sequence[str],
+    settings: AppSettings = AppSettings(),
+    rules: list[Rule] = RULES,
+    pos: str = "pos",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """One row per scenario, numbered inside its route; no shuffle.
+
+    The outer form keeps Spark from testing the scenarios for emptiness, which would build
+    them twice; every route has at least one.
+    """
     every = F.flatten(F.array(*[rule(settings) for rule in rules]))
-    return ranked.select(
-        *keys, pos, "method_name", "raw_route", F.posexplode(every).alias("scenario_no", "sc")
-    ).select(*keys, pos, "method_name", "raw_route", "scenario_no", "sc.*")
+    kept = [*keys, pos, "method_name", "raw_route", *keep]
+    return metadata.select(*kept, F.posexplode_outer(every).alias("scenario_no", "sc")).select(
+        *kept, "scenario_no", "sc.*"
+    )
 
 
-def unrouted_methods(metadata: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+def unrouted_methods(references: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """Distinct methods without a route and the place each is first seen."""
     return (
-        metadata.where(F.col("raw_route").isNull())
+        references.where(F.col("raw_route").isNull())
         .groupBy(*keys, "method_name")
         .agg(F.min(pos).alias(pos))
     )
