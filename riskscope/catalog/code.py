@@ -440,12 +440,19 @@ metadata AS (
   FROM facts)"""
 
 
-def metadata(spark, sf_dir, role_map=None):
+def chunk_rows(spark, sf_dir):
+    """Chunk texts written straight from the part table."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("riskscope_part")
+    sql = ct.METHOD_TEXT_SQL.replace("FROM part)", "FROM riskscope_part)")
+    return spark.sql(f"WITH {sql} SELECT p_partkey, class_name, file AS file_path, pos, chunk_type, content FROM chunks")
+
+
+def metadata(spark, sf_dir):
     """Method chunks read back, each with the main role of its class."""
-    chunks = all_chunks(spark, sf_dir)
+    chunks = chunk_rows(spark, sf_dir)
     settings = chunk_ops.class_settings(chunks, ["class_name"])
     joined = chunk_ops.method_references(chunks).join(settings, "class_name")
-    return chunk_ops.chunk_metadata(joined, F.col("class_role"), role_map)
+    return chunk_ops.chunk_metadata(joined, F.col("class_role"))
 
 
 @register(
@@ -474,5 +481,5 @@ def chunk_metadata(spark, sf_dir):
     FROM profiles JOIN p USING (p_partkey)""",
 )
 def class_settings(spark, sf_dir):
-    settings = chunk_ops.class_settings(all_chunks(spark, sf_dir), ["class_name"])
+    settings = chunk_ops.class_settings(chunk_rows(spark, sf_dir), ["class_name"])
     return settings.select("class_name", "profile", "class_role")

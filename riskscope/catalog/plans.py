@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskscope.catalog import code_tables as ct
+from riskscope.catalog import code as code_queries
 from riskscope.catalog.code import METADATA_SQL
 from riskscope.catalog.registry import register
 from riskscope.catalog.tables import table
-from riskscope.functions import code
 from riskscope.operators import chunks as chunk_ops, prompts
 from riskscope.plans import rendering, route_plan, scenarios
 
@@ -16,13 +16,10 @@ KEYS = ["class_name"]
 
 
 def chunk_rows(spark, sf_dir):
-    """Chunk texts written straight from the part table; every fifth class repeats its routes."""
-    table(spark, sf_dir, "part").createOrReplaceTempView("riskscope_part")
-    sql = ct.METHOD_TEXT_SQL.replace("FROM part)", "FROM riskscope_part)")
-    repeats = "SELECT p_partkey, class_name, file, pos + 50000 AS pos, chunk_type, content FROM routed WHERE p_partkey % 5 = 0"
-    return spark.sql(
-        f"WITH {sql} SELECT p_partkey, class_name, file AS file_path, pos, chunk_type, content FROM chunks UNION ALL {repeats}"
-    )
+    """The chunks of all classes; every fifth class repeats its routes further down."""
+    chunks = code_queries.chunk_rows(spark, sf_dir)
+    repeated = chunks.where("p_partkey % 5 = 0 AND pos > 0").where(F.col("content").contains("Route: "))
+    return chunks.unionByName(repeated.withColumn("pos", F.col("pos") + 50000))
 
 
 def with_settings(rows, chunks):
