@@ -173,7 +173,18 @@ def merge_direct_hits(spark, sf_dir):
     return rounded(merged.select("priority", "place", "chunk_id", "similarity"))
 
 
-_RENDERING = _CONTEXT.replace("text AS content", "CASE WHEN doc_id % 2 = 0 THEN text || ' — Template: x' ELSE text END AS content")
+_RENDERING = _CONTEXT.replace(
+    "text AS content", "CASE WHEN doc_id % 2 = 0 THEN text || ' — Template: ' || source ELSE text END AS content"
+)
+
+
+def _rendering_request(spark, sf_dir):
+    """The request on documents every second of which names its source and a template."""
+    scoped, query, template_query, name = _request(spark, sf_dir)
+    marked = F.when(
+        F.col("chunk_id") % 2 == 0, F.concat("content", F.lit(" — Template: "), "file_path")
+    ).otherwise(F.col("content"))
+    return scoped.withColumn("content", marked), query, template_query, name
 
 
 @register(
@@ -181,10 +192,7 @@ _RENDERING = _CONTEXT.replace("text AS content", "CASE WHEN doc_id % 2 = 0 THEN
     f"WITH {_RENDERING} SELECT priority, place, chunk_id, round(similarity, 6) AS similarity FROM context",
 )
 def append_template_hits(spark, sf_dir):
-    """Every second document mentions a template, so the template query takes effect."""
-    scoped, query, template_query, name = _request(spark, sf_dir)
-    marked = F.when(F.col("chunk_id") % 2 == 0, F.concat("content", F.lit(" — Template: x"))).otherwise(F.col("content"))
-    scoped = scoped.withColumn("content", marked)
+    scoped, query, template_query, name = _rendering_request(spark, sf_dir)
     merged = retrieval.merge_direct_hits(
         retrieval.top_k(scoped, query, 6), retrieval.ilike_lookup(scoped, name)
     )
@@ -214,15 +222,15 @@ def filter_by_class(spark, sf_dir):
 
 @register(
     "hybrid_context",
-    f"""WITH {_CONTEXT}, word AS (SELECT lower(max(source)) AS w FROM documents),
+    f"""WITH {_RENDERING}, word AS (SELECT lower(max(source)) AS w FROM documents),
     p AS (SELECT *, false AS is_secondary FROM context WHERE contains(lower(content), (SELECT w FROM word))),
     s AS (SELECT *, true AS is_secondary FROM context WHERE NOT contains(lower(content), (SELECT w FROM word))
-          AND chunk_type <> 'template_info' AND similarity >= 0.65 ORDER BY priority, place LIMIT 3)
+          AND chunk_type <> 'template_info' AND similarity >= 0.2 ORDER BY priority, place LIMIT 3)
     SELECT priority, place, chunk_id, is_secondary, round(similarity, 6) AS similarity FROM (SELECT * FROM p UNION ALL SELECT * FROM s)""",
 )
 def hybrid_context(spark, sf_dir):
-    scoped, query, template_query, name = _request(spark, sf_dir)
-    context = retrieval.hybrid_context(scoped, query, template_query, class_name=name)
+    scoped, query, template_query, name = _rendering_request(spark, sf_dir)
+    context = retrieval.hybrid_context(scoped, query, template_query, class_name=name, min_similarity=0.2)
     return rounded(context.select("priority", "place", "chunk_id", "is_secondary", "similarity"))
 
 

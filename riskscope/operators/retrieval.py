@@ -235,6 +235,7 @@ def hybrid_context(
     project: str | None = None,
     class_name: str | None = None,
     cols: ChunkColumns = ChunkColumns(),
+    min_similarity: float = MIN_SECONDARY_SIMILARITY,
 ) -> DataFrame:
     """Context of one request: nearest chunks, name hits in front, template hits behind, filtered."""
     scoped = chunks if project is None else chunks.where(F.col(cols.project) == project)
@@ -245,7 +246,7 @@ def hybrid_context(
     limit = TEMPLATE_LIMIT_WITH_CLASS if class_name else TEMPLATE_LIMIT_WITHOUT_CLASS
     context = append_template_hits(merged, top_k(scoped, template_query, limit, cols=cols), cols)
     if class_name:
-        return filter_by_class(context, class_name, cols=cols)
+        return filter_by_class(context, class_name, min_similarity=min_similarity, cols=cols)
     return context.withColumn("is_secondary", F.lit(False))
 
 
