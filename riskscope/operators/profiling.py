@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from riskscope.scaling import exact_quantiles, running_counts, value_counts
 
@@ -244,10 +245,14 @@ def with_mann_whitney_p(tests: DataFrame, exact_rows: int = 8, exact_cells: int
             pdf["p"] = pd.Series(p, index=pdf.index, dtype="float64")
             yield pdf
 
-    rows = tests.mapInPandas(finish, tests.schema.add("p", "double"))
+    rows = tests.mapInPandas(finish, _with_p(tests))
     return rows.withColumn("mark", significance(F.col("p")))
 
 
+def _with_p(tests: DataFrame) -> T.StructType:
+    return T.StructType([*tests.schema.fields, T.StructField("p", T.DoubleType())])
+
+
 def significance(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "*").otherwise("ns")
 
@@ -423,7 +428,7 @@ def with_chi2_p(tests: DataFrame) -> DataFrame:
             pdf["p"] = [math.erfc(math.sqrt(x / 2.0)) for x in pdf["chi2"]]
             yield pdf
 
-    rows = tests.mapInPandas(finish, tests.schema.add("p", "double"))
+    rows = tests.mapInPandas(finish, _with_p(tests))
     separates = (F.col("p") < 0.05) & (F.abs(F.col("rate_1") - F.col("rate_0")) > 0.1)
     return rows.withColumn("mark", significance(F.col("p"))).withColumn("separates", separates)
 
