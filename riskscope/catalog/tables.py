@@ -56,9 +56,8 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file")
     )
-    return lines.join(commits(spark, sf_dir), "commit_id").withColumn(
-        "is_bugfix", is_bugfix(F.col("subject"))
-    )
+    flagged = commits(spark, sf_dir).select("*", is_bugfix(F.col("subject")).alias("is_bugfix"))
+    return lines.join(flagged, "commit_id")
 
 
 BUGFIX_SQL = "'(?i)" + "|".join(BUGFIX_PATTERNS) + "'"

@@ -6,20 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from riskscope.functions.binding import let
 
-# Constructs that add one to the cyclomatic complexity.
-COMPLEXITY_PATTERNS = [
-    r"\bif\b",
-    r"\belseif\b",
-    r"\belse\s+if\b",
-    r"\bwhile\b",
-    r"\bfor\b",
-    r"\bforeach\b",
-    r"\bcase\b",
-    r"\bcatch\b",
-    r"&&",
-    r"\|\|",
-    r"\?",
-]
+# Words and signs that add one to the cyclomatic complexity.
+COMPLEXITY_WORDS = ["if", "elseif", r"else\s+if", "while", "for", "foreach", "case", "catch"]
+COMPLEXITY_SIGNS = ["&&", r"\|\|", r"\?"]
+# One word boundary test for all words, so most positions fail at once.
+COMPLEXITY = r"(?U)\b(?:" + "|".join(COMPLEXITY_WORDS) + r")\b|" + "|".join(COMPLEXITY_SIGNS)
 
 # Patterns looked for in a method body.
 RENDER = r"->render\(['\"]([^'\"]+)['\"]"
@@ -90,7 +81,7 @@ def body_loc(body: Column) -> Column:
 
 def cyclomatic(text: Column) -> Column:
     """One plus the number of branching constructs, on raw text."""
-    matches = F.regexp_count(text, F.lit("(?U)" + "|".join(COMPLEXITY_PATTERNS)))
+    matches = F.regexp_count(text, F.lit(COMPLEXITY))
     return F.coalesce(matches, F.lit(0)).cast("long") + 1
 
 

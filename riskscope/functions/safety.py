@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
+from riskscope.functions.binding import let
 from riskscope.functions.code import strip_comments, strip_space
 
 # Role markers of chat formats.
@@ -91,7 +92,16 @@ def wrap_context(context: Column) -> Column:
     )
 
 
-def _rule_findings(code: Column, order: int, rule: Rule) -> Column:
+def _quick_pattern(pattern: str) -> str:
+    """A cheap pattern over lower-cased text that matches wherever the rule does, and seldom elsewhere.
+
+    Word tests are left out and white space is spelled out, so no Unicode mode is needed.
+    """
+    loose = pattern.replace(r"\b", "").replace(r"(?<![\w>])", "")
+    return "(?d)" + loose.lower().replace(r"\s", r"[\s\x{85}\p{Z}]")
+
+
+def _rule_findings(code: Column, lowered: Column, order: int, rule: Rule) -> Column:
     """Findings of one rule: a mark goes before each match, then each line yields one finding per mark."""
     pattern = f"(?idU){rule.pattern}"
     lines = F.split(F.regexp_replace(code, pattern, _MARK + "$0"), "\n")
@@ -113,13 +123,20 @@ def _rule_findings(code: Column, order: int, rule: Rule) -> Column:
     empty = F.array().cast(
         "array<struct<rule_no: int, rule: string, reason: string, is_blocking: boolean, line: int, excerpt: string>>"
     )
-    return F.when(code.rlike(pattern), found).otherwise(empty)
+    return F.when(lowered.rlike(_quick_pattern(rule.pattern)), found).otherwise(empty)
 
 
 def findings(stripped: Column, rules: list[Rule] = RULES) -> Column:
-    """Findings of all rules over comment-free code, in rule then line order."""
+    """Findings of all rules over comment-free code, in rule then line order.
+
+    The long s is the one letter that case folding, but not lower-casing, turns into an ASCII one.
+    """
     clean = F.translate(stripped, _MARK, "")
-    return F.concat(*[_rule_findings(clean, i, rule) for i, rule in enumerate(rules)])
+    texts = F.struct(clean.alias("code"), F.translate(F.lower(clean), "ſ", "s").alias("lowered"))
+    return let(
+        texts,
+        lambda t: F.concat(*[_rule_findings(t["code"], t["lowered"], i, rule) for i, rule in enumerate(rules)]),
+    )
 
 
 def scannable(code: Column, keep_lines: bool = True) -> Column:

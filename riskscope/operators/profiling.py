@@ -257,20 +257,27 @@ def significance(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "*").otherwise("ns")
 
 
+def _complete_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Columns without nulls, from one row of counts."""
+    row = df.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).head()
+    return {c for c, n in zip(columns, row[1:]) if n == row[0]}
+
+
+def _pearson(a: str, b: str, complete: set[str]) -> Column:
+    """Correlation over complete pairs; null where a side is constant.
+
+    A deviation that no null of the other side can change is shared by all pairs of its column.
+    """
+    kept = lambda x, y: F.col(x) if y in complete else F.when(F.col(y).isNotNull(), F.col(x))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(kept(a, b)) * F.stddev_pop(kept(b, a)), F.lit(0.0))
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, r) for i < j, over complete pairs; null where a side is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    kept = lambda x, y: F.when(F.col(y).isNotNull(), F.col(x))
-    row = wide.agg(
-        *[
-            (
-                F.covar_pop(a, b)
-                / F.nullif(F.stddev_pop(kept(a, b)) * F.stddev_pop(kept(b, a)), F.lit(0.0))
-            ).alias(f"r__{a}__{b}")
-            for a, b in pairs
-        ]
-    )
+    complete = _complete_columns(wide, columns)
+    row = wide.agg(*[_pearson(a, b, complete).alias(f"r__{a}__{b}") for a, b in pairs])
     entries = [
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r__{a}__{b}").alias("r"))
         for a, b in pairs
@@ -284,19 +291,9 @@ def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float =
 
 def label_correlation(df: DataFrame, features: Sequence[str], label: str, weak: float = 0.05) -> DataFrame:
     """r of each feature with the label; weak below `weak` in absolute value."""
-    row = df.agg(
-        *[
-            (
-                F.covar_pop(f, label)
-                / F.nullif(
-                    F.stddev_pop(F.when(F.col(label).isNotNull(), F.col(f)))
-                    * F.stddev_pop(F.when(F.col(f).isNotNull(), F.col(label))),
-                    F.lit(0.0),
-                )
-            ).alias(f"r__{f}")
-            for f in features
-        ]
-    )
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, label]])
+    complete = _complete_columns(wide, [*features, label])
+    row = wide.agg(*[_pearson(f, label, complete).alias(f"r__{f}") for f in features])
     return _tall(row, features, {"r": "double"}).withColumn(
         "is_weak", F.coalesce(F.abs("r") < weak, F.lit(False))
     )

@@ -268,9 +268,13 @@ def related_classes(
     reduced to one per class name; the names, not the chunks, are then expanded to the
     pieces a reference could equal, which makes the containment an equi-join.
     """
-    references = blocks.select(
-        block_id, F.col(cols.project).alias("__project"), F.explode(class_references(F.col(code))).alias("reference")
-    ).withColumn("__piece", F.lower("reference"))
+    references = (
+        blocks.select(
+            block_id, F.col(cols.project).alias("__project"), F.explode_outer(class_references(F.col(code))).alias("reference")
+        )
+        .where(F.col("reference").isNotNull())
+        .withColumn("__piece", F.lower("reference"))
+    )
     wanted = references.select("__project", "__piece").distinct()
     firsts = chunks.groupBy(F.col(cols.project).alias("__project"), F.lower(cols.class_name).alias("__name")).agg(
         F.min_by(F.struct(cols.id, cols.content), cols.id).alias("first")

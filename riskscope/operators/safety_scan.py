@@ -15,4 +15,6 @@ def scan(df: DataFrame, code: str, keep_lines: bool = True, rules=None) -> DataF
 
 
 def finding_rows(scanned: DataFrame, keys: list[str]) -> DataFrame:
-    return scanned.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")
+    """One row per finding. The outer form keeps Spark from scanning twice to drop clean rows early."""
+    found = scanned.select(*keys, F.explode_outer("findings").alias("f"))
+    return found.where(F.col("f").isNotNull()).select(*keys, "f.*")

@@ -187,7 +187,8 @@ def entity_type_counts(chunks: DataFrame, keys: Sequence[str], content: str = "c
         & ~t.rlike(r"(?:Service|Manager|Repository|Type)$"),
     )
     return (
-        chunks.select(*keys, F.explode(kept).alias("entity_type"))
+        chunks.select(*keys, F.explode_outer(kept).alias("entity_type"))
+        .where(F.col("entity_type").isNotNull())
         .groupBy(*keys, "entity_type")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -202,8 +202,11 @@ def generation_outcome(diagnostics: DataFrame, keys: Sequence[str], ok: str = "o
 
 def generated_blocks(responses: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """One row per complete test method of a response, in order."""
-    return responses.select(*keys, F.posexplode(code.test_blocks(F.col(text))).alias("block_no", "block")).withColumn(
-        "test_name", code.test_name(F.col("block"))
+    blocks = F.posexplode_outer(code.test_blocks(F.col(text))).alias("block_no", "block")
+    return (
+        responses.select(*keys, blocks)
+        .where(F.col("block").isNotNull())
+        .withColumn("test_name", code.test_name(F.col("block")))
     )
 
 

@@ -47,6 +47,7 @@ def parse_commits(blocks: DataFrame) -> DataFrame:
 
 def commit_files(commits: DataFrame) -> DataFrame:
     """One row per (commit, touched path)."""
-    return commits.select(
-        "commit_id", "author", "ts", "is_bugfix", F.explode("paths").alias("file")
+    touched = commits.select(
+        "commit_id", "author", "ts", "is_bugfix", F.explode_outer("paths").alias("file")
     )
+    return touched.where(F.col("file").isNotNull())
