@@ -41,6 +41,7 @@ def risk_label(spark, sf_dir):
 
 
 _CUTOFF = 883612800  # 1998-01-01
+_RECENT = 1007164800  # 2001-12-01: a window in which some files have no commit
 
 
 @register(
@@ -60,14 +61,14 @@ def commits_since_window(spark, sf_dir):
     recent AS (
       SELECT file, CAST(count(*) FILTER (is_bugfix) AS BIGINT) AS bugfix_count, count(*) AS total_commits,
              count(DISTINCT author) AS nb_authors, round(({NOW} - max(ts)) / 86400.0, 1) AS days_since_change
-      FROM touches WHERE ts >= 946684800 AND author % 3 = 0 GROUP BY file)
+      FROM touches WHERE ts >= {_RECENT} GROUP BY file)
     SELECT p_partkey, p_brand, coalesce(bugfix_count, 0) AS bugfix_count,
            coalesce(total_commits, 0) AS total_commits, coalesce(nb_authors, 0) AS nb_authors,
            coalesce(days_since_change, -1.0) AS days_since_change
     FROM part LEFT JOIN recent ON p_partkey = file""",
 )
 def attach_change_metrics(spark, sf_dir):
-    recent = changes.commits_since(touches(spark, sf_dir), 946684800).where(F.col("author") % 3 == 0)
+    recent = changes.commits_since(touches(spark, sf_dir), _RECENT)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return changes.attach_change_metrics(parts, changes.change_metrics(recent, NOW), "p_partkey")
 

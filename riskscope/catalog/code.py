@@ -8,10 +8,10 @@ from riskscope.catalog import code_tables as ct
 from riskscope.catalog.code_tables import page_templates, parts, raw_facts
 from riskscope.catalog.registry import register
 from riskscope.catalog.tables import METRICS_SQL, NOW, table, touches
-from riskscope.functions import chunk_text, code, facts, routes, safety, templates
-from riskscope.functions.commits import safe_name
+from riskscope.functions import code, safety
 from riskscope.operators import changes, chunks as chunk_ops, code_facts, safety_scan
-from riskscope.sources.files import category_counts, decode_text, path_category, select_controllers
+from riskscope.session import materialise
+from riskscope.sources.files import category_counts, decode_text, select_controllers
 
 _WORDS = "list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: w IN ('if', 'elseif', 'while', 'for', 'foreach', 'case', 'catch'))"
 _COMPLEXITY = f"""1 + len({_WORDS}) + (length(text) - length(replace(text, '&&', ''))) // 2
@@ -89,18 +89,16 @@ def rule_scan(spark, sf_dir):
     return found.select("conv_id", "turn", "rule", "is_blocking", "line", "excerpt")
 
 
+_REASONS = """CASE (conv_id + turn) % 6 WHEN 0 THEN 'exécution de commande système' WHEN 1 THEN 'exécution de commande système'
+  WHEN 2 THEN 'lecture d''une URL distante ou d''un flux php://' WHEN 3 THEN 'suppression ou déplacement de fichier' ELSE '' END"""
+
+
 @register(
     "scan_verdict",
-    """SELECT conv_id, turn, (conv_id + turn) % 6 > 3 AS is_safe,
-        CASE (conv_id + turn) % 6 WHEN 1 THEN 'exécution de commande système' ELSE '' END AS first_reason
-    FROM conversations WHERE (conv_id + turn) % 6 IN (1, 4, 5)""",
+    f"SELECT conv_id, turn, (conv_id + turn) % 6 > 3 AS is_safe, {_REASONS} AS first_reason FROM conversations",
 )
 def scan_verdict(spark, sf_dir):
-    generated = (
-        table(spark, sf_dir, "conversations")
-        .where("(conv_id + turn) % 6 IN (1, 4, 5)")
-        .selectExpr("conv_id", "turn", f"{_GENERATED} AS code")
-    )
+    generated = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_GENERATED} AS code")
     return safety_scan.scan(generated, "code").select(
         "conv_id", "turn", "is_safe", F.coalesce(F.get("findings", F.lit(0))["reason"], F.lit("")).alias("first_reason")
     )
@@ -108,17 +106,20 @@ def scan_verdict(spark, sf_dir):
 
 @register(
     "format_findings",
-    f"""SELECT conv_id, turn, CASE (conv_id + turn) % 6
-          WHEN 1 THEN 'ligne ' || (3 + 2 * (length(text) - length(replace(text, chr(10), ''))))
-               || ' : exécution de commande système (`$fs->system($a); exec ($b);`)' ELSE '' END AS sentence
-    FROM conversations WHERE (conv_id + turn) % 6 IN (1, 4)""",
+    f"""WITH g AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS kind, {_REASONS} AS reason,
+          'ligne ' || (3 + 2 * (length(text) - length(replace(text, chr(10), '')))) || ' : ' AS line FROM conversations)
+    SELECT conv_id, turn, CASE kind
+      WHEN 0 THEN line || reason || ' (`shell_exec(''ls''); eval(''$x = 1;'');`) ; ' || line
+                  || 'évaluation de code dynamique (`shell_exec(''ls''); eval(''$x = 1;'');`)'
+      WHEN 1 THEN line || reason || ' (`$fs->system($a); exec ($b);`)'
+      WHEN 2 THEN line || reason || ' (`file_get_contents(''http://x/'');`)'
+      WHEN 3 THEN line || reason || ' (`ini_set(1); unlink(''/a''); UNLINK(''/b'');`) ; ' || line || reason
+                  || ' (`ini_set(1); unlink(''/a''); UNLINK(''/b'');`) ; ' || line
+                  || 'modification de l''environnement d''exécution (`ini_set(1); unlink(''/a''); UNLINK(''/b'');`)'
+      ELSE '' END AS sentence FROM g""",
 )
 def format_findings(spark, sf_dir):
-    generated = (
-        table(spark, sf_dir, "conversations")
-        .where("(conv_id + turn) % 6 IN (1, 4)")
-        .selectExpr("conv_id", "turn", f"{_GENERATED} AS code")
-    )
+    generated = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_GENERATED} AS code")
     return safety_scan.scan(generated, "code").select(
         "conv_id", "turn", safety.format_findings(F.col("findings")).alias("sentence")
     )
@@ -441,10 +442,12 @@ metadata AS (
 
 
 def chunk_rows(spark, sf_dir):
-    """Chunk texts written straight from the part table."""
+    """A chunk table with the texts written straight from the part table."""
     table(spark, sf_dir, "part").createOrReplaceTempView("riskscope_part")
     sql = ct.METHOD_TEXT_SQL.replace("FROM part)", "FROM riskscope_part)")
-    return spark.sql(f"WITH {sql} SELECT p_partkey, class_name, file AS file_path, pos, chunk_type, content FROM chunks")
+    return materialise(
+        spark.sql(f"WITH {sql} SELECT p_partkey, class_name, file AS file_path, pos, chunk_type, content FROM chunks")
+    )
 
 
 def metadata(spark, sf_dir):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from riskscope.catalog.registry import register
 from riskscope.catalog.tables import FEATURES, features, rounded, table
 from riskscope.functions import code
-from riskscope.operators import folds, models, scoring
-from riskscope.session import ensure_checkpoint_dir
+from riskscope.operators import feature_sets, folds, models, scoring
+from riskscope.session import materialise
 
 TEXT_FEATURES = ["n_chars", "n_lines", "n_words", "complexity", "n_digits", "quality"]
 
@@ -36,8 +36,7 @@ def labelled(spark, sf_dir):
         F.col("quality").cast("double").alias("quality"),
         F.col("toxic").cast("int").alias("label"),
     )
-    ensure_checkpoint_dir(spark)
-    written = models.impute_constant(rows, TEXT_FEATURES).checkpoint()
+    written = materialise(models.impute_constant(rows, TEXT_FEATURES))
     return models.balanced_weights(written, "label")
 
 
@@ -94,10 +93,10 @@ def cross_dataset_eval(spark, sf_dir):
     """Train on the lineitem rows of some line numbers and test on others."""
     df = features(spark, sf_dir)
     datasets = {
-        "first": df.where("method = 1"),
-        "second": df.where("method = 2").drop("price"),
-        "third": df.where("method = 3"),
-        "unlabelled": df.where("method = 4").withColumn("label", F.lit(0)),
+        "first": df.where("method IN (1, 2)"),
+        "second": df.where("method IN (3, 4)").drop("price"),
+        "third": df.where("method IN (5, 6)"),
+        "unlabelled": df.where("method > 6").withColumn("label", F.lit(0)),
     }
     runs = {
         "first→third": (["first"], "third"),
@@ -115,6 +114,24 @@ def leak_vs_honest(spark, sf_dir):
     return models.leak_vs_honest(df, TEXT_FEATURES, leaky, "label", "file", ["doc_id"], lambda f: _forest(f, 10), k=3)
 
 
+@register(
+    "union_datasets",
+    """SELECT count(*) AS n_rows, sum((l_returnflag = 'R')::INT)::BIGINT AS n_positive, round(sum(l_quantity), 2) AS quantity,
+              'quantity,discount,tax,line_no' AS common FROM lineitem""",
+)
+def union_datasets(spark, sf_dir):
+    """The rows of two datasets stacked on the features both have."""
+    df = features(spark, sf_dir)
+    stacked, common = feature_sets.union_datasets(
+        [df.where("method < 4"), df.where("method >= 4").drop("price")], FEATURES, "label"
+    )
+    return stacked.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("label").alias("n_positive"),
+        F.round(F.sum("quantity"), 2).alias("quantity"),
+    ).withColumn("common", F.lit(",".join(common)))
+
+
 @register(
     "impute_median",
     """WITH m AS (SELECT quantile_cont(nullif(l_tax, 0.0), 0.5) AS tax, quantile_cont(nullif(l_discount, 0.0), 0.5) AS discount

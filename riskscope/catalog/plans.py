@@ -27,9 +27,8 @@ def with_settings(rows, chunks):
     return rows.join(chunk_ops.class_settings(chunks, KEYS), KEYS)
 
 
-def ranked(spark, sf_dir, role_map=None):
+def ranked(chunks, role_map=None):
     """Metadata of the first chunk of each route, the routes of a method numbered."""
-    chunks = chunk_rows(spark, sf_dir)
     first = scenarios.first_routes(chunk_ops.method_references(chunks), KEYS)
     rows = with_settings(scenarios.rank_routes(first, KEYS), chunks)
     return chunk_ops.chunk_metadata(rows, F.col("class_role"), role_map)
@@ -51,7 +50,7 @@ ranked AS (
     f"WITH {_RANKED} SELECT class_name, method_name, raw_route, route_rank, cap FROM ranked",
 )
 def route_rank(spark, sf_dir):
-    return ranked(spark, sf_dir).select("class_name", "method_name", "raw_route", "route_rank", "cap")
+    return ranked(chunk_rows(spark, sf_dir)).select("class_name", "method_name", "raw_route", "route_rank", "cap")
 
 
 _OK = "'self::assertResponseIsSuccessful();'"
@@ -100,7 +99,7 @@ sc AS (SELECT *, (row_number() OVER (PARTITION BY class_name, pos ORDER BY k) -
         array_to_string(body, chr(10)) AS body FROM sc""",
 )
 def scenario_rows(spark, sf_dir):
-    rows = scenarios.expand(ranked(spark, sf_dir), KEYS)
+    rows = scenarios.expand(ranked(chunk_rows(spark, sf_dir)), KEYS)
     return rows.withColumn("body", F.array_join("body", "\n"))
 
 
@@ -137,7 +136,7 @@ _FILE_HEAD = """'<?php' || repeat(chr(10), 2) || 'namespace App\\Tests\\Function
 def render_files(spark, sf_dir):
     """Whole test files of all classes."""
     chunks = chunk_rows(spark, sf_dir)
-    rows = scenarios.expand(ranked(spark, sf_dir), KEYS, keep=["first_route", "last_pos"])
+    rows = scenarios.expand(ranked(chunks), KEYS, keep=["first_route", "last_pos"])
     unrouted = scenarios.unrouted_methods(chunk_ops.method_references(chunks), KEYS)
     segments = rendering.file_segments(
         chunk_ops.class_settings(chunks, KEYS), rows, with_settings(unrouted, chunks)
@@ -198,8 +197,8 @@ def redirect_internal(spark, sf_dir):
         CASE class_role WHEN 'ROLE_PART' THEN 'PART' ELSE class_role END AS class_factory_key FROM metadata""",
 )
 def role_keys(spark, sf_dir):
-    chunks = chunk_rows(spark, sf_dir)
-    rows = with_settings(chunk_ops.method_references(chunks), chunks).where("pos % 100000 < 50000")
+    chunks = code_queries.chunk_rows(spark, sf_dir)
+    rows = with_settings(chunk_ops.method_references(chunks), chunks)
     return chunk_ops.chunk_metadata(rows, F.col("class_role"), {"ROLE_PART": "PART"}).select("class_name", "pos", "factory_key", "role_label", "class_factory_key")
 
 
@@ -227,7 +226,7 @@ plan AS (
     f"WITH {_PLAN} SELECT class_name, raw_route, http_verb, plan_no, name, spec FROM plan",
 )
 def planned(spark, sf_dir):
-    plan = route_plan.route_plan(ranked(spark, sf_dir), KEYS)
+    plan = route_plan.route_plan(ranked(chunk_rows(spark, sf_dir)), KEYS)
     return plan.select("class_name", "raw_route", "http_verb", "plan_no", "name", "spec")
 
 
@@ -240,7 +239,7 @@ def planned(spark, sf_dir):
     FROM plan WHERE p_partkey % 3 = 0""",
 )
 def stub_methods(spark, sf_dir):
-    plan = route_plan.route_plan(ranked(spark, sf_dir), KEYS)
+    plan = route_plan.route_plan(ranked(chunk_rows(spark, sf_dir)), KEYS)
     outcomes = table(spark, sf_dir, "part").selectExpr(
         f"{ct.CLASS} AS class_name", "p_partkey % 3 <> 0 AS ok", "CASE WHEN p_partkey % 6 <> 0 THEN 'length' END AS done_reason"
     )

@@ -125,7 +125,7 @@ def routes_summary(spark, sf_dir):
     FROM listed""",
 )
 def route_prompt(spark, sf_dir):
-    rows = plans.ranked(spark, sf_dir)
+    rows = plans.ranked(plans.chunk_rows(spark, sf_dir))
     plan = route_plan.route_plan(rows, KEYS)
     contexts = rows.select("class_name", "raw_route", F.col("content").alias("route_context"))
     prompt = prompts.route_prompt(plan, contexts, ["class_name", "raw_route"], "qwen2.5-coder:3b")

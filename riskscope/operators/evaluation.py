@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskscope.scaling import running_counts
+from riskscope.session import materialise
 
 # Fixed value: score from which a row counts as predicted positive.
 DECISION_THRESHOLD = 0.5
@@ -130,8 +131,8 @@ def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score: the only input the curves need."""
-    return (
+    """Positives and negatives per distinct score, written once: the only input the curves need."""
+    return materialise(
         df.where(F.col(score).isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("value"))
         .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskscope.functions import code
+from riskscope.functions.routes import coverage_pattern
 from riskscope.plans.scenarios import _text
 from riskscope.plans.settings import AppSettings
 from riskscope.scaling import bucketed_position, position_bucket
-from riskscope.session import ensure_checkpoint_dir
+from riskscope.session import materialise
 
 # Attempts per route and output budget of the first one.
 MAX_ATTEMPTS = 3
@@ -112,9 +113,8 @@ def unique_names(
     the rows that own the name, and further rounds settle it. Each round reads its input
     twice, so the rows are first written to the checkpoint folder.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     order = [F.col(pos)] + ([F.col(part)] if part else [])
-    base = df.withColumn("__owner", F.lit(0).cast("long")).checkpoint()
+    base = materialise(df.withColumn("__owner", F.lit(0).cast("long")))
     for _ in range(rounds):
         ordered = bucketed_position(
             base,
@@ -211,16 +211,15 @@ def generated_blocks(responses: DataFrame, keys: Sequence[str], text: str) -> Da
 
 
 def uncovered_routes(routes: DataFrame, code_texts: DataFrame, keys: Sequence[str], route: str = "raw_route", text: str = "text") -> DataFrame:
-    """Routes whose pattern is not found in the generated code of their own class.
+    """Routes whose pattern is found in no generated text of their own class.
 
-    An equi-join on the class brings each route to its text; the pattern is checked there. A
-    class without any text has all its routes uncovered.
+    An anti join on the class with the pattern as a further condition: texts never become
+    part of the result rows, and a class without any text has all its routes uncovered.
     """
-    from riskscope.functions.routes import coverage_pattern
-
-    joined = routes.join(code_texts.select(*keys, text), list(keys), "left")
-    found = F.coalesce(F.call_function("regexp_like", F.col(text), coverage_pattern(F.col(route))), F.lit(False))
-    return joined.where(~found).drop(text)
+    texts = code_texts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(text).alias("__text"))
+    same_class = [F.col(k) == F.col(f"__{k}") for k in keys]
+    covered = F.call_function("regexp_like", F.col("__text"), coverage_pattern(F.col(route)))
+    return routes.join(texts, [*same_class, covered], "left_anti")
 
 
 def coverage_retry(uncovered: DataFrame, keys: Sequence[str], most: int = 6) -> DataFrame:

@@ -12,14 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskscope.session import ensure_checkpoint_dir
+from riskscope.session import materialise
 
 # Rows of one (key, bucket) pair when the bucket is cut from a unique integer position.
 POSITION_BUCKET_ROWS = 1 << 20
 # Largest group that a plain window may sort in one task.
 WINDOW_GROUP_ROWS = 2_000_000
-# Largest row count that any explicit broadcast may reach.
-BROADCAST_ROWS = 10_000
 
 
 def position_bucket(position: Column, width: int = POSITION_BUCKET_ROWS) -> Column:
@@ -98,18 +96,15 @@ def checked_position(
     """Add the 1-based position inside `keys` for an arbitrary ascending `order` of columns.
 
     The largest group is measured first. Up to `group_rows` a plain window does it;
-    beyond, the rows are range-sorted on (keys, order) and written to the checkpoint
+    beyond, the rows are cut into ranges of (keys, order) and written to the checkpoint
     folder, so that the cut points cannot move, and each slice gets its offset.
     """
     largest = df.groupBy(*keys).count().agg(F.max("count")).head()[0]
     if largest is None or largest <= group_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
-    ensure_checkpoint_dir(df.sparkSession)
-    sliced = (
-        df.repartitionByRange(*keys, *order)
-        .withColumn("__slice", F.spark_partition_id().cast("long"))
-        .checkpoint()
+    sliced = materialise(
+        df.repartitionByRange(*keys, *order).withColumn("__slice", F.spark_partition_id().cast("long"))
     )
     ranked = bucketed_position(sliced, keys, F.col("__slice"), [F.col(c) for c in order], name)
     return ranked.drop("__slice")
@@ -119,12 +114,13 @@ def value_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
     """(feature, by…, value, n): each distinct non-null value of each feature with its row count.
 
     All features share one scan and one aggregation; map-side combining shrinks common values
-    before the shuffle.
+    before the shuffle. The reports read the counts several times, so they are written once
+    and the raw rows are not read again.
     """
     tall = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         list(by), list(features), "feature", "value"
     )
-    return (
+    return materialise(
         tall.where(F.col("value").isNotNull())
         .groupBy("feature", *by, "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -149,8 +145,8 @@ def running_counts(
 ) -> DataFrame:
     """Running and total sums over the distinct values of each (feature, by…) in value order.
 
-    `counts` holds one row per (feature, by…, value); the features are a short explicit list,
-    so the cut points are broadcast.
+    `counts` holds one row per (feature, by…, value) and is read three times; the features are
+    a short explicit list, so the cut points are broadcast.
     """
     slot = F.size(F.filter("splits", lambda s: s <= F.col("value"))).cast("long")
     placed = counts.join(F.broadcast(value_slices(counts)), "feature").withColumn(
@@ -190,8 +186,3 @@ def exact_quantiles(
         "probability",
         (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias("quantile"),
     )
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: at most `rows` rows, else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -43,3 +44,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared checkpoint folder and read back as Parquet.
+
+    For results that several branches of a plan read: the input is computed once, later
+    reads prune columns, and a lost executor costs no recomputation of the lineage.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/riskscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
