@@ -10,6 +10,7 @@ from riskscope.catalog.tables import (
     COMMITS_SQL,
     METRICS_SQL,
     NOW,
+    SECONDS,
     TOUCHES_SQL,
     commits,
     table,
@@ -88,7 +89,7 @@ def _log_blocks(spark, sf_dir):
     header = F.concat(
         F.when(kind == 0, F.lit("fix\twith tab")).otherwise(F.lit("fix: total")),
         F.lit("\tdev"), F.col("o_custkey").cast("string"), F.lit("@x\t"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string"), F.lit("\n"),
+        F.expr(SECONDS).cast("string"), F.lit("\n"),
     )
     paths = F.concat(
         F.lit("\nsrc/"), F.col("o_orderstatus"), F.lit("/A.php\nsrc\\"), F.col("o_orderpriority"), F.lit("/B.php\n")

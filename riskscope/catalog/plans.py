@@ -11,6 +11,7 @@ from riskscope.catalog.registry import register
 from riskscope.catalog.tables import table
 from riskscope.operators import chunks as chunk_ops, prompts
 from riskscope.plans import rendering, route_plan, scenarios
+from riskscope.plans.pipeline import plan_tests
 
 KEYS = ["class_name"]
 
@@ -135,13 +136,8 @@ _FILE_HEAD = """'<?php' || repeat(chr(10), 2) || 'namespace App\\Tests\\Function
 )
 def render_files(spark, sf_dir):
     """Whole test files of all classes."""
-    chunks = chunk_rows(spark, sf_dir)
-    rows = scenarios.expand(ranked(chunks), KEYS, keep=["first_route", "last_pos"])
-    unrouted = scenarios.unrouted_methods(chunk_ops.method_references(chunks), KEYS)
-    segments = rendering.file_segments(
-        chunk_ops.class_settings(chunks, KEYS), rows, with_settings(unrouted, chunks)
-    )
-    return rendering.join_segments(segments).withColumn("volume", F.col("volume").cast("int"))
+    files = plan_tests(chunk_rows(spark, sf_dir)).files()
+    return files.withColumn("volume", F.col("volume").cast("int"))
 
 
 @register(

@@ -31,6 +31,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+# Unix second of the order date; stored without a time zone, so the session's has no say.
+SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))"
+
 _SUBJECTS = {
     "1-URGENT": "fix: total of order ",
     "2-HIGH": "refactor #12 fix for order ",
@@ -48,7 +51,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("commit_id"),
         F.concat(F.coalesce(prefix, F.lit("chore: order ")), F.col("o_orderkey").cast("string")).alias("subject"),
         F.col("o_custkey").alias("author"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"),
+        F.expr(SECONDS).alias("ts"),
     )
 
 

@@ -123,11 +123,11 @@ def test_body_details(spark):
         spark,
         code.body_signals,
         "if (!$request->isXmlHttpRequest()) {} $this->createForm(App\\Form\\CommentType::class);"
-        " $this->denyAccessUnlessGranted('view', $creance, 'x'); $this->denyAccessUnlessGranted('edit');"
+        " $this->denyAccessUnlessGranted('view', $invoice, 'x'); $this->denyAccessUnlessGranted('edit');"
         " $request->request->get('a'); $request->query->get('b'); $request->files->get('c');",
     )
     assert s["is_ajax_only"] and s["form_type"] == "CommentType" and s["body_inferred_verb"] == "POST"
-    assert [(v["attribute"], v["subject"]) for v in s["voter_checks"]] == [("view", "creance"), ("edit", None)]
+    assert [(v["attribute"], v["subject"]) for v in s["voter_checks"]] == [("view", "invoice"), ("edit", None)]
     assert list(s["body_reads"]) == ["POST data", "query string", "uploaded files"]
     checked = evaluate(spark, code.body_signals, "$request->isMethod('DELETE'); $request->request->get('a');")
     assert checked["body_inferred_verb"] == "DELETE" and list(checked["body_reads"]) == []
@@ -192,7 +192,7 @@ def test_class_facts(spark, tmp_path):
         "file": "Controller/ProductController.php",
         "content": SOURCE,
         "class_name": "ProductController",
-        "class_attributes": [_attribute("Route", "/product"), _attribute("IsGranted", "ROLE_PARCOURS")],
+        "class_attributes": [_attribute("Route", "/product"), _attribute("IsGranted", "ROLE_COURSE")],
         "class_docblock": None,
         "methods": [
             _method("__construct", params=[param("repo", "ProductRepository"), param("em", "?\\EntityManagerInterface")]),
@@ -223,7 +223,7 @@ def test_class_facts(spark, tmp_path):
     }
     assert by_name["index"]["description"] == "Liste."
     assert by_name["index"]["routes"][0]["name"] == "product_index"
-    assert [g["role"] for g in row.class_grants] == ["ROLE_PARCOURS"]
+    assert [g["role"] for g in row.class_grants] == ["ROLE_COURSE"]
     assert [g["role"] for g in by_name["new"]["method_grants"]] == ["ROLE_ADMIN"]
     assert [g["role"] for g in by_name["edit"]["method_grants"]] == ["ROLE_EDITOR"]
     assert [(p["type"], p["name"]) for p in row.constructor_params] == [

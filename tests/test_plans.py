@@ -7,6 +7,7 @@ from helpers import evaluate, rows
 from riskscope.functions import routes
 from riskscope.operators import chunks as chunk_ops, prompts
 from riskscope.plans import rendering, route_plan, scenarios
+from riskscope.plans.pipeline import batch_requests, plan_batch, plan_tests
 
 KEYS = ["class_name"]
 CLASS = (
@@ -53,11 +54,7 @@ def names(spark, *contents):
 
 
 def whole_file(spark, *contents):
-    chunks = chunk_frame(spark, *contents)
-    settings = chunk_ops.class_settings(chunks, KEYS)
-    unrouted = scenarios.unrouted_methods(chunk_ops.method_references(chunks), KEYS).join(settings, KEYS)
-    expanded = scenarios.expand(planned(chunks), KEYS, keep=["first_route", "last_pos"])
-    return rendering.file_segments(settings, expanded, unrouted)
+    return plan_tests(chunk_frame(spark, *contents)).segments
 
 
 def test_render_route(spark):
@@ -211,13 +208,13 @@ def test_generation_outcome(spark):
 
 
 def test_entity_types_and_fixtures(spark):
-    content = "Params: (Creance $a, ?Creance $b, Request $r, int $i, FooType $f, BarService $s, \\Dossier $d, x)"
+    content = "Params: (Invoice $a, ?Invoice $b, Request $r, int $i, FooType $f, BarService $s, \\Voucher $d, x)"
     chunks = chunk_frame(spark, content)
     counts = rendering.entity_type_counts(chunks, KEYS)
-    assert rows(counts, "entity_type", "n") == [("Creance", 2), ("Dossier", 1)]
+    assert rows(counts, "entity_type", "n") == [("Invoice", 2), ("Voucher", 1)]
     text = rendering.fixture_files(rendering.fixture_segments(counts)).head().text
-    assert text.index("use App\\Entity\\Creance;") < text.index("use App\\Entity\\Dossier;")
-    assert "// $creance = new Creance();" in text and "final class FooControllerTestFixtures" in text
+    assert text.index("use App\\Entity\\Invoice;") < text.index("use App\\Entity\\Voucher;")
+    assert "// $invoice = new Invoice();" in text and "final class FooControllerTestFixtures" in text
 
 
 def test_prompts(spark):
@@ -237,3 +234,16 @@ def test_prompts(spark):
         spark.createDataFrame([("q",)], "id string"), spark.createDataFrame([], "id string, context string"), ["id"]
     )
     assert missing.head().context == prompts.NO_CONTEXT
+
+
+def test_batch(spark):
+    chunks = chunk_frame(spark, CLASS, RENDER).unionByName(
+        spark.createDataFrame([("BarController", 0, INTERNAL)], "class_name string, pos long, content string")
+    )
+    requests = batch_requests(spark, ["FooController", "Bar-Controller"])
+    assert rows(requests, "test_name") == [("BarControllerTest",), ("FooControllerTest",)]
+    plan = plan_batch(chunks, requests)
+    assert rows(plan.files().select("class_name")) == [("FooController",)]
+    assert rows(plan_tests(chunks).internal, "class_name") == [("BarController",)]
+    with pytest.raises(ValueError):
+        batch_requests(spark, [])
