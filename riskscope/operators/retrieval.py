@@ -265,8 +265,8 @@ def related_classes(
     """(block_id, project, reference, chunk_id, content): first chunk of each class a block refers to.
 
     A class matches when its name contains the reference, ignoring case. Chunks are first
-    reduced to one per class name; the names, not the chunks, are then expanded to the
-    pieces a reference could equal, which makes the containment an equi-join.
+    reduced to one per class name; the names, not the chunks, are then expanded to their
+    pieces of the lengths that occur, which makes the containment an equi-join.
     """
     references = (
         blocks.select(
@@ -279,21 +279,20 @@ def related_classes(
     firsts = chunks.groupBy(F.col(cols.project).alias("__project"), F.lower(cols.class_name).alias("__name")).agg(
         F.min_by(F.struct(cols.id, cols.content), cols.id).alias("first")
     )
-    length = F.length("__name")
-    starts = F.sequence(F.lit(1), length)
+    # At most as many lengths as a name has letters, so one short row per project.
+    lengths = wanted.groupBy("__project").agg(F.collect_set(F.length("__piece")).alias("__lengths"))
+    name, length = F.col("__name"), F.length("__name")
     pieces = F.array_distinct(
         F.flatten(
             F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col("__name"), i, n)
-                ),
+                F.filter("__lengths", lambda n: n <= length),
+                lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(name, i, n)),
             )
         )
     )
     matches = (
-        firsts.where(length > 0)
-        .select("__project", "first", F.explode(pieces).alias("__piece"))
+        firsts.join(lengths, "__project")
+        .select("__project", "first", F.explode_outer(pieces).alias("__piece"))
         .join(wanted, ["__project", "__piece"])
         .groupBy("__project", "__piece")
         .agg(F.min("first").alias("first"))
