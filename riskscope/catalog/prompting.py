@@ -9,7 +9,7 @@ from riskscope.catalog.plans import KEYS, _PLAN
 from riskscope.catalog.registry import register
 from riskscope.catalog.tables import table
 from riskscope.functions import safety
-from riskscope.operators import chunks as chunk_ops, prompts
+from riskscope.operators import prompts
 from riskscope.plans import route_plan
 
 _BRACED = "replace(text, 'e', CASE WHEN doc_id % 2 = 0 THEN '{' ELSE '}' END)"

@@ -1,7 +1,5 @@
 """Physical plans keep the shape that scale depends on."""
 
-from pyspark.sql import functions as F
-
 from riskscope.catalog import QUERIES
 from riskscope.operators import retrieval
 from riskscope.operators.chunks import method_references
