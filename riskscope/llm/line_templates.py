@@ -28,8 +28,11 @@ MIN_DOCS = 10
 LEADING = 3
 MIN_SHARE = 80
 FIELD = "<*>"
+# Leaf hashes that may be shipped to every task: 8 bytes each, 16 MB.
+SHIPPED_LEAVES = 2_000_000
 #: A whole token with a digit; the look-behind keeps the search linear in the token.
 _WITH_DIGIT = r"(?<!\S)[^\s\d]*+\d\S*"
+_WORDED_LINE = r"(?md)^[ \t\x0B\f\r]*+\S"
 
 
 def masked(line: Column) -> Column:
@@ -52,18 +55,16 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.col(f"`{id_column}`").alias("doc_id"),
         F.explode(F.array_distinct(masked_lines(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).alias("line"),
     ).where("line <> ''")
-    tokens = F.split("line", " ")
-    narrow = materialise(
-        lines.select("doc_id", F.xxhash64("line").alias("line_hash"), _leaf(tokens).alias("leaf"), F.size(tokens).alias("n"))
-    )
-    live = narrow.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= min_docs).select("leaf")
-    placed = narrow.join(live, "leaf").select("doc_id", "line_hash", "leaf").distinct()
-    counted = materialise(placed.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("n_docs")))
-
-    # Texts of the different lines of live leaves, folded to one row a line before the shuffle.
-    texts = (
-        lines.select(F.xxhash64("line").alias("line_hash"), "line").groupBy("line_hash").agg(F.first("line").alias("line"))
-    )
+    hashed = lines.select("doc_id", "line", F.xxhash64("line").alias("line_hash"), _leaf(F.split("line", " ")).alias("leaf"))
+    narrow = materialise(hashed.drop("line"))
+    reached = narrow.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
+    live = materialise(reached.where(F.col("n_lines") >= min_docs).select("leaf"))
+    # Few leaves are reached often. Their hashes are shipped while they are few, and shuffled beyond that.
+    shipped = F.broadcast(live) if live.count() <= SHIPPED_LEAVES else live
+    placed = materialise(narrow.join(shipped, "leaf", "left_semi").distinct())
+    counted = placed.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Texts of the different lines of live leaves, one row a line.
+    texts = hashed.join(shipped, "leaf", "left_semi").select("line_hash", "line").distinct()
     known = counted.join(texts, "line_hash")
     slots = known.select("leaf", "line_hash", "n_docs", F.posexplode(F.split("line", " ")).alias("slot", "token"))
     slots = materialise(slots.withColumn("token", F.when(F.col("token") != FIELD, F.xxhash64("token"))))
@@ -102,16 +103,15 @@ def drop_recurring_lines(
     """The rows of `docs` with recurring lines taken out of the text, and `__n_lines`, `__n_dropped`."""
     gone = recurring_lines(docs, id_column, text, min_docs).groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_set("line_hash").alias("__gone")
-    )
+    ).hint("shuffle_hash")
     body = F.col(f"`{text}`").cast("string")
     joined = docs.join(gone, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")), "left")
     lines = F.split(body, "\n", -1)
     stays = F.filter(lines, lambda line: ~F.array_contains("__gone", F.xxhash64(masked(line))))
     kept = F.when(F.col("__gone").isNull() | body.isNull(), F.array(body)).otherwise(stays)
     marked = joined.withColumn("__kept", kept)
-    worded = lambda part: F.size(F.filter(F.split(part, "\n", -1), lambda line: F.trim(masked(line)) != ""))
     out = F.array_join("__kept", "\n")
-    n_lines = F.when(body.isNull(), 0).otherwise(worded(body)).cast("long")
+    n_lines = F.when(body.isNull(), 0).otherwise(F.regexp_count(body, F.lit(_WORDED_LINE))).cast("long")
     columns = [
         (F.when(body.isNull(), body).otherwise(out) if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns
     ]
