@@ -35,7 +35,7 @@ from riskscope.session import materialise
 #: The masks: 1 keeps a token, 0 ignores it. Every single substitution leaves one mask whole.
 MASKS = ("111101011101", "110110111011", "101111010111")
 MASK_SPAN = 12
-SPAN = 20
+SPAN = 13
 MIN_SHARE = 80
 MIN_ITEM = 5
 # Seeds of a shipped index: 16 bytes each with their item and position, 32 MB in all.

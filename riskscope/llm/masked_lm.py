@@ -201,7 +201,7 @@ def pseudo_likelihood(docs: DataFrame, id_column: str = "doc_id", text: str = "t
             for i in range(0, len(buckets), 1 << 13):
                 at = np.arange(i, min(i + (1 << 13), len(buckets)))
                 found[at] = net.log_probability(_contexts(tokens, buckets, at, shape), classes[buckets[at]]) + inside[buckets[at]]
-            total = np.bincount(tokens.text_of, found, minlength=tokens.n_texts)
+            total = np.bincount(tokens.text_of, found, minlength=tokens.n_texts).astype(float)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(tokens.n_words.astype(np.int64)), pa.array(total)], [id_column, "n_tokens", "log_likelihood"]
             )

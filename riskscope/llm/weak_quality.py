@@ -27,7 +27,13 @@ MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 THRESHOLD = 0.5
 EM_ROUNDS = 200
-FALSE_ALARMS = 0.02
+FALSE_ALARMS = 0.005
+# Bad documents come in kinds, and a rule made for one kind votes on the others as it does on good
+# documents: so much of its votes on bad documents, other than bad votes, is estimated from them.
+OWN_VOTES = 0.2
+#: Votes (bad, abstain, good) that a bad and a good class are assumed to have cast beforehand; they
+#: matter only where a corpus has few documents.
+PRIOR_VOTES = np.array([[1.0, 0.2, 4.0], [0.05, 2.0, 18.0]])
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -165,7 +171,7 @@ def vote_pattern(votes: Sequence[Column]) -> Column:
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = EM_ROUNDS) -> np.ndarray:
     """P(good) of each vote pattern, by EM over a two-class model with one vote table per rule.
 
-    The start halves the belief in a pattern for each bad vote. A rule is assumed to be better
+    The start lowers the belief in a pattern to a fifth for each bad vote. A rule is assumed to be better
     than chance: it calls at most `FALSE_ALARMS` of the good documents bad, and calls bad ones
     bad more often than good ones. This keeps the meaning of the two classes.
     """
@@ -173,13 +179,14 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds
         return np.zeros(0)
     digits = (patterns[:, None] // 3 ** np.arange(rules)[None, :]) % 3
     onehot = np.eye(3)[digits]
-    posterior = 0.95 * 0.4 ** (digits == 0).sum(1)
+    posterior = 0.995 * 0.2 ** (digits == 0).sum(1)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
-        table = np.einsum("cp,prv->crv", weight, onehot) + 0.5
+        table = np.einsum("cp,prv->crv", weight, onehot) + PRIOR_VOTES[:, None, :]
         table /= table.sum(2, keepdims=True)
         alarm = np.minimum(table[1, :, 0], FALSE_ALARMS)
-        table = np.stack([_with_bad(table[0], np.maximum(table[0, :, 0], 2 * alarm)), _with_bad(table[1], alarm)])
+        other = (1 - OWN_VOTES) * table[1] + OWN_VOTES * table[0]
+        table = np.stack([_with_bad(other, np.maximum(table[0, :, 0], 2 * alarm)), _with_bad(table[1], alarm)])
         share = (weight.sum(1) + 1.0) / (weight.sum() + 2.0)
         score = np.log(share)[:, None] + np.einsum("prv,crv->cp", onehot, np.log(table))
         new = 1.0 / (1.0 + np.exp(np.clip(score[0] - score[1], -500, 500)))
