@@ -169,7 +169,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     )
     own = [F.col(f"`{c}`") for c in docs.columns]
     key = F.col(f"`{id_column}`") == F.col("__id")
-    single = docs.join(winners.where("__n = 1"), key, "left_semi")
+    # The same join at every size, without sorting the texts.
+    single = docs.join(winners.where("__n = 1").hint("shuffle_hash"), key, "left_semi")
     repeated = docs.join(winners.where("__n > 1"), key, "left_semi").dropDuplicates([id_column])
     nameless = docs.where(F.col(f"`{id_column}`").isNull()).dropDuplicates([text])
     return single.union(repeated).union(nameless).select(*own)
