@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from riskscope.scaling import exact_quantiles, running_counts, value_counts
+from riskscope.scaling import exact_quantiles, join_on, number, running_counts, value_counts
 
 SENTINEL = -1.0
 
@@ -33,7 +33,7 @@ def missing_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Null count and percentage per feature."""
     row = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col(f).isNull()).alias(f"n_missing__{f}") for f in features],
+        *[F.count_if(number(f).isNull()).alias(f"n_missing__{f}") for f in features],
     )
     return _tall(row, features, {"n_missing": "long"}, ["n_rows"]).select(
         "feature",
@@ -49,11 +49,11 @@ def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
             agg.alias(f"{name}__{f}")
             for f in features
             for name, agg in [
-                ("n", F.count(f)),
-                ("mean", F.avg(F.col(f).cast("double"))),
-                ("std", F.stddev_samp(F.col(f).cast("double"))),
-                ("min", F.min(F.col(f).cast("double"))),
-                ("max", F.max(F.col(f).cast("double"))),
+                ("n", F.count(number(f))),
+                ("mean", F.avg(number(f))),
+                ("std", F.stddev_samp(number(f))),
+                ("min", F.min(number(f))),
+                ("max", F.max(number(f))),
             ]
         ]
     )
@@ -132,7 +132,7 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 30, by: Sequen
     raw = F.least(
         F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)
     )
-    placed = counts.join(ranges, ["feature", *by]).withColumn("__raw", raw).withColumn(
+    placed = join_on(counts, ranges, ["feature", *by]).withColumn("__raw", raw).withColumn(
         "bin",
         (
             F.col("__raw")
@@ -144,7 +144,7 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 30, by: Sequen
     )
     filled = placed.groupBy("feature", *by, "bin").agg(F.sum("n").alias("n"))
     return (
-        grid.join(filled, ["feature", *by, "bin"], "left")
+        join_on(grid, filled, ["feature", *by, "bin"], "left")
         .na.fill({"n": 0})
         .select(
             "feature",
@@ -164,7 +164,7 @@ def box_stats(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) ->
     iqr = F.col("q75") - F.col("q25")
     inside = F.col("value").between(F.col("q25") - 1.5 * iqr, F.col("q75") + 1.5 * iqr)
     return (
-        counts.join(q, ["feature", *by])
+        join_on(counts, q, ["feature", *by])
         .groupBy("feature", *by)
         .agg(
             F.max("q25").alias("q25"),
@@ -212,25 +212,31 @@ def mann_whitney(df: DataFrame, features: Sequence[str], label: str) -> DataFram
 
 
 def exact_mann_whitney_p(u: float, n_safe: int, n_risk: int) -> float:
-    """Exact two-sided p of a rank test without ties, by counting arrangements."""
+    """Exact two-sided p of a rank test without ties, by counting arrangements.
+
+    The arrangements with a given U are the coefficients of a Gaussian binomial, and only the
+    tail is needed: dividing by 1 - q^i is a running sum in steps of i, multiplying by
+    1 - q^(n+i) a shifted difference.
+    """
     m, n = sorted((n_safe, n_risk))
-    ways = np.zeros((m + 1, m * n + 1))
-    ways[0, 0] = 1.0
-    for j in range(1, n + m + 1):
-        for i in range(min(m, j), 0, -1):
-            shift = j - i
-            if shift <= n:
-                ways[i, shift:] += ways[i - 1, : m * n + 1 - shift]
-    share = ways[m] / ways[m].sum()
-    top = math.ceil(max(u, m * n - u))
-    return min(1.0, 2.0 * float(share[top:].sum()))
-
-
-def with_mann_whitney_p(tests: DataFrame, exact_rows: int = 8, exact_cells: int = 1_000_000) -> DataFrame:
+    tail = m * n - math.ceil(max(u, m * n - u)) + 1
+    if tail <= 0:
+        return 0.0
+    ways = np.zeros(tail)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        for start in range(min(i, tail)):
+            ways[start::i] = np.cumsum(ways[start::i])
+        if n + i < tail:
+            ways[n + i :] -= ways[: tail - n - i].copy()
+    return min(1.0, 2.0 * float(ways.sum()) / float(math.comb(m + n, m)))
+
+
+def with_mann_whitney_p(tests: DataFrame, exact_rows: int = 8) -> DataFrame:
     """Add p and a significance mark to `mann_whitney` rows (one row per feature).
 
-    Without ties and with a side of at most eight rows the exact distribution is used while
-    its table stays small; otherwise the normal approximation.
+    Without ties and with a side of at most `exact_rows` rows the distribution is exact,
+    however large the other side; otherwise it is the normal approximation.
     """
 
     def finish(batches):
@@ -238,7 +244,7 @@ def with_mann_whitney_p(tests: DataFrame, exact_rows: int = 8, exact_cells: int
             p = []
             for row in pdf.itertuples():
                 small = min(row.n_safe, row.n_risk) <= exact_rows and not row.has_ties
-                if small and row.n_safe * row.n_risk * exact_rows <= exact_cells:
+                if small:
                     p.append(exact_mann_whitney_p(row.u, row.n_safe, row.n_risk))
                 else:
                     p.append(min(1.0, math.erfc(row.z / math.sqrt(2.0))))

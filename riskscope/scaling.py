@@ -9,6 +9,7 @@ are the same as those of the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,8 +17,15 @@ from riskscope.session import materialise
 
 # Rows of one (key, bucket) pair when the bucket is cut from a unique integer position.
 POSITION_BUCKET_ROWS = 1 << 20
-# Largest group that a plain window may sort in one task.
-WINDOW_GROUP_ROWS = 2_000_000
+# Distinct values of a feature that one task ranks.
+SLICE_VALUES = 200_000
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a null key matching a null key; the keys appear once."""
+    renamed = right.select(*[F.col(c).alias(f"__on_{c}" if c in keys else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__on_{k}" for k in keys])
 
 
 def position_bucket(position: Column, width: int = POSITION_BUCKET_ROWS) -> Column:
@@ -40,15 +48,14 @@ def bucketed_position(
 ) -> DataFrame:
     """Add the 1-based position of each row inside its key, and on request the rows of the key.
 
-    `bucket` must not decrease along `order`. Key columns must not be null.
+    `bucket` must not decrease along `order`. A null key is a key like any other.
     """
     tagged = df.withColumn("__bucket", bucket)
     slot = [*keys, "__bucket"]
     offsets = _offsets(tagged.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n")), keys, ["__n"])
     inside = Window.partitionBy(*slot).orderBy(*order)
     placed = (
-        tagged.withColumn("__inside", F.row_number().over(inside))
-        .join(offsets, slot)
+        join_on(tagged.withColumn("__inside", F.row_number().over(inside)), offsets, slot)
         .withColumn(name, (F.col("__inside") + F.col("__n_before")).cast("long"))
     )
     if total_name:
@@ -68,7 +75,7 @@ def bucketed_running_sums(
     out = tagged
     for s in sums:
         out = out.withColumn(f"__{s}_inside", F.sum(s).over(inside))
-    out = out.join(offsets, slot)
+    out = join_on(out, offsets, slot)
     for s in sums:
         out = out.withColumn(f"{s}_upto", F.col(f"__{s}_inside") + F.col(f"{s}_before"))
     return out.drop("__bucket", *[f"__{s}_inside" for s in sums], *[f"{s}_before" for s in sums])
@@ -89,27 +96,27 @@ def _offsets(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> Dat
 def checked_position(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     name: str,
-    group_rows: int = WINDOW_GROUP_ROWS,
 ) -> DataFrame:
-    """Add the 1-based position inside `keys` for an arbitrary ascending `order` of columns.
+    """Add the 1-based position inside `keys` for an arbitrary `order`, ascending for plain names.
 
-    The largest group is measured first. Up to `group_rows` a plain window does it;
-    beyond, the rows are cut into ranges of (keys, order) and written to the checkpoint
-    folder, so that the cut points cannot move, and each slice gets its offset.
+    The rows are cut into ranges of (keys, order) and written to the checkpoint folder, so
+    that the cut points cannot move, and each slice of a key gets its offset.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).head()[0]
-    if largest is None or largest <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-    sliced = materialise(
-        df.repartitionByRange(*keys, *order).withColumn("__slice", F.spark_partition_id().cast("long"))
-    )
-    ranked = bucketed_position(sliced, keys, F.col("__slice"), [F.col(c) for c in order], name)
+    by = [F.col(c).asc() if isinstance(c, str) else c for c in order]
+    ranges = df.repartitionByRange(*[F.col(k).asc() for k in keys], *by)
+    sliced = materialise(ranges.withColumn("__slice", F.spark_partition_id().cast("long")))
+    ranked = bucketed_position(sliced, keys, F.col("__slice"), by, name)
     return ranked.drop("__slice")
 
 
+def number(feature: str) -> Column:
+    """A feature as a double; NaN stands for a missing value, as in tables written by other tools."""
+    value = F.col(feature).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def value_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(feature, by…, value, n): each distinct non-null value of each feature with its row count.
 
@@ -117,7 +124,7 @@ def value_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
     before the shuffle. The reports read the counts several times, so they are written once
     and the raw rows are not read again.
     """
-    tall = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+    tall = df.select(*by, *[number(f).alias(f) for f in features]).unpivot(
         list(by), list(features), "feature", "value"
     )
     return materialise(
@@ -130,13 +137,14 @@ def value_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
 def value_slices(counts: DataFrame, slices: int | None = None) -> DataFrame:
     """(feature, splits): cut points that spread the distinct values of a feature evenly.
 
-    Cut points only decide which task handles a value, never a result. One row per feature.
+    Cut points only decide which task handles a value, never a result. One row per feature;
+    the slices follow the number of values, which are a stored table.
     """
     if slices is None:
-        slices = min(256, max(4, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        slices = max(4, -(-counts.count() // SLICE_VALUES))
     probabilities = [i / slices for i in range(1, slices)]
     return counts.groupBy("feature").agg(
-        F.percentile_approx("value", probabilities, 1000).alias("splits")
+        F.percentile_approx("value", probabilities, max(1000, 10 * slices)).alias("splits")
     )
 
 

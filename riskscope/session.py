@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Intermediate tables that this process wrote and has not released.
+_WRITTEN: list[str] = []
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution and skew handling on, in UTC.
@@ -33,7 +36,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is named."""
+    """The shared checkpoint folder of the cluster; a temporary one only on a local master.
+
+    Executors of a cluster do not see each other's disks, so without a named folder it raises.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -42,17 +48,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not is_single_process(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return context.getCheckpointDir()
 
 
+def is_single_process(master: str) -> bool:
+    """True for masters whose executor is the driver itself."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder and read back as Parquet.
 
     For results that several branches of a plan read: the input is computed once, later
     reads prune columns, and a lost executor costs no recomputation of the lineage.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/riskscope-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, for one intermediate table."""
+    path = f"{ensure_checkpoint_dir(spark)}/riskscope-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release_materialised(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; call it when their results are stored."""
+    released = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return released

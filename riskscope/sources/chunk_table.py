@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskscope.schemas import CHUNKS_SCHEMA
+from riskscope.session import materialise
 
 MAX_VECTOR_SIZE = 16_000
 
@@ -45,10 +46,10 @@ class ChunkTable:
     def replace_project(self, project_id: str, chunks: DataFrame) -> None:
         """Replace all chunks of a project; an empty frame just deletes the project.
 
-        Rows are rebalanced rather than hashed by project, so a large project is written
-        by many tasks.
+        The rows are computed once, into the shared folder. They are rebalanced rather than
+        hashed by project, so a large project is written by many tasks.
         """
-        rows = chunks.withColumn("project_id", F.lit(project_id)).select(*self.columns)
+        rows = materialise(chunks.withColumn("project_id", F.lit(project_id)).select(*self.columns))
         if rows.isEmpty():
             self.drop_project(project_id)
             return

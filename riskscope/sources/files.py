@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskscope.scaling import checked_position
 from riskscope.schemas import CLASS_FACTS_SCHEMA, EXAMPLES_SCHEMA, FEATURES_SCHEMA
 
 # Directories that are never scanned.
@@ -91,10 +92,11 @@ def read_class_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of examples, numbered in file order by `example_no`."""
-    return spark.read.schema(EXAMPLES_SCHEMA).json(path, multiLine=True).withColumn(
-        "example_no", F.monotonically_increasing_id()
-    )
+    """JSON arrays of examples, numbered by file name and place in the file by `example_no`."""
+    rows = spark.read.schema(EXAMPLES_SCHEMA).json(path, multiLine=True)
+    # A file is one array and read by one task, which numbers its rows in order.
+    placed = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
+    return checked_position(placed, [], ["__file", "__at"], "example_no").drop("__file", "__at")
 
 
 def read_features(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -103,7 +105,10 @@ def read_features(spark: SparkSession, path: str, columns: Sequence[str] | None
         df = spark.read.parquet(path)
     else:
         df = spark.read.csv(path, header=True, schema=FEATURES_SCHEMA, enforceSchema=False)
-    return df.select(*columns) if columns else df
+    kept = df.select(*columns) if columns else df
+    floats = [c for c, t in kept.dtypes if t in ("double", "float")]
+    # Other tools write missing numbers as NaN.
+    return kept.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -119,9 +124,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_scored(df: DataFrame, path: str) -> None:
-    """All scored rows as CSV, one file per partition."""
+def export_scored(df: DataFrame, path: str, top_path: str | None = None, top: int = 30, score: str = "risk_score", ties: Sequence[str] = ()) -> None:
+    """All scored rows as CSV, one file per partition; on request the `top` highest as one more file."""
     df.write.mode("overwrite").option("header", True).csv(path)
+    if top_path:
+        write_report(df.orderBy(F.col(score).desc(), *ties).limit(top), top_path)
 
 
 def missing_columns(df: DataFrame, needed: Iterable[str]) -> list[str]:

@@ -145,8 +145,7 @@ def test_votes_and_bands(spark):
     assert rows(evaluation.group_vote(df, "file", "y", "p"), "file", "label", "vote") == [("a", 1, 1), ("b", 0, 0)]
     bands = frame(spark, s=[0.39, 0.40, 0.69, 0.70]).select(scoring.risk_band(F.col("s")))
     assert [r[0] for r in bands.collect()] == ["Faible", "Moyen", "Moyen", "Élevé"]
-    with pytest.raises(ValueError):
-        scoring.top_rows(df, "p", ["file"], n=3)
+    assert scoring.top_rows(df, "p", ["file", "y"], n=1).count() == 1
 
 
 def test_stratified_folds(spark):
@@ -182,8 +181,8 @@ def test_bucketed_position(spark, width):
 
 
 def test_checked_position_large_group(spark):
-    plain = rows(scaling.checked_position(_hot(spark), ["k"], ["pos"], "n"), "k", "pos", "n")
-    assert rows(scaling.checked_position(_hot(spark), ["k"], ["pos"], "n", group_rows=100), "k", "pos", "n") == plain
+    plain = _hot(spark).selectExpr("k", "pos", "row_number() OVER (PARTITION BY k ORDER BY pos) AS n")
+    assert rows(scaling.checked_position(_hot(spark), ["k"], ["pos"], "n"), "k", "pos", "n") == rows(plain, "k", "pos", "n")
 
 
 def test_running_counts(spark):
@@ -193,3 +192,24 @@ def test_running_counts(spark):
     plain = spark.sql("SELECT g, value, sum(n) OVER (PARTITION BY g ORDER BY value) AS up FROM vc")
     found = scaling.running_counts(counts, ["g"], ["n"])
     assert rows(found, "g", "value", "n_upto") == rows(plain, "g", "value", "up")
+
+
+def test_null_groups_and_nan(spark):
+    data = [(None, 1.0, 0), (None, 3.0, 1), ("a", 2.0, 1), ("a", float("nan"), 0), ("a", 1.0, 0)]
+    df = spark.createDataFrame(data, "g string, x double, y int")
+    assert {r.g for r in profiling.histogram(df, ["x"], 2, ["g"]).collect()} == {None, "a"}
+    assert {r.g: r.roc_auc for r in evaluation.roc_auc(df.where(~F.isnan("x")), "y", "x", ["g"]).collect()} == {None: 1.0, "a": 1.0}
+    row = profiling.describe(df, ["x"]).head()
+    assert (row.n, row.max, row["mean"]) == (4, 3.0, 1.75)
+
+
+def test_exact_rank_p_for_one_small_side():
+    from itertools import combinations
+
+    for m, n in ((3, 5), (2, 9), (4, 4)):
+        us = [sum(c) - m * (m + 1) // 2 for c in combinations(range(1, m + n + 1), m)]
+        for u in set(us):
+            top = max(u, m * n - u)
+            want = min(1.0, 2 * sum(x >= top for x in us) / len(us))
+            assert abs(profiling.exact_mann_whitney_p(u, m, n) - want) < 1e-9
+    assert 0.0 < profiling.exact_mann_whitney_p(400_000, 2, 300_000) <= 1.0

@@ -1,5 +1,8 @@
 """Physical plans keep the shape that scale depends on."""
 
+import pytest
+
+from riskscope import session
 from riskscope.catalog import QUERIES
 from riskscope.operators import retrieval
 from riskscope.operators.chunks import method_references
@@ -57,3 +60,43 @@ def test_settings_need_one_shuffle(spark):
 
     chunks = spark.createDataFrame([("C", 1, "x")], "class_name string, pos long, content string")
     assert plan(class_settings(chunks, ["class_name"])).count("Exchange") == 1
+
+
+def test_a_request_reads_the_corpus_twice(spark, monkeypatch):
+    stored = []
+
+    def keep(df):
+        stored.append(plan(df))
+        return df
+
+    monkeypatch.setattr(retrieval, "materialise", keep)
+    spark.range(3).selectExpr(
+        "id AS chunk_id", "'p' AS project_id", "'t' AS chunk_type", "'C' AS class_name", "'x' AS content", "array(1.0D, id) AS embedding"
+    ).write.mode("overwrite").saveAsTable("corpus_for_shape")
+    try:
+        corpus = spark.table("corpus_for_shape")
+        retrieval.request_candidates(corpus, [1.0, 0.0], [0.0, 1.0], "C", 2, 2)
+        assert len(stored) == 1 and stored[0].count("FileScan") <= 2
+    finally:
+        spark.sql("DROP TABLE IF EXISTS corpus_for_shape")
+
+
+def test_vectors_of_another_size_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "chunk_id long, embedding array<float>")
+    assert retrieval.top_k(df, [1.0, 0.0]).count() == 1
+    with pytest.raises(Exception, match="3 elements"):
+        retrieval.top_k(df, [1.0, 0.0, 0.0]).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert session.is_single_process("local") and session.is_single_process("local[4]")
+    assert not session.is_single_process("local-cluster[3,2,1024]") and not session.is_single_process("spark://h:7077")
+
+
+def test_intermediate_tables_are_released(spark):
+    import os
+
+    session.materialise(spark.range(3))
+    path = session._WRITTEN[-1].removeprefix("file:")
+    assert os.path.isdir(path)
+    assert session.release_materialised(spark) >= 1 and not os.path.isdir(path)
