@@ -89,6 +89,19 @@ def rule_scan(spark, sf_dir):
     return found.select("conv_id", "turn", "rule", "is_blocking", "line", "excerpt")
 
 
+_CUSTOM = safety.Rule("custom", r"e\D\De", "own rule")
+
+
+@register(
+    "custom_rule_scan",
+    r"SELECT doc_id, len(regexp_extract_all(text, '(?i)e\D\De'))::INT AS n FROM documents",
+)
+def custom_rule_scan(spark, sf_dir):
+    """A rule of the caller's own, with a negated class, over whole texts."""
+    found = safety.findings(F.col("text"), [_CUSTOM])
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"))
+
+
 _REASONS = """CASE (conv_id + turn) % 6 WHEN 0 THEN 'exécution de commande système' WHEN 1 THEN 'exécution de commande système'
   WHEN 2 THEN 'lecture d''une URL distante ou d''un flux php://' WHEN 3 THEN 'suppression ou déplacement de fichier' ELSE '' END"""
 
@@ -419,10 +432,10 @@ def template_join(spark, sf_dir):
 
 _FACTS = f"""facts AS (
   SELECT c.class_name, c.pos, p.p_size, p.prefix, p.p_partkey,
-         CASE c.pos // 100000 WHEN 1 THEN 'index' WHEN 2 THEN 'edit' WHEN 3 THEN 'data' ELSE 'helperAction' END AS method_name,
-         CASE WHEN c.pos // 100000 = 1 THEN prefix || '/' WHEN c.pos = 200001 THEN prefix || '/{{id}}/edit'
-              WHEN c.pos = 200002 THEN prefix || '/{{slug}}/modifier'
-              WHEN c.pos // 100000 = 3 THEN CASE WHEN {ct.DATA_ROUTED} THEN prefix || '/data' END ELSE prefix END AS raw_route,
+         CASE c.pos // 4294967296 WHEN 1 THEN 'index' WHEN 2 THEN 'edit' WHEN 3 THEN 'data' ELSE 'helperAction' END AS method_name,
+         CASE WHEN c.pos // 4294967296 = 1 THEN prefix || '/' WHEN c.pos = 8589934593 THEN prefix || '/{{id}}/edit'
+              WHEN c.pos = 8589934594 THEN prefix || '/{{slug}}/modifier'
+              WHEN c.pos // 4294967296 = 3 THEN CASE WHEN {ct.DATA_ROUTED} THEN prefix || '/data' END ELSE prefix END AS raw_route,
          CASE WHEN {ct.HAS_CLASS_GRANT} THEN 'ROLE_PART' ELSE 'ADMIN' END AS class_role
   FROM chunks c JOIN p USING (p_partkey) WHERE c.chunk_type = 'controllers_method')"""
 

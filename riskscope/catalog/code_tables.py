@@ -192,7 +192,7 @@ class_text AS (
          || CASE WHEN {HAS_CLASS_GRANT} THEN chr(10) || '  → Rôles classe: ROLE_PART' ELSE '' END AS content
   FROM p JOIN profiles USING (p_partkey)),
 unrouted AS (
-  SELECT p_partkey, class_name, file, 1 + 3 * 100000::BIGINT AS pos, 'controllers_method' AS chunk_type,
+  SELECT p_partkey, class_name, file, 1 + 3 * 4294967296::BIGINT AS pos, 'controllers_method' AS chunk_type,
          'Méthode ''data'' (' || class_name || ') — Params: (Request $request)' || chr(10)
          || '  → Pas de route HTTP (méthode interne)' AS content
   FROM p WHERE NOT ({DATA_ROUTED})),
@@ -207,7 +207,7 @@ base AS (
     method = 'index' OR (method = 'edit' AND {EDIT_RENDERS}) AS renders
   FROM routes),
 routed AS (
-  SELECT p_partkey, class_name, file, 1 + method_pos * 100000::BIGINT + route_pos AS pos, 'controllers_method' AS chunk_type,
+  SELECT p_partkey, class_name, file, 1 + method_pos * 4294967296::BIGINT + route_pos AS pos, 'controllers_method' AS chunk_type,
     opening
     || CASE WHEN method = 'data' AND {HAS_METHOD_GRANT} THEN chr(10) || '  → Rôle requis (méthode): ROLE_SUPER_ADMIN' ELSE '' END
     || CASE WHEN renders THEN chr(10) || '  → H1: Page ' || (p_partkey % 50) || chr(10) || '  → Champs formulaire: nom, qty'

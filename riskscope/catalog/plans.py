@@ -37,8 +37,8 @@ def ranked(chunks, role_map=None):
 
 _RANKED = f"""{METADATA_SQL},
 ranked AS (
-  SELECT * REPLACE (cap || CASE WHEN pos = 200002 THEN 'Route2' ELSE '' END AS cap),
-         CASE WHEN pos = 200002 THEN 2 ELSE 1 END::BIGINT AS route_rank,
+  SELECT * REPLACE (cap || CASE WHEN pos = 8589934594 THEN 'Route2' ELSE '' END AS cap),
+         CASE WHEN pos = 8589934594 THEN 2 ELSE 1 END::BIGINT AS route_rank,
          CASE method_role WHEN 'ROLE_PART' THEN 'Part' WHEN 'ADMIN' THEN 'Admin' ELSE 'Super_Admin' END AS rl,
          regexp_replace(raw_route, '\\{{[^}}]+\\}}', '99999999', 'g') AS bogus,
          '$this->client->loginUser($this->getTestUser(''' || method_role || '''), ''secured_area'');' AS login,
@@ -129,22 +129,21 @@ _FILE_HEAD = """'<?php' || repeat(chr(10), 2) || 'namespace App\\Tests\\Function
     methods AS (SELECT class_name, pos, scenario_no, '    /** ' || comment || ' */' || chr(10) || '    public function ' || func_name || '(): void'
         || chr(10) || '    {{' || chr(10) || '        ' || array_to_string(body, chr(10) || '        ') || chr(10) || '    }}' AS m FROM sc),
     files AS (SELECT class_name, string_agg(m, repeat(chr(10), 2) ORDER BY pos, scenario_no) AS all_methods FROM methods GROUP BY class_name)
-    SELECT class_name, 0 AS volume, {_FILE_HEAD.replace("{", "{").replace("}", "}")}
+    SELECT class_name, {_FILE_HEAD.replace("{", "{").replace("}", "}")}
       || CASE WHEN class_name IN (SELECT class_name FROM unrouted)
          THEN chr(10) || '    // Méthodes sans route HTTP (non testées ici) : data' || chr(10) ELSE '' END
       || chr(10) || all_methods || chr(10) || '}}' || chr(10) AS text FROM files""",
 )
 def render_files(spark, sf_dir):
     """Whole test files of all classes."""
-    files = plan_tests(chunk_rows(spark, sf_dir)).files()
-    return files.withColumn("volume", F.col("volume").cast("int"))
+    return plan_tests(chunk_rows(spark, sf_dir)).files()
 
 
 @register(
     "entity_types",
     f"""WITH {ct.METHOD_TEXT_SQL}
     SELECT class_name, 'Part' AS entity_type, sum(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS n
-    FROM routed WHERE pos // 100000 = 2 GROUP BY class_name
+    FROM routed WHERE pos // 4294967296 = 2 GROUP BY class_name
     UNION ALL SELECT 'x', 'x', 0 WHERE false""",
 )
 def entity_types(spark, sf_dir):
@@ -153,7 +152,7 @@ def entity_types(spark, sf_dir):
 
 @register(
     "fixture_files",
-    """SELECT 'Part' || p_partkey || 'Controller' AS class_name, 0 AS volume, '<?php' || repeat(chr(10), 2) || 'namespace App\\Tests\\Functional\\Fixtures;' || repeat(chr(10), 2)
+    """SELECT 'Part' || p_partkey || 'Controller' AS class_name, '<?php' || repeat(chr(10), 2) || 'namespace App\\Tests\\Functional\\Fixtures;' || repeat(chr(10), 2)
       || '// use App\\Entity\\Part;' || chr(10) || 'use Doctrine\\Bundle\\FixturesBundle\\Fixture;' || chr(10)
       || 'use Doctrine\\Persistence\\ObjectManager;' || repeat(chr(10), 2) || '/**' || chr(10)
       || ' * Fixtures squelette auto-générées pour Part' || p_partkey || 'ControllerTest.' || chr(10) || ' *' || chr(10)
@@ -180,7 +179,7 @@ def fixture_files(spark, sf_dir):
 def redirect_internal(spark, sf_dir):
     """Classes sent to unit tests; every eleventh class is cut down to its data method."""
     rows = chunk_rows(spark, sf_dir).where(
-        (F.col("p_partkey") % 11 != 0) | (F.col("pos") == 300001)
+        (F.col("p_partkey") % 11 != 0) | (F.col("pos") == 12884901889)
     )
     _, internal = chunk_ops.split_internal(chunk_ops.class_settings(rows, KEYS))
     return internal.select("class_name", "profile")
@@ -268,11 +267,11 @@ best AS (SELECT route_id, any_value(kept) AS kept, max(n_made) AS attempts, max(
          FROM made LEFT JOIN (SELECT * FROM k WHERE n = 1) USING (route_id) GROUP BY route_id)"""
 
 
-def _attempts(spark, sf_dir):
+def _attempts(spark, sf_dir, per_route: int = 3):
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / 3).alias("route_id"),
-        (F.col("event_id") % 3 + 1).cast("int").alias("attempt"),
+        F.floor(F.col("event_id") / per_route).alias("route_id"),
+        (F.col("event_id") % per_route + 1).cast("int").alias("attempt"),
         (k % 4).alias("n_blocks"),
         F.when(F.col("event_type").isin("error", "view"), "length")
         .when(F.col("event_type") != "click", "stop")
@@ -287,6 +286,52 @@ def best_attempt(spark, sf_dir):
     return route_plan.best_attempt(_attempts(spark, sf_dir), ["route_id"])
 
 
+_BEST_OF_SEVEN = _BEST.replace("event_id // 3 AS", "event_id // 7 AS").replace("event_id % 3 + 1", "event_id % 7 + 1")
+
+
+@register("best_attempt_of_seven", f"WITH {_BEST_OF_SEVEN} SELECT * FROM best")
+def best_attempt_of_seven(spark, sf_dir):
+    return route_plan.best_attempt(_attempts(spark, sf_dir, 7), ["route_id"])
+
+
+_BASE = "'a' || CASE turn % 4 WHEN 1 THEN '2' WHEN 3 THEN '22' ELSE '' END"
+_FREE = "CASE WHEN NOT list_contains(taken, o.base) THEN o.base ELSE o.base || list_filter(range(2, 60), lambda i: NOT list_contains(taken, o.base || i))[1] END"
+
+
+@register(
+    "unique_names_colliding",
+    f"""WITH RECURSIVE o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_BASE} AS base FROM conversations),
+    f AS (SELECT conv_id, k, turn, base AS name, [base] AS taken FROM o WHERE k = 1
+          UNION ALL SELECT o.conv_id, o.k, o.turn, {_FREE}, list_append(taken, {_FREE}) FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1)
+    SELECT conv_id, turn, name FROM f""",
+)
+def unique_names_colliding(spark, sf_dir):
+    """Names that end in numbers and run into each other."""
+    names = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_BASE).alias("name"))
+    return route_plan.unique_names(names, ["conv_id"], "name", "turn")
+
+
+_CONV_CLASS = "'Conv' || conv_id"
+
+
+@register(
+    "route_files",
+    f"""WITH b AS (SELECT {_CONV_CLASS} AS class_name, turn, 'test' || role AS base, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations),
+    m AS (SELECT class_name, string_agg('    public function ' || base || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END || '(): void' || chr(10) || '    {{' || chr(10)
+        || '        // test' || turn || '(' || chr(10) || '    }}', repeat(chr(10), 2) ORDER BY turn) AS body FROM b GROUP BY class_name)
+    SELECT class_name, {_FILE_HEAD} || chr(10) || body || chr(10) || '}}' || chr(10) AS text FROM m""",
+)
+def route_files(spark, sf_dir):
+    """One method per turn, named by its role, assembled into one file per conversation."""
+    blocks = table(spark, sf_dir, "conversations").select(
+        F.expr(_CONV_CLASS).alias("class_name"), F.col("turn").alias("pos"), F.lit(0).alias("part"),
+        F.concat(
+            F.lit("    public function test"), "role", F.lit("(): void\n    {\n        // test"), F.col("turn").cast("string"), F.lit("(\n    }")
+        ).alias("block"),
+    )
+    return route_plan.route_files(blocks, KEYS)
+
+
 @register(
     "generation_outcome",
     f"""WITH {_BEST}, g AS (SELECT route_id % 997 AS class_no, count(*) AS routes_total, count(*) FILTER (ok) AS routes_generated,
@@ -316,11 +361,14 @@ def _uncovered(spark, sf_dir):
         .distinct()
         .select("conv_id", F.concat(F.lit("/"), "word", F.lit("/{id}")).alias("raw_route"))
     )
-    answered = turns.where("role = 'assistant'").select(
+    return route_plan.uncovered_routes(asked, _answers(spark, sf_dir), ["conv_id"])
+
+
+def _answers(spark, sf_dir):
+    answered = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         "conv_id", "turn", F.concat(F.lit("/"), F.translate("text", "\n ", "//")).alias("text")
     )
-    texts = prompts.join_pieces(answered, ["conv_id"], ["turn"], "text")
-    return route_plan.uncovered_routes(asked, texts, ["conv_id"])
+    return prompts.join_pieces(answered, ["conv_id"], ["turn"], "text")
 
 
 @register("uncovered_routes", f"WITH {_TURNS} SELECT * FROM u")
@@ -352,3 +400,27 @@ def generated_blocks(spark, sf_dir):
     """Complete test methods of answers that end in a cut-off one."""
     answers = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_ANSWER} AS answer")
     return route_plan.generated_blocks(answers, ["conv_id", "turn"], "answer")
+
+
+@register(
+    "missing_routes",
+    f"WITH {_TURNS} SELECT conv_id, count(*) AS n_missing, string_agg(raw_route, ' ' ORDER BY raw_route) AS missing FROM u GROUP BY conv_id HAVING count(*) <= 6",
+)
+def missing_routes(spark, sf_dir):
+    found = route_plan.missing_routes(_uncovered(spark, sf_dir), ["conv_id"])
+    return found.withColumn("missing", F.array_join("missing", " "))
+
+
+@register(
+    "retry_prompts",
+    f"""WITH {_TURNS}, m AS (SELECT conv_id, string_agg(raw_route, ''', ''' ORDER BY raw_route) AS missing FROM u GROUP BY conv_id HAVING count(*) <= 40)
+    SELECT conv_id, '<|im_start|>system' || chr(10) || 'Règles' || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Scénario: '
+      || 'Routes manquantes : [''' || missing || ''']' || repeat(chr(10), 2)
+      || 'Complète le fichier suivant en ajoutant les tests manquants. Retourne TOUT le fichier corrigé commençant par <?php, sans markdown.'
+      || repeat(chr(10), 2) || 'Code actuel :' || chr(10) || body || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt
+    FROM m JOIN t USING (conv_id)""",
+)
+def retry_prompts(spark, sf_dir):
+    """The request to complete the answers of a conversation with the routes they miss."""
+    missing = route_plan.missing_routes(_uncovered(spark, sf_dir), ["conv_id"], 40)
+    return route_plan.retry_prompts(missing, _answers(spark, sf_dir), ["conv_id"], F.lit("Règles"), "phi3")

@@ -25,7 +25,7 @@ _BALANCE = "(length(c) - length(replace(c, '{', '')) - (length(c) - length(repla
 )
 def truncate_example(spark, sf_dir):
     braced = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_BRACED} AS text")
-    return braced.withColumn("text", prompts.truncate_example(F.col("text")))
+    return braced.withColumn("text", prompts.truncate_example(F.col("text"), prompts.MAX_EXAMPLE_CHARS))
 
 
 @register(
@@ -34,7 +34,17 @@ def truncate_example(spark, sf_dir):
         (length(substr(text, 1, 12000)) // 3)::BIGINT AS estimated_tokens, length(substr(text, 1, 12000)) // 3 > 6500 AS is_over_budget FROM documents""",
 )
 def fit_budget(spark, sf_dir):
-    return prompts.fit_budget(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt")), "prompt")
+    return prompts.fit_budget(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt")), "prompt", prompts.MAX_PROMPT_CHARS)
+
+
+@register(
+    "fit_budget_unlimited",
+    """SELECT doc_id, text AS prompt, false AS is_truncated, (length(text) // 4)::BIGINT AS estimated_tokens, length(text) // 4 > 900 AS is_over_budget FROM documents""",
+)
+def fit_budget_unlimited(spark, sf_dir):
+    """Without a limit nothing is cut; the estimate and the warning are parameters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return prompts.fit_budget(docs, "prompt", chars_per_token=4, warn_tokens=900)
 
 
 _DEMAND = "CASE item_id % 6 WHEN 3 THEN 'Test CRUD ' WHEN 4 THEN 'Profil mixte ' WHEN 5 THEN 'Via XHR ' ELSE 'Cas ' END || item_id"
@@ -99,14 +109,14 @@ def context_blocks(spark, sf_dir):
 @register(
     "routes_summary",
     f"""WITH {ct.METHOD_TEXT_SQL},
-    lines AS (SELECT r.class_name, r.pos, '  - ' || CASE r.pos // 100000 WHEN 1 THEN 'index: ' || prefix || '/' WHEN 2 THEN 'edit: ' || prefix
-        || CASE r.pos WHEN 200001 THEN '/{{id}}/edit' ELSE '/{{slug}}/modifier' END WHEN 3 THEN 'data: ' || prefix || '/data' ELSE 'helperAction: ' || prefix END
-        || ' → ' || CASE r.pos // 100000 WHEN 1 THEN 'render (200)' WHEN 2 THEN CASE WHEN {ct.EDIT_RENDERS} THEN 'render (200)' ELSE 'redirect (302)' END
+    lines AS (SELECT r.class_name, r.pos, '  - ' || CASE r.pos // 4294967296 WHEN 1 THEN 'index: ' || prefix || '/' WHEN 2 THEN 'edit: ' || prefix
+        || CASE r.pos WHEN 8589934593 THEN '/{{id}}/edit' ELSE '/{{slug}}/modifier' END WHEN 3 THEN 'data: ' || prefix || '/data' ELSE 'helperAction: ' || prefix END
+        || ' → ' || CASE r.pos // 4294967296 WHEN 1 THEN 'render (200)' WHEN 2 THEN CASE WHEN {ct.EDIT_RENDERS} THEN 'render (200)' ELSE 'redirect (302)' END
                       WHEN 3 THEN 'json (200)' ELSE '(type non détecté)' END
-        || CASE WHEN r.pos = 200001 THEN ' [GET, POST]' WHEN r.pos // 100000 = 3 THEN ' [DELETE] [AJAX]' ELSE '' END
-        || CASE WHEN r.pos // 100000 = 2 THEN ' [Form: PartType]' ELSE '' END
-        || CASE WHEN r.pos // 100000 = 3 AND {ct.HAS_METHOD_GRANT} THEN ' [Rôle: ROLE_SUPER_ADMIN]' ELSE '' END
-        || CASE WHEN r.pos // 100000 = 2 AND {ct.HAS_VOTER} THEN ' [Voter: edit]' ELSE '' END AS line
+        || CASE WHEN r.pos = 8589934593 THEN ' [GET, POST]' WHEN r.pos // 4294967296 = 3 THEN ' [DELETE] [AJAX]' ELSE '' END
+        || CASE WHEN r.pos // 4294967296 = 2 THEN ' [Form: PartType]' ELSE '' END
+        || CASE WHEN r.pos // 4294967296 = 3 AND {ct.HAS_METHOD_GRANT} THEN ' [Rôle: ROLE_SUPER_ADMIN]' ELSE '' END
+        || CASE WHEN r.pos // 4294967296 = 2 AND {ct.HAS_VOTER} THEN ' [Voter: edit]' ELSE '' END AS line
       FROM routed r JOIN p USING (p_partkey))
     SELECT class_name, 'ROUTES À TESTER (exhaustif, ne pas en oublier) :' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS summary FROM lines GROUP BY class_name""",
 )

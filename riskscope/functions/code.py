@@ -199,8 +199,10 @@ def test_blocks(text: Column) -> Column:
                 ),
             )
 
-        rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
-        return F.when(i > 0, indent_block(strip_space(let(rest, complete))))
+        # Most blocks close inside their own cut; only others look at what follows.
+        own = let(F.get(pieces, i), complete)
+        rest = let(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), ""), complete)
+        return F.when(i > 0, indent_block(strip_space(F.coalesce(own, rest))))
 
     blocks = let(F.split(marked, cut), lambda pieces: F.transform(pieces, lambda _, i: block(pieces, i)))
     return F.filter(blocks, lambda b: b.isNotNull())

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskscope.functions import chunk_text, routes, templates
 from riskscope.functions.code import none_if_empty
 
+# Positions reserved for the routes of one method: more than an array can hold.
+METHOD_STRIDE = 1 << 32
 CHUNK_COLUMNS = ["project_id", "file_path", "class_name", "pos", "chunk_type", "content"]
 
 
@@ -78,7 +80,7 @@ def method_chunks(methods: DataFrame, category: Column) -> DataFrame:
         "project_id",
         F.col("file").alias("file_path"),
         "class_name",
-        (1 + F.col("method_pos") * 100000 + F.coalesce("route_pos", F.lit(0))).cast("long").alias("pos"),
+        (1 + F.col("method_pos").cast("long") * METHOD_STRIDE + F.coalesce("route_pos", F.lit(0))).cast("long").alias("pos"),
         F.concat(category, F.lit("_method")).alias("chunk_type"),
         text.alias("content"),
     )

@@ -11,7 +11,7 @@ from riskscope.functions.code import strip_space
 from riskscope.plans.settings import AppSettings
 from riskscope.schemas import STREAM_LINE_SCHEMA
 
-# Size limits of examples and prompts.
+# The size limits of examples and prompts that a caller may pass.
 MAX_EXAMPLE_CHARS = 3500
 MAX_PROMPT_CHARS = 12_000
 CHARS_PER_TOKEN = 3
@@ -32,8 +32,10 @@ ROUTES_TITLE = "ROUTES À TESTER (exhaustif, ne pas en oublier) :"
 PIECES_PER_STEP = 4_096
 
 
-def truncate_example(text: Column, limit: int = MAX_EXAMPLE_CHARS) -> Column:
-    """Cut a long example and close the braces it leaves open."""
+def truncate_example(text: Column, limit: int | None = None) -> Column:
+    """Cut an example longer than `limit` and close the braces it leaves open; no limit, no cut."""
+    if limit is None:
+        return text
     cut = F.substring(text, 1, limit)
     braces = lambda c: F.length(cut) - F.length(F.replace(cut, F.lit(c), F.lit("")))
     missing = F.greatest(F.lit(0), braces("{") - braces("}"))
@@ -87,15 +89,17 @@ def build_prompt(system: Column, shots: Column, user: Column, model: str) -> Col
     )
 
 
-def fit_budget(df: DataFrame, prompt: str) -> DataFrame:
-    """Cut the prompt at its limit; add its estimated tokens and a warning."""
-    cut = F.substring(F.col(prompt), 1, MAX_PROMPT_CHARS)
-    tokens = F.floor(F.length(cut) / CHARS_PER_TOKEN)
+def fit_budget(
+    df: DataFrame, prompt: str, limit: int | None = None, chars_per_token: int = CHARS_PER_TOKEN, warn_tokens: int = TOKEN_WARNING
+) -> DataFrame:
+    """Add the estimated tokens of a prompt and a warning; cut it at `limit` characters if one is given."""
+    text = F.col(prompt)
     return (
-        df.withColumn("is_truncated", F.length(prompt) > MAX_PROMPT_CHARS)
-        .withColumn(prompt, cut)
-        .withColumn("estimated_tokens", F.floor(F.length(prompt) / CHARS_PER_TOKEN))
-        .withColumn("is_over_budget", F.col("estimated_tokens") > TOKEN_WARNING)
+        df.withColumn("is_truncated", F.length(text) > limit if limit is not None else text.isNull() & F.lit(None))
+        .withColumn(prompt, text if limit is None else F.substring(text, 1, limit))
+        .withColumn("is_truncated", F.coalesce("is_truncated", F.when(text.isNotNull(), F.lit(False))))
+        .withColumn("estimated_tokens", F.floor(F.length(prompt) / chars_per_token))
+        .withColumn("is_over_budget", F.col("estimated_tokens") > warn_tokens)
     )
 
 

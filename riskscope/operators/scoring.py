@@ -9,12 +9,12 @@ from pyspark.ml.functions import vector_to_array
 
 from riskscope.operators.evaluation import DECISION_THRESHOLD, predicted
 
-# Band limits and names, and the bounds of a displayed table.
+# Band limits and names, and the usual rows of a displayed table.
 BAND_MEDIUM = 0.4
 BAND_HIGH = 0.7
 BAND_NAMES = ("Faible", "Moyen", "Élevé")
 TOP_CLASSES = 15
-ROWS_MIN, ROWS_MAX, ROWS_DEFAULT = 5, 200, 30
+ROWS_DEFAULT = 30
 
 
 def risk_band(score: Column) -> Column:
@@ -65,9 +65,7 @@ def class_score_top(df: DataFrame, class_column: str, score: str, n: int = TOP_C
 def top_rows(
     df: DataFrame, score: str, ties: Sequence[str], n: int = ROWS_DEFAULT, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """The n highest scores (5..200), ties in a stated order; a distributed top-k."""
-    if not ROWS_MIN <= n <= ROWS_MAX:
-        raise ValueError(f"n must be in {ROWS_MIN}..{ROWS_MAX}")
+    """The n highest scores, ties in a stated order; a distributed top-k."""
     kept = [c for c in columns if c in df.columns] if columns else df.columns
     return df.orderBy(F.col(score).desc(), *ties).limit(n).select(*kept)
 

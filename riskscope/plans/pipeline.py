@@ -12,9 +12,6 @@ from riskscope.operators import chunks as chunk_ops
 from riskscope.plans import rendering, scenarios
 from riskscope.plans.settings import AppSettings
 
-# Fixed value: classes of one batch request.
-MAX_BATCH = 50
-
 
 @dataclass(frozen=True)
 class TestPlan:
@@ -52,9 +49,9 @@ def plan_tests(chunks: DataFrame, app: AppSettings = AppSettings(), key: str = "
 
 
 def batch_requests(spark: SparkSession, class_names: Sequence[str], prefix: str = "Tests fonctionnels pour") -> DataFrame:
-    """(class_name, description, test_name) of a batch of 1 to 50 classes."""
-    if not 1 <= len(class_names) <= MAX_BATCH:
-        raise ValueError(f"a batch has 1..{MAX_BATCH} classes")
+    """(class_name, description, test_name) of a batch of named classes."""
+    if not class_names:
+        raise ValueError("a batch has one class at least")
     rows = spark.createDataFrame([(c,) for c in class_names], "class_name string")
     return rows.select(
         "class_name",
@@ -64,6 +61,6 @@ def batch_requests(spark: SparkSession, class_names: Sequence[str], prefix: str
 
 
 def plan_batch(chunks: DataFrame, requests: DataFrame, app: AppSettings = AppSettings()) -> TestPlan:
-    """The plan of the requested classes; at most 50 rows, so the requests are broadcast."""
-    wanted = chunks.join(F.broadcast(requests.select("class_name")), "class_name", "left_semi")
+    """The plan of the requested classes."""
+    wanted = chunks.join(requests.select("class_name"), "class_name", "left_semi")
     return plan_tests(wanted, app)

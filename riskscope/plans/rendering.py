@@ -1,8 +1,7 @@
 """Scenarios to test files.
 
-A file is an ordered list of segments, one row each, joined in bounded slots and then in
-volumes, so no task gathers a class of any size. A class of ordinary size has one volume,
-which is the whole file.
+A file is an ordered list of segments, one row each, sorted and joined in bounded slots; the
+file of a class is its slots in order, one value of the result.
 """
 
 from __future__ import annotations
@@ -17,10 +16,8 @@ from riskscope.functions.commits import safe_name
 from riskscope.plans.settings import AppSettings
 from riskscope.scaling import checked_position
 
-# Positions joined by one task, positions of one file text, and entity types of one fixture file.
+# Positions that are sorted together.
 SLOT = 1 << 16
-VOLUME = 1 << 28
-FIXTURE_TYPES = 20_000
 
 # Types that are not business entities.
 NON_ENTITY_TYPES = [
@@ -60,7 +57,7 @@ def test_class_name(class_name: Column) -> Column:
 
 
 def file_header(name: Column, s: AppSettings = AppSettings()) -> Column:
-    """Opening of a test class up to its first method."""
+    """Opening of a test class up to its first method. The lines of the generated file."""
     before, after = f"""<?php
 
 namespace App\\Tests\\Functional\\Controller;
@@ -152,25 +149,17 @@ def file_segments(
     return around.unionByName(names).unionByName(methods)
 
 
-def join_segments(segments: DataFrame, key: str = "class_name", slot: int = SLOT, volume: int = VOLUME) -> DataFrame:
-    """(key, volume, text): the segments of a file joined in order.
+def join_segments(segments: DataFrame, key: str = "class_name", slot: int = SLOT) -> DataFrame:
+    """(key, text): the segments of a file joined in order, one row per file.
 
     Positions are unique in a class, so a slot of them holds a bounded number of segments:
-    slots are joined first, then the slots of a volume. Classes whose positions fit into one
-    volume, which all but giant ones do, have the whole file in volume 0; the volumes of a
-    giant class, read in order, are its file.
+    slots are sorted and joined first, and the file is the slots in order.
     """
-    part = F.floor(F.col("pos") / F.lit(volume))
-    sliced = segments.withColumn(
-        "volume",
-        F.when(F.col("last_pos") < volume, F.lit(0).cast("long")).otherwise(F.col("section") * F.lit(1 << 40) + part),
-    ).withColumn("slot", F.struct("section", F.floor(F.col("pos") / F.lit(slot)).alias("at")))
-    slots = sliced.groupBy(key, "volume", "slot").agg(
+    sliced = segments.withColumn("slot", F.struct("section", F.floor(F.col("pos") / F.lit(slot)).alias("at")))
+    slots = sliced.groupBy(key, "slot").agg(
         F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos, part)").alias("text")
     )
-    return slots.groupBy(key, "volume").agg(
-        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY slot)").alias("text")
-    )
+    return slots.groupBy(key).agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY slot)").alias("text"))
 
 
 def entity_type_counts(chunks: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
@@ -209,16 +198,12 @@ def fixture_segments(counts: DataFrame, key: str = "class_name") -> DataFrame:
     )
 
 
-def fixture_files(segments: DataFrame, key: str = "class_name", volume_rows: int = FIXTURE_TYPES) -> DataFrame:
-    """(key, volume, text): fixture skeletons; a class beyond one volume gets several classes' worth of files."""
+def fixture_files(segments: DataFrame, key: str = "class_name") -> DataFrame:
+    """(key, text): the fixture skeleton of each class."""
     name = test_class_name(F.col(key))
-    volumes = (
-        segments.withColumn("volume", F.floor((F.col("place") - 1) / F.lit(volume_rows)).cast("int"))
-        .groupBy(key, "volume")
-        .agg(
-            F.expr("listagg(use_line, '\n') WITHIN GROUP (ORDER BY place)").alias("uses"),
-            F.expr("listagg(stub, '\n\n') WITHIN GROUP (ORDER BY place)").alias("stubs"),
-        )
+    lists = segments.groupBy(key).agg(
+        F.expr("listagg(use_line, '\n') WITHIN GROUP (ORDER BY place)").alias("uses"),
+        F.expr("listagg(stub, '\n\n') WITHIN GROUP (ORDER BY place)").alias("stubs"),
     )
     text = F.concat(
         F.lit("<?php\n\nnamespace App\\Tests\\Functional\\Fixtures;\n\n"), F.col("uses"),
@@ -237,4 +222,4 @@ def fixture_files(segments: DataFrame, key: str = "class_name", volume_rows: int
         F.lit("Fixtures extends Fixture\n{\n    public function load(ObjectManager $manager): void\n    {\n"), F.col("stubs"),
         F.lit("\n\n        $manager->flush();\n    }\n}\n"),
     )
-    return volumes.select(key, "volume", text.alias("text"))
+    return lists.select(key, text.alias("text"))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskscope.functions import code
 from riskscope.functions.routes import coverage_pattern
+from riskscope.operators.prompts import build_prompt, join_pieces
+from riskscope.plans.rendering import FILE_FOOTER, file_header, test_class_name
 from riskscope.plans.scenarios import _text
 from riskscope.plans.settings import AppSettings
-from riskscope.scaling import bucketed_position, position_bucket
-from riskscope.session import materialise
+from riskscope.scaling import join_on
 
-# Attempts per route and output budget of the first one.
-MAX_ATTEMPTS = 3
+# Fixed value: output budget of the first attempt.
 OUTPUT_BUDGET = 1024
 
 
@@ -92,7 +92,7 @@ def planned_methods(s: AppSettings = AppSettings()) -> Column:
 
 
 def route_plan(metadata: DataFrame, keys: Sequence[str], settings: AppSettings = AppSettings(), pos: str = "pos") -> DataFrame:
-    """One row per planned method; repeated names inside a class get the suffix 2, 3…
+    """One row per planned method; repeated names inside a class get the first free number.
 
     Names start from a method and its route number, so repeats are rare; they are numbered by
     their place in the file.
@@ -104,71 +104,72 @@ def route_plan(metadata: DataFrame, keys: Sequence[str], settings: AppSettings =
     return unique_names(plan, keys, "name", pos, "plan_no")
 
 
-def unique_names(
-    df: DataFrame, keys: Sequence[str], name: str, pos: str, part: str | None = None, rounds: int = 2
-) -> DataFrame:
-    """Rename repeats of a name inside a file: the n-th one gets the suffix n.
+def unique_names(df: DataFrame, keys: Sequence[str], name: str, pos: str, part: str | None = None) -> DataFrame:
+    """Rename repeats of a name inside a file: a repeat gets the smallest free number from 2 on.
 
-    A suffixed name may equal a name that exists already; a renamed row then counts after
-    the rows that own the name, and further rounds settle it. Each round reads its input
-    twice, so the rows are first written to the checkpoint folder.
+    Names are settled in file order, as each choice takes a name from the later ones. Only
+    names that are equal but for a number at their end can meet, and only families of several
+    names with a repeat are folded one by one.
     """
-    order = [F.col(pos)] + ([F.col(part)] if part else [])
-    base = materialise(df.withColumn("__owner", F.lit(0).cast("long")))
-    for _ in range(rounds):
-        ordered = bucketed_position(
-            base,
-            [*keys, name],
-            F.col("__owner") * F.lit(1 << 40) + position_bucket(F.col(pos)),
-            [F.col("__owner"), *order],
-            "__copy",
-        )
-        repeat = F.col("__copy") > 1
-        base = (
-            ordered.withColumn(name, F.when(repeat, F.concat(name, F.col("__copy").cast("string"))).otherwise(F.col(name)))
-            .withColumn("__owner", F.when(repeat, F.lit(1).cast("long")).otherwise(F.col("__owner")))
-            .drop("__copy")
-        )
-    return base.drop("__owner")
+    order = [pos] + ([part] if part else [])
+    family = [*keys, "__family"]
+    rows = df.withColumn("__family", F.regexp_replace(name, "[0-9]+$", ""))
+    group = Window.partitionBy(*family)
+    found = (
+        rows.withColumn("__copy", F.row_number().over(Window.partitionBy(*family, name).orderBy(*order)))
+        .withColumn("__repeats", F.max("__copy").over(group) > 1)
+        .withColumn("__one", F.min(name).over(group) == F.max(name).over(group))
+    )
+    # In a family of one name the n-th copy gets the number n.
+    numbered = F.when(F.col("__copy") > 1, F.concat(name, F.col("__copy").cast("string"))).otherwise(F.col(name))
+    schema, columns = df.schema, df.columns
 
+    def settle(pdf):
+        taken, following, out = set(), {}, []
+        pdf = pdf.sort_values(order, kind="stable")
+        for base in pdf[name]:
+            free = base
+            if base in taken:
+                i = following.get(base, 2)
+                while f"{base}{i}" in taken:
+                    i += 1
+                free, following[base] = f"{base}{i}", i + 1
+            taken.add(free)
+            out.append(free)
+        return pdf.assign(**{name: out})[columns]
 
-def best_attempt(
-    attempts: DataFrame, keys: Sequence[str], max_attempts: int = MAX_ATTEMPTS
-) -> DataFrame:
+    meeting = F.col("__repeats") & ~F.coalesce("__one", F.lit(True))
+    settled = found.where(meeting).groupBy(*family).applyInPandas(settle, schema)
+    return found.where(~meeting).withColumn(name, numbered).select(*columns).unionByName(settled)
+
+
+def best_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per route: the attempt to keep, and the diagnostic of the attempts made.
 
     An attempt succeeds with at least one block and a reason other than `length`; nothing
     after the first success is looked at. Without success the attempt with most blocks is
-    kept, the earliest on ties, or none if all are empty. Attempts are numbered from 1 and
-    few, so a single aggregation holds them side by side.
+    kept, the earliest on ties, or none if all are empty. Any number of attempts will do.
     """
     ok = (F.col("n_blocks") > 0) & (F.coalesce("done_reason", F.lit("")) != "length")
-    n = lambda i: F.col("attempt") == i
-    steps = range(1, max_attempts + 1)
-    wide = attempts.groupBy(*keys).agg(
-        *[F.bool_or(F.when(n(i), ok)).alias(f"ok{i}") for i in steps],
-        *[F.max(F.when(n(i), F.col("n_blocks"))).alias(f"blocks{i}") for i in steps],
-        *[F.max(F.when(n(i), F.col("done_reason"))).alias(f"reason{i}") for i in steps],
-        *[F.max(F.when(n(i), F.col("tokens"))).alias(f"tokens{i}") for i in steps],
-        *[F.max(F.when(n(i), F.col("elapsed"))).alias(f"elapsed{i}") for i in steps],
-    )
-    first_ok = F.coalesce(*[F.when(F.col(f"ok{i}"), F.lit(i)) for i in steps])
-    last = F.coalesce(*[F.when(F.col(f"blocks{i}").isNotNull(), F.lit(i)) for i in reversed(steps)])
-    most = F.greatest(*[F.coalesce(f"blocks{i}", F.lit(0)) for i in steps])
-    fullest = F.coalesce(*[F.when((F.col(f"blocks{i}") == most) & (most > 0), F.lit(i)) for i in steps])
-    made = wide.withColumn("attempts", F.coalesce(first_ok, last)).withColumn("kept", F.coalesce(first_ok, fullest))
-    total = lambda what: sum(
-        (F.when(F.col("attempts") >= i, F.coalesce(f"{what}{i}", F.lit(0))).otherwise(0) for i in steps), F.lit(0)
-    )
-    reason = F.coalesce(*[F.when(F.col("attempts") == i, F.col(f"reason{i}")) for i in steps])
-    return made.select(
+    fullest = F.when(F.col("n_blocks") > 0, F.struct("n_blocks", -F.col("attempt")))
+    ends = attempts.groupBy(*keys).agg(
+        F.min(F.when(ok, F.col("attempt"))).alias("__first_ok"),
+        F.max_by("attempt", fullest).alias("__fullest"),
+        F.max("attempt").alias("__last"),
+    )
+    made = ends.select(
         *keys,
-        "kept",
-        "attempts",
-        reason.alias("done_reason"),
-        total("tokens").cast("long").alias("tokens"),
-        F.round(total("elapsed"), 1).alias("elapsed"),
-        F.col("kept").isNotNull().alias("ok"),
+        F.coalesce("__first_ok", F.when(F.col("__fullest").isNotNull(), F.col("__fullest"))).alias("kept"),
+        F.coalesce("__first_ok", "__last").alias("attempts"),
+    )
+    counted = join_on(attempts, made, keys).where(F.col("attempt") <= F.col("attempts"))
+    return counted.groupBy(*keys).agg(
+        F.max("kept").alias("kept"),
+        F.max("attempts").alias("attempts"),
+        F.max(F.when(F.col("attempt") == F.col("attempts"), F.col("done_reason"))).alias("done_reason"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"),
+        F.round(F.coalesce(F.sum("elapsed"), F.lit(0.0)), 1).alias("elapsed"),
+        F.max("kept").isNotNull().alias("ok"),
     )
 
 
@@ -225,3 +226,62 @@ def uncovered_routes(routes: DataFrame, code_texts: DataFrame, keys: Sequence[st
 def coverage_retry(uncovered: DataFrame, keys: Sequence[str], most: int = 6) -> DataFrame:
     """Classes worth another generation: between one and `most` missing routes."""
     return uncovered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing")).where(F.col("n_missing") <= most)
+
+
+def missing_routes(uncovered: DataFrame, keys: Sequence[str], most: int = 6, route: str = "raw_route") -> DataFrame:
+    """(keys…, n_missing, missing): the sorted missing routes of each class worth another generation."""
+    few = coverage_retry(uncovered, keys, most)
+    listed = join_on(uncovered, few, keys, "left_semi")
+    return listed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_missing"), F.array_sort(F.collect_list(route)).alias("missing")
+    )
+
+
+def retry_prompts(
+    missing: DataFrame, codes: DataFrame, keys: Sequence[str], system: Column, model: str, code_text: str = "text"
+) -> DataFrame:
+    """(keys…, prompt): the request that completes a file with its missing routes."""
+    quoted = F.concat(F.lit("['"), F.array_join("missing", "', '"), F.lit("']"))
+    user = F.concat(
+        F.lit("Routes manquantes : "), quoted,
+        F.lit(
+            "\n\nComplète le fichier suivant en ajoutant les tests manquants. "
+            "Retourne TOUT le fichier corrigé commençant par <?php, sans markdown.\n\nCode actuel :\n"
+        ),
+        F.col(code_text),
+    )
+    no_shots = F.array().cast("array<struct<request: string, ideal: string>>")
+    return join_on(missing, codes, keys).select(*keys, build_prompt(system, no_shots, user, model).alias("prompt"))
+
+
+def route_files(
+    blocks: DataFrame, keys: Sequence[str], pos: str = "pos", part: str = "part", block: str = "block",
+    settings: AppSettings = AppSettings(), class_key: str = "class_name",
+) -> DataFrame:
+    """(keys…, text): kept blocks and stubs in route order as one test file per class.
+
+    `blocks` holds one method per row, generated or a stub. A name that repeats in the file
+    is renamed inside the text of its block.
+    """
+    header = r"(?is)^(.*?public\s+function\s+)(test\w+)(\s*\()"
+    named = blocks.select(
+        *keys, F.col(pos).cast("long").alias("__pos"), F.col(part).alias("__part"), F.col(block).alias("__block"),
+        F.regexp_extract(block, header, 2).alias("__name"),
+    )
+    # A block without a method name takes part in no renaming.
+    plain = named.where("__name = ''").withColumn("__new", F.lit(""))
+    titled = named.where("__name <> ''").withColumn("__new", F.col("__name"))
+    renamed = unique_names(titled, keys, "__new", "__pos", "__part")
+    at = F.length(F.regexp_extract("__block", header, 1))
+    text = F.when(F.col("__new") == F.col("__name"), F.col("__block")).otherwise(
+        F.concat(
+            F.substring(F.col("__block"), F.lit(1), at), F.col("__new"),
+            F.substring(F.col("__block"), at + F.length("__name") + 1, F.length("__block")),
+        )
+    )
+    rows = renamed.unionByName(plain).select(*keys, "__pos", "__part", text.alias("__text"))
+    body = join_pieces(rows, keys, ["__pos", "__part"], "__text", "\n\n")
+    whole = F.concat(
+        file_header(test_class_name(F.col(class_key)), settings), F.lit("\n"), F.col("__text"), F.lit(FILE_FOOTER)
+    )
+    return body.select(*keys, whole.alias("text"))

@@ -74,3 +74,10 @@ def test_neutralise(spark):
         assert token not in out and out.startswith("a ") and len(out) == len(token) + 4
     plain = "Méthode 'index' — Route: /foo/{id} — Type: render (200) [x] <b>"
     assert evaluate(spark, safety.neutralise, plain) == plain
+
+
+def test_a_rule_with_negated_classes(spark):
+    rule = safety.Rule("own", r"foo\(\D+\)", "own")
+    df = spark.createDataFrame([("foo(ABC)",), ("foo(1)",)], "code string")
+    found = df.select("code", F.size(safety.findings(F.col("code"), [rule])).alias("n")).collect()
+    assert {r.code: r.n for r in found} == {"foo(ABC)": 1, "foo(1)": 0}
