@@ -84,6 +84,21 @@ def knn_join(spark, sf_dir):
     return rounded(found.withColumnRenamed("vec_id", "chunk_id"))
 
 
+@register(
+    "knn_join_all",
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity
+          FROM embeddings q JOIN embeddings e USING (label)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, chunk_id) AS rank FROM s)
+    SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 3""",
+)
+def knn_join_all(spark, sf_dir):
+    """Three neighbours of every vector, among the vectors of its label."""
+    corpus = table(spark, sf_dir, "embeddings")
+    queries = corpus.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
+    found = retrieval.knn_join(queries, corpus, 3, project="label", chunk_id="vec_id")
+    return rounded(found.withColumnRenamed("vec_id", "chunk_id"))
+
+
 @register(
     "normalise",
     """SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS squares, round(v[1] / n, 6) AS first
@@ -147,7 +162,7 @@ hits AS (SELECT *, row_number() OVER (ORDER BY s1 DESC, chunk_id) AS place FROM
          QUALIFY place <= 6),
 direct AS (SELECT * FROM scoped WHERE class_name ILIKE '%' || (SELECT max(source) FROM documents) || '%'
            AND content NOT IN (SELECT content FROM hits)),
-merged AS (SELECT 0 AS priority, -chunk_id AS place, chunk_id, chunk_type, class_name, content, 0.0::DOUBLE AS similarity FROM direct
+merged AS (SELECT 0 AS priority, row_number() OVER (ORDER BY chunk_id DESC) AS place, chunk_id, chunk_type, class_name, content, 0.0::DOUBLE AS similarity FROM direct
            UNION ALL SELECT 1, place, chunk_id, chunk_type, class_name, content, s1 FROM hits),
 tpl AS (SELECT *, row_number() OVER (ORDER BY s2 DESC, chunk_id) AS place FROM scoped WHERE s2 IS NOT NULL QUALIFY place <= 3),
 added AS (SELECT *, row_number() OVER (ORDER BY s2 DESC, chunk_id) AS p2 FROM tpl WHERE content NOT IN (SELECT content FROM merged)
@@ -166,10 +181,25 @@ def _request(spark, sf_dir):
     f"WITH {_CONTEXT} SELECT priority, place, chunk_id, round(similarity, 6) AS similarity FROM merged",
 )
 def merge_direct_hits(spark, sf_dir):
-    scoped, query, _, name = _request(spark, sf_dir)
-    merged = retrieval.merge_direct_hits(
-        retrieval.top_k(scoped, query, 6), retrieval.ilike_lookup(scoped, name)
-    )
+    scoped, query, template_query, name = _request(spark, sf_dir)
+    found = retrieval.request_candidates(scoped, query, template_query, name, 6, 3)
+    merged = retrieval.merge_direct_hits(found.where("kind = 1"), found.where("kind = 0"))
+    return rounded(merged.select("priority", "place", "chunk_id", "similarity"))
+
+
+_STRING_IDS = _CONTEXT.replace("doc_id AS chunk_id", "'c' || doc_id AS chunk_id").replace("ON doc_id = vec_id", "ON doc_id = vec_id")
+
+
+@register(
+    "merge_direct_hits_string_ids",
+    f"WITH {_STRING_IDS} SELECT priority, place, chunk_id, round(similarity, 6) AS similarity FROM merged",
+)
+def merge_direct_hits_string_ids(spark, sf_dir):
+    """The same request on chunks whose ids are texts."""
+    scoped, query, template_query, name = _request(spark, sf_dir)
+    named = scoped.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
+    found = retrieval.request_candidates(named, query, template_query, name, 6, 3)
+    merged = retrieval.merge_direct_hits(found.where("kind = 1"), found.where("kind = 0"))
     return rounded(merged.select("priority", "place", "chunk_id", "similarity"))
 
 
@@ -193,10 +223,9 @@ def _rendering_request(spark, sf_dir):
 )
 def append_template_hits(spark, sf_dir):
     scoped, query, template_query, name = _rendering_request(spark, sf_dir)
-    merged = retrieval.merge_direct_hits(
-        retrieval.top_k(scoped, query, 6), retrieval.ilike_lookup(scoped, name)
-    )
-    context = retrieval.append_template_hits(merged, retrieval.top_k(scoped, template_query, 3))
+    found = retrieval.request_candidates(scoped, query, template_query, name, 6, 3)
+    merged = retrieval.merge_direct_hits(found.where("kind = 1"), found.where("kind = 0"))
+    context = retrieval.append_template_hits(merged, found.where("kind = 2"))
     return rounded(context.select("priority", "place", "chunk_id", "similarity"))
 
 
@@ -255,9 +284,21 @@ def related_classes(spark, sf_dir):
     return found.select("s_suppkey", "reference", "chunk_id", "content")
 
 
-@register("embed")
+@register(
+    "embed",
+    """WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word FROM documents),
+    s AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 7))::BIGINT % 64 AS slot, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+    l AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM s GROUP BY doc_id)
+    SELECT d.doc_id, 64 AS size, round(coalesce(max(n / length) FILTER (slot = 7), 0.0), 4) AS slot_7,
+        round(coalesce(max(n / length), 0.0), 4) AS largest FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""",
+)
 def embed(spark, sf_dir):
     """Vectors of whole document texts from the hashing encoder."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = retrieval.embed(documents, "text", retrieval.hashing_encoder())
-    return out.select("doc_id", F.size("embedding").alias("size"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
+    return out.select(
+        "doc_id",
+        F.size("embedding").alias("size"),
+        F.round(F.get("embedding", F.lit(7)).cast("double"), 4).alias("slot_7"),
+        F.round(F.array_max("embedding").cast("double"), 4).alias("largest"),
+    )

@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskscope.functions import vectors
+from riskscope.scaling import checked_position, join_on
+from riskscope.session import materialise
 
 # How many chunks are retrieved, and the filter on those of other classes.
 DEFAULT_LIMIT = 8
@@ -24,8 +27,9 @@ TEMPLATE_TYPE = "template_info"
 # Framework classes that are never looked up.
 IGNORED_CLASSES = ["Request", "Response", "AbstractController", "Yaml", "EntityManager", "FormView"]
 
-# Queries whose vectors may be shipped to every task at once.
-QUERY_BLOCK_ROWS = 2_048
+# Vectors of one cell of a nearest-neighbour join, in bytes, and scores held at a time.
+CELL_BYTES = 16 << 20
+SCORE_CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -41,10 +45,18 @@ class ChunkColumns:
 
 
 def similarity_to(query: Sequence[float], embedding: Column) -> Column:
-    """Cosine similarity to a query vector, its length taken once on the driver."""
+    """Cosine similarity to a query vector, its length taken once on the driver.
+
+    A stored vector of another size is an error, not a miss.
+    """
     length = float(np.linalg.norm(np.asarray(query, dtype="float64")))
     product = vectors.dot(embedding, vectors.literal_vector(query))
-    return F.try_divide(product, vectors.norm(embedding) * F.lit(length))
+    wrong = F.raise_error(F.concat(F.lit(f"the query has {len(query)} elements, a stored vector "), F.size(embedding).cast("string")))
+    return (
+        F.when(embedding.isNull(), F.lit(None).cast("double"))
+        .when(F.size(embedding) != len(query), wrong.cast("double"))
+        .otherwise(F.try_divide(product, vectors.norm(embedding) * F.lit(length)))
+    )
 
 
 def top_k(
@@ -78,102 +90,151 @@ def knn_join(
     project: str = "project_id",
     chunk_id: str = "chunk_id",
     embedding: str = "embedding",
-    block_rows: int = QUERY_BLOCK_ROWS,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): k nearest chunks of the same project per query.
 
-    Each task multiplies a block of query vectors with its rows and keeps k per query, so
-    the shuffle carries k rows per query and task and never the pairs. A query set of at
-    most `block_rows` rows is shipped to the tasks; a larger one is cut into blocks that
-    meet the corpus through a shuffle on (project, block).
+    Each chunk goes to one cell of its project, of about `cell_bytes` of vectors, and stays
+    there; queries are sent to the cells of their project and stream past the cell's matrix.
+    A cell keeps k per query, so what is ranked at the end is k rows per query and cell. The
+    plan is the same for one query and for millions. Ties of 12 digits go to the smaller id.
     """
     schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {chunk_id} {dict(corpus.dtypes)[chunk_id]}, similarity double"
     q = queries.select(
-        F.col(query_id).alias("qid"), F.col(project).alias("project"), F.col(query_vector).alias("vector")
-    )
+        F.col(query_id).alias("qid"), F.col(project).alias("project"), F.col(query_vector).cast("array<double>").alias("vector")
+    ).where(F.col("vector").isNotNull())
     c = corpus.where(F.col(embedding).isNotNull()).select(
-        F.col(chunk_id).alias("cid"), F.col(project).alias("project"), F.col(embedding).alias("vector")
+        F.col(chunk_id).alias("cid"), F.col(project).alias("project"), F.col(embedding).cast("array<double>").alias("vector")
     )
-    head = q.limit(block_rows + 1).toPandas()
-    if len(head) <= block_rows:
-        nearest = c.mapInPandas(_nearest_to(head, k, query_id, chunk_id), schema)
-    else:
-        nearest = _blocked_nearest(q, c, k, query_id, chunk_id, schema, block_rows)
+    rows, size = c.agg(F.count(F.lit(1)), F.max(F.size("vector"))).head()
+    cells = max(1, -(-rows * (size or 1) * 8 // cell_bytes))
+    stored = c.withColumn("cell", F.pmod(F.xxhash64("cid"), F.lit(cells)))
+    present = stored.select("project", "cell").distinct()
+    asked = join_on(q, present, ["project"])
+    both = stored.select("project", "cell", F.lit(0).alias("side"), "cid", F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), "vector")
+    both = both.unionByName(
+        asked.select("project", "cell", F.lit(1).alias("side"), F.lit(None).cast(c.schema["cid"].dataType).alias("cid"), "qid", "vector")
+    )
+    met = both.repartition("project", "cell").sortWithinPartitions("project", "cell", "side", "cid")
+    nearest = met.mapInArrow(_cell_nearest(k, query_id, chunk_id), schema)
     best = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(chunk_id))
     return nearest.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _unit_rows(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.asarray(column.tolist(), dtype="float64")
+def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows of length one, and which of them have a length."""
+    matrix = np.array(column.to_pylist(), dtype="float64").reshape(len(column), -1)
     length = np.linalg.norm(matrix, axis=1)
     return np.divide(matrix, length[:, None], where=length[:, None] > 0, out=np.zeros_like(matrix)), length > 0
 
 
-def _best_pairs(queries: pd.DataFrame, chunks: pd.DataFrame, k: int, query_id: str, chunk_id: str) -> pd.DataFrame:
-    """The k best chunks of each query of one project, ties by chunk id."""
-    q, q_live = _unit_rows(queries["vector"])
-    chunks = chunks.sort_values("cid", kind="stable")
-    c, c_live = _unit_rows(chunks["vector"])
-    scores = np.where(c_live[None, :], q @ c.T, -np.inf)
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    rows, at = np.nonzero(np.take_along_axis(scores, order, axis=1) > -np.inf)
-    keep = q_live[rows]
-    rows, columns = rows[keep], order[rows, at][keep]
-    return pd.DataFrame(
-        {
-            query_id: queries["qid"].to_numpy()[rows],
-            chunk_id: chunks["cid"].to_numpy()[columns],
-            "similarity": scores[rows, columns],
-        }
-    )
+def _best_of(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, chunk row, similarity) of the k best chunks of each query; chunk rows are in id order."""
+    scores = np.round(q @ c.T, 12)
+    if k < len(c):
+        least = np.partition(scores, len(c) - k, axis=1)[:, len(c) - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k], scores[row, col][place < k]
 
 
-def _nearest_to(queries: pd.DataFrame, k: int, query_id: str, chunk_id: str) -> Callable:
-    by_project = dict(tuple(queries.groupby("project", sort=False)))
+def _cell_nearest(k: int, query_id: str, chunk_id: str) -> Callable:
+    """Folds sorted rows: the chunks of a cell, then the queries that visit it."""
 
     def run(batches):
+        cell, ids, vectors_, matrix = None, [], [], None
         for batch in batches:
-            for project, part in batch.groupby("project", sort=False):
-                if project in by_project:
-                    yield _best_pairs(by_project[project], part, k, query_id, chunk_id)
+            keys = list(zip(batch.column("project").to_pylist(), batch.column("cell").to_pylist(), batch.column("side").to_pylist(), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                part, (project, number, side) = batch.slice(at, to - at), keys[at]
+                at = to
+                if cell != (project, number):
+                    cell, ids, vectors_, matrix = (project, number), [], [], None
+                unit, live = _unit_rows(part.column("vector"))
+                if side == 0:
+                    ids += [i for i, ok in zip(part.column("cid").to_pylist(), live, strict=True) if ok]
+                    vectors_.append(unit[live])
+                    continue
+                if matrix is None:
+                    matrix = np.concatenate(vectors_) if vectors_ else np.zeros((0, unit.shape[1]))
+                    vectors_ = []
+                names = [i for i, ok in zip(part.column("qid").to_pylist(), live, strict=True) if ok]
+                unit = unit[live]
+                step = max(1, SCORE_CELLS // max(1, len(matrix)))
+                for start in range(0, len(names) if len(ids) else 0, step):
+                    row, col, score = _best_of(unit[start : start + step], matrix, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([names[start + r] for r in row], part.schema.field("qid").type),
+                            pa.array([ids[j] for j in col], part.schema.field("cid").type),
+                            pa.array(score, pa.float64()),
+                        ],
+                        [query_id, chunk_id, "similarity"],
+                    )
 
     return run
 
 
-def _blocked_nearest(q, c, k, query_id, chunk_id, schema, block_rows) -> DataFrame:
-    """Blocks of queries against blocks of the corpus; each pair of blocks is one bounded group."""
-    partitions = max(1, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q_blocks = max(2, -(-q.count() // block_rows))
-    c_blocks = max(partitions, -(-c.count() // (block_rows * 16)))
-    spread = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    slots = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("qb", spread("qid", q_blocks)).withColumn("cb", slots(c_blocks))
-    right = c.withColumn("cb", spread("cid", c_blocks)).withColumn("qb", slots(q_blocks))
-
-    def meet(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or chunks.empty:
-            return pd.DataFrame({query_id: [], chunk_id: [], "similarity": []})
-        return _best_pairs(queries, chunks, k, query_id, chunk_id)
-
-    key = ["project", "qb", "cb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
-
-
 def ilike_lookup(chunks: DataFrame, name: str, project: str | None = None, cols: ChunkColumns = ChunkColumns()) -> DataFrame:
     """Chunks whose class name contains `name`, ignoring case; `%` and `_` act as wildcards."""
     scoped = chunks if project is None else chunks.where(F.col(cols.project) == project)
     return scoped.where(F.col(cols.class_name).ilike(f"%{name}%")).drop(cols.embedding)
 
 
+def request_candidates(
+    chunks: DataFrame,
+    query: Sequence[float],
+    template_query: Sequence[float],
+    class_name: str | None,
+    limit: int,
+    template_limit: int,
+    cols: ChunkColumns = ChunkColumns(),
+) -> DataFrame:
+    """(kind, similarity, chunk columns…) of one request: 0 name hits, 1 nearest chunks, 2 nearest for the template query.
+
+    Two scans of the corpus: the vectors give the few nearest ids of both queries, then their
+    texts and those of the name hits are read together. The result is stored, so what is built
+    on it does not go back to the corpus.
+    """
+    scores = chunks.select(
+        F.col(cols.id).alias("__id"),
+        F.posexplode(
+            F.array(similarity_to(query, F.col(cols.embedding)), similarity_to(template_query, F.col(cols.embedding)))
+        ).alias("__query", "__similarity"),
+    ).where(F.col("__similarity").isNotNull())
+    nearest = Window.partitionBy("__query").orderBy(F.col("__similarity").desc(), "__id")
+    ranked = scores.withColumn("__rank", F.row_number().over(nearest)).where(F.col("__rank") <= max(limit, template_limit))
+    taken = F.when(F.col("__query") == 0, F.col("__rank") <= limit).otherwise(F.col("__rank") <= template_limit)
+    # At most limit + template_limit rows.
+    picked = ranked.where(taken).groupBy("__id").agg(
+        F.collect_list(F.struct((F.col("__query") + 1).alias("kind"), F.col("__similarity").alias("similarity"))).alias("__picks")
+    )
+    named = F.col(cols.class_name).ilike(f"%{class_name}%") if class_name else F.lit(False)
+    own = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0.0).alias("similarity")))
+    nothing = F.array().cast("array<struct<kind: int, similarity: double>>")
+    both = chunks.select(*_result(cols)).join(F.broadcast(picked), F.col(cols.id) == F.col("__id"), "left")
+    kinds = F.concat(F.when(named, own).otherwise(nothing), F.coalesce("__picks", nothing))
+    return materialise(both.select(F.explode(kinds).alias("__k"), *_result(cols)).select("__k.*", *_result(cols)))
+
+
 def merge_direct_hits(hits: DataFrame, direct: DataFrame, cols: ChunkColumns = ChunkColumns()) -> DataFrame:
     """Name-lookup chunks whose content was not retrieved yet, put in front in reverse id order.
 
-    Both sides carry (`priority`, `place`) afterwards: sort on them to read the list.
-    `hits` holds at most k rows, so it is the broadcast side of the anti join.
+    Both sides carry (`priority`, `place`) afterwards: sort on them to read the list. Ids may
+    be numbers or strings. `hits` holds at most k rows, so it is the broadcast side of the
+    anti join.
     """
-    new = direct.join(F.broadcast(hits.select(cols.content)), cols.content, "left_anti")
-    front = new.select(
-        F.lit(0).alias("priority"), (-F.col(cols.id).cast("long")).alias("place"), *_result(cols), F.lit(0.0).alias("similarity")
+    new = direct.join(F.broadcast(hits.select(cols.content)), cols.content, "left_anti").select(*_result(cols))
+    front = checked_position(new, [], [F.col(cols.id).desc()], "place").select(
+        F.lit(0).alias("priority"), "place", *_result(cols), F.lit(0.0).alias("similarity")
     )
     ranked = hits.select(
         F.lit(1).alias("priority"),
@@ -239,12 +300,11 @@ def hybrid_context(
 ) -> DataFrame:
     """Context of one request: nearest chunks, name hits in front, template hits behind, filtered."""
     scoped = chunks if project is None else chunks.where(F.col(cols.project) == project)
-    hits = top_k(scoped, query, LIMIT_WITH_CLASS if class_name else LIMIT_WITHOUT_CLASS, cols=cols)
-    no_hits = scoped.where(F.lit(False))
-    direct = ilike_lookup(scoped, class_name, cols=cols) if class_name else no_hits
-    merged = merge_direct_hits(hits, direct, cols)
-    limit = TEMPLATE_LIMIT_WITH_CLASS if class_name else TEMPLATE_LIMIT_WITHOUT_CLASS
-    context = append_template_hits(merged, top_k(scoped, template_query, limit, cols=cols), cols)
+    limit = LIMIT_WITH_CLASS if class_name else LIMIT_WITHOUT_CLASS
+    template_limit = TEMPLATE_LIMIT_WITH_CLASS if class_name else TEMPLATE_LIMIT_WITHOUT_CLASS
+    found = request_candidates(scoped, query, template_query, class_name, limit, template_limit, cols)
+    of = lambda kind: found.where(F.col("kind") == kind).drop("kind")
+    context = append_template_hits(merge_direct_hits(of(1), of(0), cols), of(2), cols)
     if class_name:
         return filter_by_class(context, class_name, min_similarity=min_similarity, cols=cols)
     return context.withColumn("is_secondary", F.lit(False))
@@ -319,14 +379,14 @@ def embed(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], o
 
 
 def hashing_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic encoder for tests: counts of words by crc32 slot."""
-    import zlib
+    """A deterministic encoder for tests: counts of words by the first hexadecimal digits of their md5."""
+    import hashlib
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), dtype="float32")
         for i, text in enumerate(texts):
-            for word in text.lower().split():
-                out[i, zlib.crc32(word.encode()) % size] += 1.0
+            for word in text.split():
+                out[i, int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % size] += 1.0
         return out
 
     return encode
