@@ -188,6 +188,50 @@ def cv_summary(spark, sf_dir):
     return rounded(evaluation.cv_summary(evaluation.fold_metrics(df, "label", "score", "fold")))
 
 
+@register(
+    "cv_report_with_train",
+    f"""WITH {FEATURES_SQL}, parts AS (SELECT *, {_PRED}, {_fold_sql("file")} AS own FROM features),
+    runs AS (SELECT parts.*, m.i AS fold, CASE WHEN own = m.i THEN 'test' ELSE 'train' END AS cv_part FROM parts, (SELECT unnest(range(5)) AS i) m),
+    c AS (SELECT fold, cv_part, {_COUNTS} FROM runs GROUP BY fold, cv_part),
+    f AS (SELECT fold, cv_part, {_F1} AS f1, {_ACCURACY} AS acc FROM c)
+    SELECT round(avg(f1) FILTER (cv_part = 'test'), 6) AS cv_f1_mean, round(avg(f1) FILTER (cv_part = 'train'), 6) AS cv_train_f1_mean,
+        round(stddev_pop(f1) FILTER (cv_part = 'train'), 6) AS cv_train_f1_std, round(stddev_pop(acc) FILTER (cv_part = 'train'), 6) AS cv_train_accuracy_std,
+        round(avg(f1) FILTER (cv_part = 'train') - avg(f1) FILTER (cv_part = 'test'), 6) AS cv_gap FROM f""",
+)
+def cv_report_with_train(spark, sf_dir):
+    """Five runs over all rows, each with its own held-out fold, scored by a fixed rule."""
+    runs = folds.group_folds(features(spark, sf_dir), "file").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    scored_ = runs.withColumn("cv_part", F.when(F.col("fold") == F.col("i"), "test").otherwise("train")).withColumn("fold", F.col("i"))
+    report = evaluation.cv_report(scored_, "label", "score", "fold")
+    return rounded(report.select("cv_f1_mean", "cv_train_f1_mean", "cv_train_f1_std", "cv_train_accuracy_std", "cv_gap"))
+
+
+@register(
+    "roc_auc_null_group",
+    f"""WITH {FEATURES_SQL}, r AS (SELECT nullif(method % 3, 0) AS grp, label,
+        rank() OVER (PARTITION BY method % 3 ORDER BY score) + (count(*) OVER (PARTITION BY method % 3, score) - 1) / 2.0::DOUBLE AS rk
+        FROM features WHERE score IS NOT NULL),
+    s AS (SELECT grp, sum(rk) FILTER (label = 1) AS rs, count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label = 0)::DOUBLE AS n FROM r GROUP BY grp)
+    SELECT grp, round((rs - p * (p + 1) / 2) / (p * n), 6) AS roc_auc FROM s""",
+)
+def roc_auc_null_group(spark, sf_dir):
+    """Rows whose group is null are a group of their own."""
+    df = features(spark, sf_dir).withColumn("grp", F.nullif(F.col("method") % 3, F.lit(0)))
+    return rounded(evaluation.roc_auc(df, "label", "score", ["grp"]))
+
+
+@register(
+    "stratified_folds_null_label",
+    f"""WITH {FEATURES_SQL}, groups AS (SELECT file, max(CASE WHEN file % 3 = 0 THEN NULL ELSE label END) AS label, count(*) AS n_rows,
+        md5(file || ':42') AS h FROM features GROUP BY file)
+    SELECT file, label, n_rows, ((row_number() OVER (PARTITION BY label ORDER BY h, file) - 1) % 5)::INT AS fold FROM groups""",
+)
+def stratified_folds_null_label(spark, sf_dir):
+    """Groups without a label are dealt over the folds like a label of their own."""
+    label = F.when(F.col("file") % 3 != 0, F.col("label"))
+    return folds.stratified_group_folds(features(spark, sf_dir).withColumn("label", label), "file", "label")
+
+
 @register(
     "holdout_report",
     f"""WITH {FEATURES_SQL}, scored AS (SELECT *, {_PRED},

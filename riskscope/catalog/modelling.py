@@ -74,6 +74,16 @@ def grid_search_mcc(spark, sf_dir):
     return rounded(models.grid_table(search, spark))
 
 
+@register("grid_search_c")
+def grid_search_c(spark, sf_dir):
+    """The logistic model over two values of C on group folds."""
+    df = labelled(spark, sf_dir)
+    total = df.agg(F.sum("weight")).head()[0]
+    pipeline = models.logistic(TEXT_FEATURES, "label", 1.0, total, 30)
+    search = models.grid_search(df, pipeline, models.logistic_grid(total, [0.1, 10.0]), "label", "file", k=2)
+    return rounded(models.grid_table(search, spark))
+
+
 @register("file_level_report")
 def file_level_report(spark, sf_dir):
     df = folds.group_folds(labelled(spark, sf_dir), "file", 3)

@@ -89,6 +89,20 @@ def histogram_by_label(spark, sf_dir):
     return rounded(profiling.histogram(features(spark, sf_dir), FEATURES, 30, ["label"]))
 
 
+@register(
+    "histogram_null_group",
+    f"""WITH {FEATURES_SQL}, t AS (SELECT nullif(method % 3, 0) AS grp, quantity::DOUBLE AS value FROM features),
+    r AS (SELECT grp, min(value) AS low, max(value) AS high FROM t GROUP BY grp),
+    b AS (SELECT t.grp, least(floor((value - low) / (high - low) * 10), 9) AS bin FROM t JOIN r ON t.grp IS NOT DISTINCT FROM r.grp),
+    g AS (SELECT grp, unnest(range(10)) AS bin FROM r), n AS (SELECT grp, bin, count(*) AS n FROM b GROUP BY ALL)
+    SELECT g.grp, g.bin::INT AS bin, coalesce(n, 0) AS n FROM g LEFT JOIN n ON g.grp IS NOT DISTINCT FROM n.grp AND g.bin = n.bin""",
+)
+def histogram_null_group(spark, sf_dir):
+    """Rows whose group is null have bins like any other group."""
+    df = features(spark, sf_dir).withColumn("grp", F.nullif(F.col("method") % 3, F.lit(0)))
+    return profiling.histogram(df, ["quantity"], 10, ["grp"]).select("grp", "bin", "n")
+
+
 @register(
     "box_stats",
     f"""WITH {_TALL},
@@ -241,6 +255,22 @@ def binary_rates(spark, sf_dir):
     return rounded(profiling.binary_rates(features(spark, sf_dir), FLAGS, "label"))
 
 
+@register(
+    "rank_test_marks",
+    f"""WITH {_TALL},
+    vc AS (SELECT feature, value, count(*) AS n, count(*) FILTER (label = 0) AS n0 FROM tall WHERE value IS NOT NULL GROUP BY ALL),
+    ranked AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY value) - n + (n + 1) / 2.0 AS rnk FROM vc),
+    sums AS (SELECT feature, sum(n0)::DOUBLE AS a, (sum(n) - sum(n0))::DOUBLE AS b, sum(rnk * n0)::DOUBLE AS rs, sum(n::DOUBLE * n * n - n) AS ties FROM ranked GROUP BY feature),
+    z AS (SELECT feature, (greatest(rs - a * (a + 1) / 2, a * b - (rs - a * (a + 1) / 2)) - a * b / 2 - 0.5)
+        / sqrt(a * b / 12 * ((a + b + 1) - ties / ((a + b) * (a + b - 1)))) AS z FROM sums WHERE a > 5 AND b > 5)
+    SELECT feature, CASE WHEN z > 2.5758293035489004 THEN '***' WHEN z > 1.959963984540054 THEN '*' ELSE 'ns' END AS mark FROM z""",
+)
+def rank_test_marks(spark, sf_dir):
+    """Marks from p against the critical values of z."""
+    tests = profiling.mann_whitney(features(spark, sf_dir), FEATURES, "label")
+    return profiling.with_mann_whitney_p(tests).select("feature", "mark")
+
+
 @register(
     "chi2_yates",
     f"""WITH {_CELLS},

@@ -208,6 +208,23 @@ def cv_summary(per_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def cv_report(scored: DataFrame, y: str, score: str, fold: str) -> DataFrame:
+    """`cv_summary` of scored rows; with a `cv_part` column also of the train rows, and the gap of F1."""
+    if "cv_part" not in scored.columns:
+        return cv_summary(fold_metrics(scored, y, score, fold))
+    test = cv_summary(fold_metrics(scored.where("cv_part = 'test'"), y, score, fold))
+    rows = scored.where("cv_part = 'train'").withColumn("__pred", predicted(F.col(score)))
+    train = binary_metrics(rows, y, "__pred", [fold]).agg(
+        F.avg("f1").alias("cv_train_f1_mean"),
+        F.stddev_pop("f1").alias("cv_train_f1_std"),
+        F.stddev_pop("accuracy").alias("cv_train_accuracy_std"),
+    )
+    gap = F.col("cv_train_f1_mean") - F.col("cv_f1_mean")
+    # Both sides are one row.
+    both = test.withColumn("__one", F.lit(1)).join(train.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return both.withColumn("cv_gap", gap).withColumn("cv_overfit", overfit_severity(gap))
+
+
 def overfit_severity(gap: Column) -> Column:
     return (
         F.when(gap >= OVERFIT_SEVERE, "severe").when(gap > OVERFIT_LIGHT, "light").otherwise("none")

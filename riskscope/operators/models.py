@@ -39,7 +39,8 @@ def impute_median(
     """Fill nulls of both parts with the exact medians of the train part.
 
     In `sentinel_columns` the -1 sentinel counts as null. The medians come from value counts,
-    so no task holds a whole column.
+    so no task holds a whole column. A feature that is null in all train rows has no median
+    and becomes the constant `IMPUTED`, which no model can learn from.
     """
     from riskscope.scaling import exact_quantiles, value_counts
 
@@ -49,7 +50,7 @@ def impute_median(
     train, test = clear(train), clear(test)
     rows = exact_quantiles(value_counts(train, features), [0.5]).collect()
     medians = {r["feature"]: r["quantile"] for r in rows}
-    fill = {f: medians[f] for f in features if f in medians}
+    fill = {f: medians.get(f, IMPUTED) for f in features}
     return train.na.fill(fill), test.na.fill(fill)
 
 
@@ -154,6 +155,23 @@ def grid_search(
     return validator.fit(folds.group_folds(df, group, k, seed))
 
 
+def logistic_grid(weight_sum: float, values: Sequence[float] = tuple(LOGISTIC_C)) -> dict[str, Sequence]:
+    """The grid of C as the penalty per unit of weight that the solver takes."""
+    return {"regParam": [1.0 / (c * weight_sum) for c in values]}
+
+
+def forest_grid(grid: dict[str, Sequence] = FOREST_GRID) -> dict[str, Sequence]:
+    return {"numTrees": grid["trees"], "maxDepth": grid["depth"], "minInstancesPerNode": grid["leaf"]}
+
+
+def quick_forest(features: Sequence[str], label: str) -> Pipeline:
+    return random_forest(features, label, **QUICK_FOREST)
+
+
+def default_boosted(features: Sequence[str], label: str, cross_project: bool = False) -> Pipeline:
+    return boosted_trees(features, label, **(CROSS_PROJECT_BOOSTED if cross_project else BOOSTED))
+
+
 def grid_table(search: CrossValidatorModel, spark: SparkSession) -> DataFrame:
     """Mean MCC of each tried parameter combination."""
     rows = [
@@ -163,12 +181,22 @@ def grid_table(search: CrossValidatorModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "trial int, params string, mean_mcc double")
 
 
-def cross_validated(df: DataFrame, pipeline: Pipeline, label: str, fold: str = "fold", k: int = 5) -> DataFrame:
-    """Out-of-fold scores: every row scored by the model that did not see its fold."""
+def cross_validated(
+    df: DataFrame, pipeline: Pipeline, label: str, fold: str = "fold", k: int = 5, with_train: bool = False
+) -> DataFrame:
+    """Out-of-fold scores: every row scored by the model that did not see its fold.
+
+    `with_train` adds the scores of the rows each model was trained on; `cv_part` then tells
+    train from test, and the fold column names the model.
+    """
     parts = []
     for i in range(k):
         model = pipeline.fit(df.where(F.col(fold) != i))
-        parts.append(with_score(model, df.where(F.col(fold) == i)))
+        if with_train:
+            part = F.when(F.col(fold) == i, "test").otherwise("train")
+            parts.append(with_score(model, df.withColumn("cv_part", part)).withColumn(fold, F.lit(i)))
+        else:
+            parts.append(with_score(model, df.where(F.col(fold) == i)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -176,9 +204,11 @@ def cross_validated(df: DataFrame, pipeline: Pipeline, label: str, fold: str = "
 
 
 def cv_report(scored: DataFrame, label: str, fold: str = "fold", name: str = "model") -> DataFrame:
-    """Fold means and deviations of out-of-fold scores, one row."""
-    summary = evaluation.cv_summary(evaluation.fold_metrics(scored, label, "score", fold))
-    return summary.select(F.lit(name).alias("model"), "*")
+    """Fold means and deviations of out-of-fold scores, one row.
+
+    Scores with a `cv_part` column also give those of the train rows, and the gap between both.
+    """
+    return evaluation.cv_report(scored, label, "score", fold).select(F.lit(name).alias("model"), "*")
 
 
 def holdout_scores(df: DataFrame, split: DataFrame, pipeline: Pipeline, group: str) -> DataFrame:
