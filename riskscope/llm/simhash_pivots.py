@@ -161,7 +161,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
 
     Rows without an id cannot be named: they stay, but only one of those with equal texts.
     """
-    classes = near_duplicate_classes(docs, id_column, text)
+    return keep_named(docs, near_duplicate_classes(docs, id_column, text), id_column, text)
+
+
+def keep_named(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose id names its class in `classes` (id, component_id), as `drop_near_duplicates` keeps them."""
     winners = materialise(
         classes.where(F.col(id_column) == F.col("component_id"))
         .groupBy(F.col(id_column).alias("__id"))
