@@ -1,8 +1,10 @@
 """Benchmark decontamination with spaced-seed hashing.
 
-A seed is a fixed mask over 12 consecutive tokens that ignores some of them, so a changed
-word inside the span still leaves one of the masks untouched. The masked tokens of every
-position of every benchmark item and of every document are hashed and joined. A hit fixes
+A seed is a fixed mask over 13 consecutive tokens, or over a whole shorter item, that ignores
+some of them. The span is cut into two blocks more than the rule below admits substitutions,
+and each mask ignores as many blocks as there can be substitutions, so every pattern of
+them leaves one mask untouched. The masked tokens of every position of every benchmark item
+and of every document are hashed and joined. A hit fixes
 the diagonal of an item in a document; around it the tokens are compared one by one, and the
 document is contaminated where an aligned stretch of words agrees in at least 80 percent,
 substitutions allowed. The stretch is `SPAN` words, or the whole item where it is shorter.
@@ -15,15 +17,15 @@ Tokens are runs of ASCII letters, digits and non-ASCII characters, with A-Z lowe
 punctuation and spacing do not matter.
 
 Defined cases: a null or empty text has no tokens and is clean; items without tokens match
-nothing; items shorter than a mask are matched whole and exactly where they have at least
-`MIN_ITEM` tokens, and otherwise match nothing; repeated rows are judged each; null ids are
+nothing; items shorter than `SPAN` are matched whole, by the same share, where they have at
+least `MIN_ITEM` tokens, and otherwise match nothing; repeated rows are judged each; null ids are
 kept; further columns pass through the filter; empty tables give clean or no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,6 @@ from pyspark.sql import DataFrame, functions as F
 from riskscope.llm.words import Scan, mix, scan, slices
 from riskscope.session import materialise
 
-#: The masks: 1 keeps a token, 0 ignores it. Every single substitution leaves one mask whole.
-MASKS = ("111101011101", "110110111011", "101111010111")
-MASK_SPAN = 12
 SPAN = 13
 MIN_SHARE = 80
 MIN_ITEM = 5
@@ -56,42 +55,48 @@ class Tokens(Scan):
         raw = scan(texts)
         return cls(_FOLD[raw.data], raw.text_at)
 
-    @cached_property
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, index of its first token) of each mask at each position, and of short texts as a whole."""
-        at = self.windows(MASK_SPAN)
-        words = self.word_hash
-        hashes, where = [], []
-        for k, mask in enumerate(MASKS):
-            h = np.full(len(at), 0x9E3779B97F4A7C15 + k, np.uint64)
-            for j, kept in enumerate(mask):
-                if kept == "1":
-                    h = (h ^ words[at + j]) * np.uint64(0xFF51AFD7ED558CCD)
-                    h ^= h >> np.uint64(29)
-            hashes.append(mix(h))
-            where.append(at)
-        return np.concatenate(hashes), np.concatenate(where)
-
-    def short(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first token) of every run of `width` tokens, for items shorter than a mask."""
+    def seeds(self, width: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, index of its first token) of each mask at each run of `width` tokens, in the texts `of` or in all."""
         at = self.windows(width)
-        return mix(self.window_hash(at, width) + np.uint64(width)), at
+        if of is not None:
+            at = at[np.isin(self.text_of[at], of)]
+        ends = blocks(width)
+        part = [self.window_hash(at + a, b - a) for a, b in zip(ends, ends[1:])]
+        hashes = []
+        for k, kept in enumerate(masks(width)):
+            h = np.full(len(at), 0x9E3779B97F4A7C15 + 256 * width + k, np.uint64)
+            for j in kept:
+                h = mix(h ^ part[j])
+            hashes.append(h)
+        return np.concatenate(hashes), np.tile(at, len(hashes))
+
+
+def substitutions(width: int) -> int:
+    """How many words of an aligned stretch may differ."""
+    return width - -(-MIN_SHARE * width // 100)
+
+
+def blocks(width: int) -> list[int]:
+    """The borders of the blocks of a stretch, two more than words that may differ."""
+    n = substitutions(width) + 2
+    return [width * i // n for i in range(n + 1)]
+
+
+def masks(width: int) -> list[tuple[int, ...]]:
+    """The blocks that each mask keeps: all choices of two, as the others may hold a substitution each."""
+    return list(combinations(range(len(blocks(width)) - 1), 2))
 
 
 def _item_rows(ids: list, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, item row, position in the item) of the seeds of benchmark items."""
-    h, at = tokens.seeds
-    rows = tokens.text_of[at]
-    position = at - tokens.first[rows]
-    for width in range(MIN_ITEM, MASK_SPAN):
+    found = [tokens.seeds(SPAN)]
+    for width in range(MIN_ITEM, SPAN):
         own = np.flatnonzero(tokens.n_words == width)
         if len(own):
-            sh, sat = tokens.short(width)
-            keep = np.isin(tokens.text_of[sat], own)
-            h = np.concatenate([h, sh[keep]])
-            rows = np.concatenate([rows, tokens.text_of[sat[keep]]])
-            position = np.concatenate([position, np.zeros(keep.sum(), np.int64)])
-    return h, rows, position
+            found.append(tokens.seeds(width, own))
+    h, at = (np.concatenate([f[i] for f in found]) for i in range(2))
+    rows = tokens.text_of[at]
+    return h, rows, at - tokens.first[rows]
 
 
 def _overlaps(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int] | None:
@@ -142,7 +147,7 @@ class Index:
         self.shift = np.uint64(64 - bits)
         self.table = np.zeros(1 << bits, bool)
         self.table[(h >> self.shift).astype(np.int64)] = True
-        self.widths = sorted({int(n) for n in tokens.n_words if MIN_ITEM <= n < MASK_SPAN})
+        self.widths = sorted({int(n) for n in tokens.n_words if MIN_ITEM <= n < SPAN})
         first = tokens.first
         self.items = {i: tokens.word_hash[first[i] : first[i + 1]] for i in range(len(texts))}
 
@@ -157,7 +162,7 @@ class Index:
 
     def overlaps(self, tokens: Tokens) -> list[list[tuple[int, int, int, int]]]:
         """The overlaps of each text."""
-        found = [self.lookup(*tokens.seeds)] + [self.lookup(*tokens.short(w)) for w in self.widths]
+        found = [self.lookup(*tokens.seeds(w)) for w in [SPAN, *self.widths]]
         entry, at = (np.concatenate([f[i] for f in found]) for i in range(2))
         out = [[] for _ in range(tokens.n_texts)]
         if not len(entry):
@@ -184,7 +189,7 @@ def _seed_rows(df: DataFrame, id_column: str, text: str, widths: list[int], item
             if items:
                 h, row, position = _item_rows([], tokens)
             else:
-                found = [tokens.seeds] + [tokens.short(w) for w in widths]
+                found = [tokens.seeds(w) for w in [SPAN, *widths]]
                 h, at = (np.concatenate([f[i] for f in found]) for i in range(2))
                 row = tokens.text_of[at]
                 position = at - tokens.first[row]
@@ -247,7 +252,7 @@ def with_overlaps(
     item_type = benchmark.schema[item_id].dataType.simpleString()
     shape = f"array<struct<item_id:{item_type},start:bigint,n_words:bigint,n_equal:bigint>>"
     # A token has two bytes at least with its border, and gives one seed per mask.
-    if (size or 0) * len(MASKS) // 2 <= index_rows and (size or 0) <= MAX_SHIPPED_BYTES and rows <= index_rows:
+    if (size or 0) * len(masks(SPAN)) // 2 <= index_rows and (size or 0) <= MAX_SHIPPED_BYTES and rows <= index_rows:
         found = items.orderBy("item_id", "text").collect()
         ids, texts = [r[0] for r in found], [r[1] for r in found]
         sent = docs.select(*own, F.col(f"`{text}`").cast("string").alias("__text"))
@@ -275,7 +280,7 @@ def with_overlaps(
     found = _joined_overlaps(
         numbered.select("__row", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")),
         listed,
-        list(range(MIN_ITEM, MASK_SPAN)),
+        list(range(MIN_ITEM, SPAN)),
     )
     named = (
         found.select("__row", F.explode("overlaps").alias("o"))
