@@ -8,6 +8,12 @@ A template is recurring if `min_docs` documents hold it and at least 80 percent
 are constant. Recurring lines go, except in the document of smallest id that holds the
 template, so nothing disappears from the corpus.
 
+With `whole_fields`, as the query and the pipeline call it, tokens that hold a digit match at
+their place like constants, so the share limits only the fields found by counting, and a
+masked line that `min_docs` documents hold is recurring however many fields it has. A line of
+nothing but such tokens has no template and is compared as it stands, or all rows of figures
+would be one. Without it, these tokens count against the share.
+
 All of it is counting: documents fold their own repeats first, leaves that too few lines
 reach are dropped before any token is looked at, and counts are combined before the shuffle.
 No leaf or template is gathered in a task.
@@ -32,28 +38,35 @@ FIELD = "<*>"
 SHIPPED_LEAVES = 2_000_000
 #: A whole token with a digit; the look-behind keeps the search linear in the token.
 _WITH_DIGIT = r"(?<!\S)[^\s\d]*+\d\S*"
+#: The same, after a line (group 1) of nothing but such tokens.
+_FIELDS_ONLY = r"^([^\s\d]*+\d\S*+(?: [^\s\d]*+\d\S*+)*+)$|" + _WITH_DIGIT
 _WORDED_LINE = r"(?md)^[ \t\x0B\f\r]*+\S"
 
 
-def masked(line: Column) -> Column:
+def masked(line: Column, whole_fields: bool = False) -> Column:
     """The line with single spaces and tokens that hold a digit replaced by the field mark."""
     plain = F.trim(F.regexp_replace(line, r"\s+", " "))
+    if whole_fields:
+        # A line of fields only stays, with the mark at its end; elsewhere group 1 is empty.
+        return F.regexp_replace(plain, _FIELDS_ONLY, "$1" + FIELD)
     return F.regexp_replace(plain, _WITH_DIGIT, FIELD)
 
 
-def masked_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), masked)
+def masked_lines(text: Column, whole_fields: bool = False) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda line: masked(line, whole_fields))
 
 
 def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(i)) for i in range(LEADING)])
 
 
-def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, whole_fields: bool = False
+) -> DataFrame:
     """(doc_id, line_hash, template_hash) of the lines to drop, by document."""
     lines = docs.select(
         F.col(f"`{id_column}`").alias("doc_id"),
-        F.explode(F.array_distinct(masked_lines(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).alias("line"),
+        F.explode(F.array_distinct(masked_lines(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), whole_fields))).alias("line"),
     ).where("line <> ''")
     hashed = lines.select("doc_id", "line", F.xxhash64("line").alias("line_hash"), _leaf(F.split("line", " ")).alias("leaf"))
     narrow = materialise(hashed.drop("line"))
@@ -77,10 +90,12 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     # A template is the set of its constants; an order-free sum of mixed slots stands for it.
     part = F.when(F.col("constant"), F.xxhash64("slot", "token").cast("decimal(38,0)"))
+    matching = F.coalesce("constant", F.col("token").isNull()) if whole_fields else F.col("constant")
+    matching = F.when(matching, True)
     templates = (
         slots.join(constant, ["leaf", "slot", "token"], "left")
         .groupBy("leaf", "line_hash")
-        .agg(F.sum(part).alias("__sum"), F.count("constant").alias("n_constant"), F.count(F.lit(1)).alias("n_tokens"))
+        .agg(F.sum(part).alias("__sum"), F.count(matching).alias("n_constant"), F.count(F.lit(1)).alias("n_tokens"))
         .where(F.lit(100) * F.col("n_constant") >= F.lit(MIN_SHARE) * F.col("n_tokens"))
         .select("line_hash", F.xxhash64("leaf", F.col("__sum").cast("string")).alias("template_hash"))
     )
@@ -98,16 +113,16 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def drop_recurring_lines(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, whole_fields: bool = False
 ) -> DataFrame:
     """The rows of `docs` with recurring lines taken out of the text, and `__n_lines`, `__n_dropped`."""
-    gone = recurring_lines(docs, id_column, text, min_docs).groupBy(F.col("doc_id").alias("__id")).agg(
+    gone = recurring_lines(docs, id_column, text, min_docs, whole_fields).groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_set("line_hash").alias("__gone")
     ).hint("shuffle_hash")
     body = F.col(f"`{text}`").cast("string")
     joined = docs.join(gone, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")), "left")
     lines = F.split(body, "\n", -1)
-    stays = F.filter(lines, lambda line: ~F.array_contains("__gone", F.xxhash64(masked(line))))
+    stays = F.filter(lines, lambda line: ~F.array_contains("__gone", F.xxhash64(masked(line, whole_fields))))
     kept = F.when(F.col("__gone").isNull() | body.isNull(), F.array(body)).otherwise(stays)
     marked = joined.withColumn("__kept", kept)
     out = F.array_join("__kept", "\n")
@@ -119,7 +134,9 @@ def drop_recurring_lines(
     return marked.select(*columns, n_lines.alias("__n_lines"), dropped.alias("__n_dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, whole_fields: bool = False
+) -> DataFrame:
     """The documents with recurring lines taken out of the text, with their own columns."""
-    found = drop_recurring_lines(docs, id_column, text, min_docs)
+    found = drop_recurring_lines(docs, id_column, text, min_docs, whole_fields)
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

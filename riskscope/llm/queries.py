@@ -48,7 +48,7 @@ def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_templates.drop_recurring_lines(docs)
+    found = line_templates.drop_recurring_lines(docs, whole_fields=True)
     kept = F.coalesce("text", F.lit(""))
     return found.select(
         "doc_id",
