@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskscope.llm import chat_events, decontaminate, html_wrapper, line_templates, masked_lm, packing, simhash_pivots, substring_dedup, token_counts, weak_quality
+from riskscope.llm import chat_events, decontaminate, html_wrapper, line_templates, masked_lm, merkle, oracles, packing, simhash_pivots, substring_dedup, token_counts, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 def register(function: Callable[[SparkSession, str], DataFrame]):
     QUERIES[function.__name__] = function
+    sql = getattr(oracles, function.__name__.upper(), None)
+    if sql:
+        ORACLES[function.__name__] = sql
     return function
 
 
@@ -105,3 +108,23 @@ def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", "n_items", "item_ids")
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fifth id, by its checksum, presents a text in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    presented = [text if f == "text" else F.col(f) for f in merkle.FIELDS]
+    found = merkle.manifest_proofs(docs, presented=presented)
+    found = found.withColumn("folded_root", merkle.folded(F.col("presented"), F.col("path")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
