@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskscope.llm import chat_events, decontaminate, html_wrapper, line_templates, masked_lm, merkle, oracles, packing, simhash_pivots, substring_dedup, token_counts, weak_quality
+from riskscope.llm import chat_events, decontaminate, fragment_join, html_wrapper, line_templates, masked_lm, merkle, oracles, packing, simhash_pivots, substring_dedup, token_counts, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@register
+def op12_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_join.jaccard_classes(table(spark, sf_dir, "documents"))
