@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskscope.llm import chat_events, decontaminate, fragment_join, html_wrapper, line_templates, masked_lm, merkle, oracles, packing, simhash_pivots, substring_dedup, token_counts, weak_quality
+from riskscope.llm import chat_events, decontaminate, fragment_join, html_wrapper, line_templates, masked_lm, merkle, oracles, packing, rtree_negatives, simhash_pivots, substring_dedup, token_counts, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragment_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh label is moved on, so that near rows of another label exist."""
+    given = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree_negatives.hard_negatives(given.withColumn("label", moved), F.col("id") % 50 == 0)
