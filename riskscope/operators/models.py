@@ -18,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskscope.operators import evaluation, folds, profiling
+from riskscope.operators.selection import select_quantiles
 
 IMPUTED = -1.0
 
@@ -38,17 +39,15 @@ def impute_median(
 ) -> tuple[DataFrame, DataFrame]:
     """Fill nulls of both parts with the exact medians of the train part.
 
-    In `sentinel_columns` the -1 sentinel counts as null. The medians come from value counts,
+    In `sentinel_columns` the -1 sentinel counts as null. The medians are selected in cells,
     so no task holds a whole column. A feature that is null in all train rows has no median
     and becomes the constant `IMPUTED`, which no model can learn from.
     """
-    from riskscope.scaling import exact_quantiles, value_counts
-
     clear = lambda df: df.withColumns(
         {f: F.nullif(F.col(f).cast("double"), F.lit(IMPUTED)) if f in sentinel_columns else F.col(f).cast("double") for f in features}
     )
     train, test = clear(train), clear(test)
-    rows = exact_quantiles(value_counts(train, features), [0.5]).collect()
+    rows = select_quantiles(train, features, [0.5]).collect()
     medians = {r["feature"]: r["quantile"] for r in rows}
     fill = {f: medians.get(f, IMPUTED) for f in features}
     return train.na.fill(fill), test.na.fill(fill)

@@ -1,8 +1,8 @@
 """Profiling of feature tables.
 
-Every report is one scan that feeds one aggregation for all features: either one wide row
-of aggregates, or the table of distinct values per feature with their counts. Reports are
-a few rows per feature.
+Every scan feeds one aggregation for all features: one wide row of aggregates, counts of
+ordered cells for quantiles and bins, or, for ranks and dominant values, the distinct values of
+each feature with their counts. Reports are a few rows per feature.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from riskscope.scaling import exact_quantiles, join_on, number, running_counts, value_counts
+from riskscope.operators.selection import SHIPPED_CELLS, cell_counts, moments, select_quartiles, tall_values
+from riskscope.scaling import join_on, number, running_counts, value_counts
+from riskscope.session import materialise
 
 SENTINEL = -1.0
 
@@ -43,32 +45,12 @@ def missing_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles and max per feature."""
-    row = df.agg(
-        *[
-            agg.alias(f"{name}__{f}")
-            for f in features
-            for name, agg in [
-                ("n", F.count(number(f))),
-                ("mean", F.avg(number(f))),
-                ("std", F.stddev_samp(number(f))),
-                ("min", F.min(number(f))),
-                ("max", F.max(number(f))),
-            ]
-        ]
-    )
-    base = _tall(row, features, dict.fromkeys(["n", "mean", "std", "min", "max"]))
-    return base.join(quartiles(value_counts(df, features)), "feature", "left").select(
-        "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
-
-
-def quartiles(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """q25, q50 and q75 per (feature, by…) from value counts."""
-    q = exact_quantiles(counts, [0.25, 0.5, 0.75], by)
-    at = lambda p: F.max(F.when(F.col("probability") == p, F.col("quantile")))
-    return q.groupBy("feature", *by).agg(
-        at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75")
+    """count, mean, sample std, min, exact quartiles and max per feature, in three scans at most."""
+    cells = cell_counts(df, features)
+    base = moments(cells).join(select_quartiles(df, features, cells=cells), "feature")
+    named = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return named.join(base, "feature", "left").select(
+        "feature", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 
 
@@ -93,21 +75,19 @@ def sentinel_profile(
 
 def extreme_outliers(df: DataFrame, features: Sequence[str], reach: float = 3.0, warn_pct: float = 5.0) -> DataFrame:
     """Rows strictly beyond `reach` interquartile ranges, with a warning above `warn_pct`."""
-    counts = value_counts(df, features)
-    fences = quartiles(counts).select(
-        "feature",
-        (F.col("q25") - reach * (F.col("q75") - F.col("q25"))).alias("low"),
-        (F.col("q75") + reach * (F.col("q75") - F.col("q25"))).alias("high"),
-    )
-    n_rows = df.agg(*[F.count(F.lit(1)).alias(f"n_rows__{f}") for f in features])
-    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    found = (
-        counts.join(F.broadcast(fences), "feature")
-        .groupBy("feature", "low", "high")
-        .agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outliers"))
+    wide = F.col("q75") - F.col("q25")
+    fences = select_quartiles(df, features).select(
+        "feature", (F.col("q25") - reach * wide).alias("low"), (F.col("q75") + reach * wide).alias("high")
     )
+    # One row per feature; null where a feature has no value.
+    limits = {r["feature"]: (r["low"], r["high"]) for r in fences.collect()}
+    outside = lambda f: F.count_if((number(f) < limits[f][0]) | (number(f) > limits[f][1]))
+    row = df.agg(F.count(F.lit(1)).alias("n_rows"), *[outside(f).alias(f"n_outliers__{f}") for f in limits])
+    if not limits:
+        return _no_rows(df, "feature string, low double, high double, n_outliers long, pct_outliers double, is_warning boolean")
     pct = 100.0 * F.col("n_outliers") / F.col("n_rows")
-    return found.join(_tall(n_rows, features, {"n_rows": "long"}), "feature").select(
+    bounds = df.sparkSession.createDataFrame([(f, *b) for f, b in limits.items()], "feature string, low double, high double")
+    return _tall(row, list(limits), {"n_outliers": "long"}, ["n_rows"]).join(bounds, "feature").select(
         "feature",
         "low",
         "high",
@@ -117,32 +97,45 @@ def extreme_outliers(df: DataFrame, features: Sequence[str], reach: float = 3.0,
     )
 
 
+def _no_rows(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
+def _shipped(table: DataFrame) -> DataFrame:
+    """A table of one row per feature and group, broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= SHIPPED_CELLS else table
+
+
 def histogram(df: DataFrame, features: Sequence[str], bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the range of each (feature, by…), the maximum in the last bin.
 
-    Empty bins are kept. A range of zero width is widened by one half on each side.
+    Empty bins are kept. A range of zero width is widened by one half on each side. Two scans:
+    one for the ranges, one that counts rows by bin.
     """
-    counts = value_counts(df, features, by)
+    values = tall_values(df, features, by)
     width = F.when(F.max("value") == F.min("value"), 0.5).otherwise(0.0)
-    ranges = counts.groupBy("feature", *by).agg(
-        (F.min("value") - width).alias("low"), (F.max("value") + width).alias("high")
+    ranges = materialise(
+        values.groupBy("feature", *by).agg(
+            (F.min("value") - width).alias("low"), (F.max("value") + width).alias("high")
+        )
     )
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     edge = lambda i: F.col("low") + i * ((F.col("high") - F.col("low")) / bins)
     raw = F.least(
         F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)
     )
-    placed = join_on(counts, ranges, ["feature", *by]).withColumn("__raw", raw).withColumn(
-        "bin",
+    placed = join_on(values, _shipped(ranges), ["feature", *by]).withColumn("__raw", raw).select(
+        "feature",
+        *by,
         (
             F.col("__raw")
             - F.when(F.col("value") < edge(F.col("__raw")), 1).otherwise(0)
             + F.when(
                 (F.col("__raw") < bins - 1) & (F.col("value") >= edge(F.col("__raw") + 1)), 1
             ).otherwise(0)
-        ).cast("int"),
+        ).cast("int").alias("bin"),
     )
-    filled = placed.groupBy("feature", *by, "bin").agg(F.sum("n").alias("n"))
+    filled = placed.groupBy("feature", *by, "bin").agg(F.count(F.lit(1)).alias("n"))
     return (
         join_on(grid, filled, ["feature", *by, "bin"], "left")
         .na.fill({"n": 0})
@@ -159,12 +152,11 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 30, by: Sequen
 
 def box_stats(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and fliers per (feature, by…)."""
-    counts = value_counts(df, features, by)
-    q = quartiles(counts, by)
+    q = materialise(select_quartiles(df, features, by))
     iqr = F.col("q75") - F.col("q25")
     inside = F.col("value").between(F.col("q25") - 1.5 * iqr, F.col("q75") + 1.5 * iqr)
     return (
-        join_on(counts, q, ["feature", *by])
+        join_on(tall_values(df, features, by), _shipped(q), ["feature", *by])
         .groupBy("feature", *by)
         .agg(
             F.max("q25").alias("q25"),
@@ -172,7 +164,7 @@ def box_stats(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) ->
             F.max("q75").alias("q75"),
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_fliers"),
+            F.count_if(~inside).alias("n_fliers"),
         )
     )
 
@@ -281,7 +273,7 @@ def _pearson(a: str, b: str, complete: set[str]) -> Column:
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, r) for i < j, over complete pairs; null where a side is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    wide = df.select(*[number(c).alias(c) for c in columns])
     complete = _complete_columns(wide, columns)
     row = wide.agg(*[_pearson(a, b, complete).alias(f"r__{a}__{b}") for a, b in pairs])
     entries = [
@@ -297,7 +289,7 @@ def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float =
 
 def label_correlation(df: DataFrame, features: Sequence[str], label: str, weak: float = 0.05) -> DataFrame:
     """r of each feature with the label; weak below `weak` in absolute value."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, label]])
+    wide = df.select(*[number(c).alias(c) for c in [*features, label]])
     complete = _complete_columns(wide, [*features, label])
     row = wide.agg(*[_pearson(f, label, complete).alias(f"r__{f}") for f in features])
     return _tall(row, features, {"r": "double"}).withColumn(
@@ -321,7 +313,7 @@ def low_variance(df: DataFrame, features: Sequence[str], flag_pct: float = 95.0)
         F.max("n").alias("top"),
         F.sum("n").alias("total"),
     )
-    row = df.agg(*[F.var_samp(F.col(f).cast("double")).alias(f"variance__{f}") for f in features])
+    row = df.agg(*[F.var_samp(number(f)).alias(f"variance__{f}") for f in features])
     pct = F.round(100.0 * F.col("top") / F.col("total"), 1)
     return by_value.join(_tall(row, features, {"variance": "double"}), "feature").select(
         "feature",
@@ -441,7 +433,7 @@ def vif(df: DataFrame, features: Sequence[str], fill: float = SENTINEL) -> DataF
 
     One pass builds the k×k covariance matrix; only that matrix reaches the driver.
     """
-    wide = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(fill)).alias(f) for f in features])
+    wide = df.select(*[F.coalesce(number(f), F.lit(fill)).alias(f) for f in features])
     k = len(features)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     row = wide.agg(*[F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in cells]).head()
