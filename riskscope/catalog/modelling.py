@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskscope.catalog.registry import register
-from riskscope.catalog.tables import FEATURES, features, rounded, table
+from riskscope.catalog.tables import FEATURES, FEATURES_SQL, features, rounded, table
 from riskscope.functions import code
-from riskscope.operators import feature_sets, folds, models, scoring
+from riskscope.operators import boosting, feature_sets, folds, models, scoring
 from riskscope.session import materialise
 
 TEXT_FEATURES = ["n_chars", "n_lines", "n_words", "complexity", "n_digits", "quality"]
@@ -62,10 +62,42 @@ def forest_importances(spark, sf_dir):
 def boosted_scores(spark, sf_dir):
     """Scores, decisions and bands of a boosted model for all labelled documents."""
     df = models.positive_weights(labelled(spark, sf_dir), "label")
-    model = models.boosted_trees(TEXT_FEATURES, "label", 10, 4, 0.1).fit(df)
+    model = models.boosted_trees(TEXT_FEATURES, "label", 10, 4, 0.1, row_keys=["doc_id"]).fit(df)
     return rounded(scoring.score(df, model).select("doc_id", "risk_score", "risk_pred", "risk_label"))
 
 
+_CUTS = 32
+
+
+@register(
+    "boosted_first_gains",
+    f"""WITH {FEATURES_SQL},
+    c AS (SELECT count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1 FROM features),
+    w AS (SELECT *, CASE WHEN label = 1 THEN n0 / n1 ELSE 1.0::DOUBLE END AS w FROM features, c),
+    b AS (SELECT sum(w * label) / sum(w) AS share FROM w),
+    gh AS (SELECT w.*, w * (share - label) AS g, w * share * (1 - share) AS h FROM w, b),
+    tall AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS value, g, h FROM gh" for f in FEATURES)}),
+    cuts AS (SELECT DISTINCT feature, unnest(q) AS cut FROM (SELECT feature, quantile_cont(value, [{", ".join(str(i / _CUTS) for i in range(1, _CUTS))}]) AS q
+             FROM tall WHERE value IS NOT NULL GROUP BY feature)),
+    s AS (SELECT feature, cut, coalesce(sum(g) FILTER (value < cut), 0) AS gl, coalesce(sum(h) FILTER (value < cut), 0) AS hl,
+          coalesce(sum(g) FILTER (value IS NULL), 0) AS gm, coalesce(sum(h) FILTER (value IS NULL), 0) AS hm, sum(g) AS ga, sum(h) AS ha
+          FROM cuts JOIN tall USING (feature) GROUP BY feature, cut),
+    sides AS (SELECT feature, cut, ga, ha, false AS missing_left, gl, hl FROM s UNION ALL SELECT feature, cut, ga, ha, true, gl + gm, hl + hm FROM s),
+    gains AS (SELECT feature, cut, missing_left, (gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2 AS gain
+              FROM sides WHERE hl >= 1 AND ha - hl >= 1),
+    best AS (SELECT feature, cut, max(gain) AS gain, coalesce(max(gain) FILTER (missing_left) > max(gain) FILTER (NOT missing_left) * (1 + 1e-10),
+             bool_and(missing_left)) AS missing_left FROM gains GROUP BY feature, cut)
+    SELECT feature, round(cut, 8) AS cut, round(gain, 4) AS gain, missing_left, round(ln(share / (1 - share)), 6) + 0.0 AS base FROM best, b""",
+)
+def boosted_first_gains(spark, sf_dir):
+    """Base score and second-order gain of every cut of the first tree's root, all feature rows, positives weighted."""
+    df = models.positive_weights(features(spark, sf_dir), "label")
+    found = boosting.first_gains(df, models.boosted_trees(FEATURES, "label", 1, 1, 0.1, bins=_CUTS))
+    return found.select(
+        "feature", F.round("cut", 8).alias("cut"), F.round("gain", 4).alias("gain"), "missing_left", (F.round("base", 6) + 0.0).alias("base")
+    )
+
+
 @register("grid_search_mcc")
 def grid_search_mcc(spark, sf_dir):
     df = labelled(spark, sf_dir)

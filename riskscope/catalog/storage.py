@@ -11,11 +11,12 @@ from riskscope.catalog.plans import chunk_rows
 from riskscope.catalog.registry import register
 from riskscope.catalog.tables import FEATURES_SQL, features, rounded, table
 from riskscope.operators import feature_sets, models, profiling
-from riskscope.plans.pipeline import batch_requests, plan_batch
+from riskscope.plans.pipeline import batch_requests_of, plan_batch
 from riskscope.schemas import FEATURE_COLUMNS, IDENTITY_COLUMNS, LABEL_COLUMN
 from riskscope.session import materialise, scratch_path
 from riskscope.sources import files
-from riskscope.sources.chunk_table import ChunkTable
+from riskscope.sources.chunk_table import ChunkTable, project_stats
+from riskscope.sources.versioned_chunks import VersionedChunks
 
 
 def _rows(spark, sf_dir):
@@ -63,11 +64,11 @@ def features_csv(spark, sf_dir):
 
 @register(
     "select_features",
-    f"WITH {FEATURES_SQL} SELECT file, method, round(quantity, 6) AS quantity, round(price, 6) AS price FROM features WHERE line_no = 1",
+    f"WITH {FEATURES_SQL} SELECT file, method, round(quantity, 6) AS quantity, round(price, 6) AS price FROM features",
 )
 def select_features(spark, sf_dir):
     """The wanted columns that exist, behind the kept ones."""
-    df = features(spark, sf_dir).where("line_no = 1")
+    df = features(spark, sf_dir)
     return rounded(feature_sets.select_features(df, ["quantity", "absent", "price"], ["file", "method"]))
 
 
@@ -89,11 +90,9 @@ def numeric_features(spark, sf_dir):
 )
 def constant_labels(spark, sf_dir):
     """Whether the label is constant in each line status, and among the positives."""
-    df = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("label"))
-    parts = {r[0]: df.where(F.col("l_linestatus") == r[0]) for r in df.select("l_linestatus").distinct().collect()}
-    parts["positive"] = df.where("label = 1")
-    found = [(name, profiling.constant_label(part, "label")) for name, part in parts.items()]
-    return spark.createDataFrame(found, "part string, is_constant boolean")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("part"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    positive = rows.where("label = 1").withColumn("part", F.lit("positive"))
+    return profiling.constant_labels(rows.unionByName(positive), "label", "part")
 
 
 @register(
@@ -149,14 +148,24 @@ def class_facts_round_trip(spark, sf_dir):
     "SELECT item_id + 1 AS example_no, 'Cas ' || item_id AS demande_utilisateur, text AS test_ideal FROM benchmark",
 )
 def examples_round_trip(spark, sf_dir):
-    """Examples as one JSON array, numbered in file order."""
+    """Examples as JSON lines, numbered in file order."""
     rows = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.struct(F.concat(F.lit("Cas "), F.col("item_id").cast("string")).alias("demande_utilisateur"), F.col("text").alias("test_ideal")).alias("e")
+        "item_id", F.concat(F.lit("Cas "), F.col("item_id").cast("string")).alias("demande_utilisateur"), F.col("text").alias("test_ideal")
     )
-    whole = rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "e"))), lambda x: x["e"])).alias("value"))
     path = scratch_path(spark)
-    whole.coalesce(1).write.text(path)
-    return files.read_examples(spark, path).select("example_no", "demande_utilisateur", "test_ideal")
+    files.write_examples(rows, path, ["item_id"])
+    return files.read_examples(spark, path, lines=True).select("example_no", "demande_utilisateur", "test_ideal")
+
+
+def _document_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.lit("t").alias("chunk_type"), F.col("source").alias("file_path"),
+        F.col("source").alias("class_name"), F.col("text").alias("content"), F.array(F.lit(1.0).cast("float")).alias("embedding"),
+        F.col("lang").alias("project_id"),
+    )
+
+
+_EVEN_FRENCH = "project_id = 'fr' AND cast(chunk_id AS long) % 2 = 0"
 
 
 @register(
@@ -165,31 +174,44 @@ def examples_round_trip(spark, sf_dir):
 )
 def replaced_projects(spark, sf_dir):
     """A chunk table after one project was replaced by half of it and one was dropped."""
-    documents = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.lit("t").alias("chunk_type"), F.col("source").alias("file_path"),
-        F.col("source").alias("class_name"), F.col("text").alias("content"), F.array(F.lit(1.0).cast("float")).alias("embedding"), "lang",
-    )
+    documents = _document_chunks(spark, sf_dir)
     store = ChunkTable(spark, f"chunks_{uuid.uuid4().hex}")
     try:
-        for lang in [r[0] for r in documents.select("lang").distinct().collect()]:
-            store.replace_project(lang, documents.where(F.col("lang") == lang).drop("lang"))
-        store.replace_project("fr", documents.where("lang = 'fr' AND cast(chunk_id AS long) % 2 = 0").drop("lang"))
+        store.append(documents)
+        store.replace_project("fr", documents.where(_EVEN_FRENCH))
         store.drop_project("es")
         return materialise(store.stats())
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {store.name}")
 
 
+@register(
+    "project_snapshots",
+    """SELECT 'before' AS snapshot, lang AS project_id, count(*) AS chunks FROM documents GROUP BY lang UNION ALL
+    SELECT 'after', lang, count(*) FROM documents WHERE lang <> 'es' AND (lang <> 'fr' OR doc_id % 2 = 0) GROUP BY lang""",
+)
+def project_snapshots(spark, sf_dir):
+    """Versioned folders: a reader from before a replacement and one from after it, both read afterwards."""
+    documents = _document_chunks(spark, sf_dir)
+    store = VersionedChunks(spark, scratch_path(spark))
+    store.replace_projects(documents)
+    before = store.read()
+    store.replace_project("fr", documents.where(_EVEN_FRENCH))
+    store.drop_project("es")
+    snapshot = lambda df, name: project_stats(df).select(F.lit(name).alias("snapshot"), "project_id", "chunks")
+    return snapshot(before, "before").unionByName(snapshot(store.read(), "after"))
+
+
 @register(
     "model_round_trip",
-    f"WITH {FEATURES_SQL} SELECT file, method, true AS same_score, true AS same_band FROM features WHERE method <= 2",
+    f"WITH {FEATURES_SQL} SELECT file, method, true AS same_score, true AS same_band FROM features",
 )
 def model_round_trip(spark, sf_dir):
     """Scores of a stored and reloaded model against those of the fitted one."""
     from riskscope.operators import scoring
 
     names = ["quantity", "price"]
-    df = models.balanced_weights(features(spark, sf_dir).where("method <= 2").select("file", "method", "label", *names), "label")
+    df = models.balanced_weights(features(spark, sf_dir).select("file", "method", "label", *names), "label")
     model = models.logistic(names, "label", 1.0, 1000.0, 10).fit(df)
     path = scratch_path(spark)
     models.save_model(model, names, spark.range(1), path)
@@ -212,13 +234,13 @@ def impute_constant(spark, sf_dir):
 
 @register(
     "batch_plan",
-    f"SELECT {ct.CLASS} AS class_name, {ct.CLASS} || 'Test' AS test_name FROM part WHERE p_partkey <= 120",
+    f"SELECT {ct.CLASS} AS class_name, {ct.CLASS} || 'Test' AS test_name FROM part",
 )
 def batch_plan(spark, sf_dir):
-    """Files of a batch of 121 classes."""
-    wanted = [f"Part{i}Controller" for i in range(121)]
-    requests = batch_requests(spark, wanted)
-    made = plan_batch(chunk_rows(spark, sf_dir), requests).files().select("class_name")
+    """Files of a batch that names every class of the table."""
+    chunks = chunk_rows(spark, sf_dir)
+    requests = materialise(batch_requests_of(chunks.select("class_name").distinct()))
+    made = plan_batch(chunks, requests).files().select("class_name")
     return made.join(requests.select("class_name", "test_name"), "class_name")
 
 

@@ -10,7 +10,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskscope.operators import evaluation, folds, profiling
+from riskscope.operators.boosting import BoostedModel, BoostedTrees
 from riskscope.operators.selection import select_quantiles
 
 IMPUTED = -1.0
@@ -26,7 +27,7 @@ IMPUTED = -1.0
 LOGISTIC_C = [0.01, 0.1, 1.0, 10.0]
 FOREST_GRID = {"trees": [100, 200], "depth": [4, 8, 12], "leaf": [3, 5, 10]}
 QUICK_FOREST = {"trees": 100, "depth": 8, "leaf": 5}
-BOOSTED = {"rounds": 200, "depth": 4, "step": 0.1}
+BOOSTED = {"rounds": 200, "depth": 4, "step": 0.1, "least_hessian": 5.0}
 CROSS_PROJECT_BOOSTED = {"rounds": 400, "depth": 4, "step": 0.05}
 
 
@@ -101,16 +102,11 @@ def random_forest(features: Sequence[str], label: str, trees: int, depth: int, l
     )
 
 
-def boosted_trees(features: Sequence[str], label: str, rounds: int, depth: int, step: float, seed: int = 42) -> Pipeline:
-    return Pipeline(
-        stages=[
-            _assembler(features),
-            GBTClassifier(
-                labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step,
-                subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-            ),
-        ]
-    )
+def boosted_trees(
+    features: Sequence[str], label: str, rounds: int, depth: int, step: float, seed: int = 42, **options
+) -> BoostedTrees:
+    """Second-order boosting on 80 percent of rows and features for each tree; `options` as in `BoostedTrees`."""
+    return BoostedTrees(features, label, rounds, depth, step, seed=seed, **options)
 
 
 def with_score(model, df: DataFrame, name: str = "score") -> DataFrame:
@@ -225,6 +221,8 @@ def group_level_report(scored: DataFrame, label: str, group: str) -> DataFrame:
 
 def importances(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """Importance of each feature in a tree model, or absolute coefficient in a linear one."""
+    if isinstance(model, BoostedModel):
+        return spark.createDataFrame(model.importances(), "feature string, importance double")
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")

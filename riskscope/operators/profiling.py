@@ -350,6 +350,11 @@ def constant_label(df: DataFrame, label: str) -> bool:
     return low == high
 
 
+def constant_labels(df: DataFrame, label: str, by: str) -> DataFrame:
+    """(by, is_constant): the same for every value of a column, in one aggregation."""
+    return df.groupBy(by).agg((F.min(label) == F.max(label)).alias("is_constant"))
+
+
 def rate_by_group(df: DataFrame, group: str, label: str, min_rows: int = 3) -> DataFrame:
     """Label rate and rows per group; groups of one label only are marked."""
     return (

@@ -52,8 +52,12 @@ def batch_requests(spark: SparkSession, class_names: Sequence[str], prefix: str
     """(class_name, description, test_name) of a batch of named classes."""
     if not class_names:
         raise ValueError("a batch has one class at least")
-    rows = spark.createDataFrame([(c,) for c in class_names], "class_name string")
-    return rows.select(
+    return batch_requests_of(spark.createDataFrame([(c,) for c in class_names], "class_name string"), prefix)
+
+
+def batch_requests_of(classes: DataFrame, prefix: str = "Tests fonctionnels pour") -> DataFrame:
+    """(class_name, description, test_name) of a batch that is a table of class names."""
+    return classes.select(
         "class_name",
         F.concat_ws(" ", F.lit(prefix), "class_name").alias("description"),
         F.concat(safe_name(F.col("class_name")), F.lit("Test")).alias("test_name"),

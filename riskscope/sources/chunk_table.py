@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskscope.schemas import CHUNKS_SCHEMA
@@ -22,11 +24,15 @@ def vector_violations(chunks: DataFrame, size: int, embedding: str = "embedding"
     return chunks.where(F.size(embedding) != check_vector_size(size))
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class ChunkTable:
     """Chunks in a catalogue table; each project is one partition.
 
     Replacing a project rewrites its partition only. The commit is one Spark job; readers
-    that must never see the swap should read a versioned copy of the table.
+    that must never see the swap read `versioned_chunks.VersionedChunks` instead.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,16 +59,22 @@ class ChunkTable:
         if rows.isEmpty():
             self.drop_project(project_id)
             return
-        (
-            rows.hint("rebalance")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.name, overwrite=True)
-        )
+        # The partition is named in the statement, so no session setting can widen what it overwrites.
+        view = f"rows_{uuid.uuid4().hex}"
+        rows.drop("project_id").hint("rebalance").createTempView(view)
+        try:
+            columns = ", ".join(c for c in self.columns if c != "project_id")
+            partition = f"PARTITION (project_id = {_literal(project_id)})"
+            self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} {partition} SELECT {columns} FROM {view}")
+        finally:
+            self.spark.catalog.dropTempView(view)
+
+    def append(self, chunks: DataFrame) -> None:
+        """Add rows of any projects, all in one job."""
+        chunks.select(*self.columns).hint("rebalance").write.mode("append").insertInto(self.name)
 
     def drop_project(self, project_id: str) -> None:
-        literal = project_id.replace("\\", "\\\\").replace("'", "\\'")
-        self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (project_id = '{literal}')")
+        self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (project_id = {_literal(project_id)})")
 
     def projects(self) -> DataFrame:
         return list_projects(self.read())

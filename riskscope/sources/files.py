@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from riskscope.scaling import checked_position
 from riskscope.schemas import CLASS_FACTS_SCHEMA, EXAMPLES_SCHEMA, FEATURES_SCHEMA
@@ -91,12 +92,26 @@ def read_class_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLASS_FACTS_SCHEMA).json(path)
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of examples, numbered by file name and place in the file by `example_no`."""
-    rows = spark.read.schema(EXAMPLES_SCHEMA).json(path, multiLine=True)
-    # A file is one array and read by one task, which numbers its rows in order.
-    placed = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
-    return checked_position(placed, [], ["__file", "__at"], "example_no").drop("__file", "__at")
+def read_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Examples numbered by file name and place in the file by `example_no`.
+
+    A file is one JSON array, read by one task, or with `lines` one example per line, so that large
+    files are split over tasks.
+    """
+    rows = spark.read.schema(EXAMPLES_SCHEMA).json(path, multiLine=not lines)
+    # Rows of one block of a file are read in order by one task.
+    placed = rows.withColumns(
+        {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
+    )
+    return checked_position(placed, [], ["__file", "__block", "__at"], "example_no").drop("__file", "__block", "__at")
+
+
+def write_examples(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Examples as JSON lines in the given order, over as many files as the rows need."""
+    by = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = [c for c in T.StructType.fromDDL(EXAMPLES_SCHEMA).names if c in df.columns]
+    ranged.select(*kept).write.mode("overwrite").json(path)
 
 
 def read_features(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
