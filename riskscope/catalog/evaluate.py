@@ -124,13 +124,13 @@ def group_report(spark, sf_dir):
     return rounded(evaluation.group_report(scored(spark, sf_dir), "file", "label", "pred"))
 
 
-def _fold_sql(column: str, k: int = 5) -> str:
+def fold_sql(column: str, k: int = 5) -> str:
     return f"(('0x' || substr(md5({column} || ':42'), 1, 8))::BIGINT % {k})::INT"
 
 
 @register(
     "group_folds",
-    f"""WITH {FEATURES_SQL}, f AS (SELECT *, {_fold_sql("file")} AS fold FROM features)
+    f"""WITH {FEATURES_SQL}, f AS (SELECT *, {fold_sql("file")} AS fold FROM features)
     SELECT fold, count(*) AS n_rows, count(DISTINCT file) AS n_groups, sum(label)::BIGINT AS n_positive FROM f GROUP BY fold""",
 )
 def group_folds(spark, sf_dir):
@@ -140,7 +140,7 @@ def group_folds(spark, sf_dir):
 
 @register(
     "row_folds",
-    f"""SELECT doc_id, {_fold_sql("doc_id")} AS fold FROM documents""",
+    f"""SELECT doc_id, {fold_sql("doc_id")} AS fold FROM documents""",
 )
 def row_folds(spark, sf_dir):
     return folds.row_folds(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
@@ -169,7 +169,7 @@ def group_split(spark, sf_dir):
     return folds.group_split(features(spark, sf_dir), "file")
 
 
-_FOLDED = f"""{FEATURES_SQL}, scored AS (SELECT *, {_PRED}, {_fold_sql("file")} AS fold FROM features),
+_FOLDED = f"""{FEATURES_SQL}, scored AS (SELECT *, {_PRED}, {fold_sql("file")} AS fold FROM features),
 c AS (SELECT fold, {_COUNTS} FROM scored GROUP BY fold), {_auc_sql('fold')},
 per_fold AS (SELECT fold, {_MCC} AS mcc, {_BALANCED} AS ba, {_F1} AS f1, {_ACCURACY} AS acc, roc_auc
              FROM c JOIN auc USING (fold))"""
@@ -190,7 +190,7 @@ def cv_summary(spark, sf_dir):
 
 @register(
     "cv_report_with_train",
-    f"""WITH {FEATURES_SQL}, parts AS (SELECT *, {_PRED}, {_fold_sql("file")} AS own FROM features),
+    f"""WITH {FEATURES_SQL}, parts AS (SELECT *, {_PRED}, {fold_sql("file")} AS own FROM features),
     runs AS (SELECT parts.*, m.i AS fold, CASE WHEN own = m.i THEN 'test' ELSE 'train' END AS cv_part FROM parts, (SELECT unnest(range(5)) AS i) m),
     c AS (SELECT fold, cv_part, {_COUNTS} FROM runs GROUP BY fold, cv_part),
     f AS (SELECT fold, cv_part, {_F1} AS f1, {_ACCURACY} AS acc FROM c)
@@ -235,7 +235,7 @@ def stratified_folds_null_label(spark, sf_dir):
 @register(
     "holdout_report",
     f"""WITH {FEATURES_SQL}, scored AS (SELECT *, {_PRED},
-        CASE WHEN {_fold_sql("file", 10)} < 3 THEN 'test' ELSE 'train' END AS half FROM features),
+        CASE WHEN {fold_sql("file", 10)} < 3 THEN 'test' ELSE 'train' END AS half FROM features),
     c AS (SELECT half, {_COUNTS} FROM scored GROUP BY half), {_auc_sql('half')},
     m AS (SELECT max({_F1}) FILTER (half = 'train') AS train_f1, max({_F1}) FILTER (half = 'test') AS test_f1,
                  max({_ACCURACY}) FILTER (half = 'test') AS test_accuracy,
@@ -259,7 +259,7 @@ _RULES = {"quantity rule": "quantity / 50", "discount rule": "greatest(discount,
     "select_best_model",
     f"""WITH {FEATURES_SQL},
     scored AS ({" UNION ALL ".join(
-        f"SELECT {i} AS model_no, '{name}' AS model, {_fold_sql('file')} AS fold, label, (({rule}) >= 0.5)::INT AS pred FROM features"
+        f"SELECT {i} AS model_no, '{name}' AS model, {fold_sql('file')} AS fold, label, (({rule}) >= 0.5)::INT AS pred FROM features"
         for i, (name, rule) in enumerate(_RULES.items()))}),
     c AS (SELECT model_no, model, fold, {_COUNTS} FROM scored GROUP BY ALL),
     m AS (SELECT model_no, model, round(avg({_MCC}), 6) AS cv_mcc_mean, round(avg({_F1}), 6) AS cv_f1_mean FROM c GROUP BY ALL)

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskscope.catalog.evaluate import fold_sql
 from riskscope.catalog.registry import register
 from riskscope.catalog.tables import FEATURES, FEATURES_SQL, features, rounded, table
 from riskscope.functions import code
-from riskscope.operators import boosting, feature_sets, folds, models, scoring
+from riskscope.operators import boosting, feature_sets, folds, models, newton, scoring
 from riskscope.session import materialise
 
 TEXT_FEATURES = ["n_chars", "n_lines", "n_words", "complexity", "n_digits", "quality"]
@@ -108,12 +109,46 @@ def grid_search_mcc(spark, sf_dir):
 
 @register("grid_search_c")
 def grid_search_c(spark, sf_dir):
-    """The logistic model over two values of C on group folds."""
-    df = labelled(spark, sf_dir)
-    total = df.agg(F.sum("weight")).head()[0]
-    pipeline = models.logistic(TEXT_FEATURES, "label", 1.0, total, 30)
-    search = models.grid_search(df, pipeline, models.logistic_grid(total, [0.1, 10.0]), "label", "file", k=2)
-    return rounded(models.grid_table(search, spark))
+    """The logistic model over all values of C on five group folds, every model from the same scans."""
+    df = folds.group_folds(labelled(spark, sf_dir), "file", 5)
+    found, _ = newton.logistic_grid_search(df, TEXT_FEATURES, "label", "fold", 5, models.LOGISTIC_C)
+    return rounded(found)
+
+
+def _newton_sql(step: int) -> str:
+    """One step of all cells: sums at x, then x less the solution of the 3 x 3 system, by Cramer's rule."""
+    p = "(1 / (1 + exp(-(x0 + x1 * z1 + x2 * z2))))"
+    z = ["1", "z1", "z2"]
+    sums = [f"sum(w * ({p} - y) * {z[i]}) AS g{i}" for i in range(3)]
+    sums += [f"sum(w * {p} * (1 - {p}) * {z[i]} * {z[j]}) AS h{i}{j}" for i in range(3) for j in range(i, 3)]
+    det = lambda m: " + ".join(
+        f"({m[0][i]}) * (({m[1][(i + 1) % 3]}) * ({m[2][(i + 2) % 3]}) - ({m[1][(i + 2) % 3]}) * ({m[2][(i + 1) % 3]}))" for i in range(3)
+    )
+    gram = [[f"c * h{min(i, j)}{max(i, j)}" + (" + 1" if i == j and i else "") for j in range(3)] for i in range(3)]
+    gradient = [f"c * g{i}" + (f" + x{i}" if i else "") for i in range(3)]
+    swapped = [[[gradient[r] if j == i else gram[r][j] for j in range(3)] for r in range(3)] for i in range(3)]
+    moved = ", ".join(f"x{i} - ({det(swapped[i])}) / ({det(gram)}) AS x{i}" for i in range(3))
+    return f"""s{step} AS (SELECT held, c, x0, x1, x2, {", ".join(sums)} FROM b{step} JOIN z USING (held) GROUP BY held, c, x0, x1, x2),
+    b{step + 1} AS (SELECT held, c, {moved} FROM s{step})"""
+
+
+@register(
+    "stacked_newton_steps",
+    f"""WITH {FEATURES_SQL}, d AS (SELECT quantity::DOUBLE AS a, price::DOUBLE AS b, label AS y, {fold_sql("file", 3)} AS fold FROM features),
+    m AS (SELECT held, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb,
+          count(*) / (2.0::DOUBLE * sum(y)) AS w1, count(*) / (2.0::DOUBLE * sum(1 - y)) AS w0
+          FROM d JOIN (SELECT unnest([-1, 0, 1, 2]) AS held) ON fold <> held GROUP BY held),
+    z AS (SELECT held, y, (a - ma) / sa AS z1, (b - mb) / sb AS z2, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w FROM d JOIN m ON fold <> held),
+    b0 AS (SELECT held, c, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2 FROM (SELECT unnest([-1, 0, 1, 2]) AS held), (SELECT unnest([0.01::DOUBLE, 10]) AS c)),
+    {_newton_sql(0)}, {_newton_sql(1)}
+    SELECT held, c, unnest(['', 'quantity', 'price']) AS feature, round(unnest([x0, x1, x2]), 6) AS coefficient FROM b2""",
+)
+def stacked_newton_steps(spark, sf_dir):
+    """Coefficients of eight models (three folds and all rows, two penalties) after two common steps over all feature rows."""
+    names = ["quantity", "price"]
+    rows = newton.design_rows(folds.group_folds(features(spark, sf_dir), "file", 3), names, "label", "fold")
+    fit = newton.fit_stacked(rows, names, [newton.ALL_FOLDS, 0, 1, 2], [0.01, 10.0], steps=2)
+    return rounded(fit.coefficients(spark))
 
 
 @register("file_level_report")
