@@ -99,6 +99,22 @@ def knn_join_all(spark, sf_dir):
     return rounded(found.withColumnRenamed("vec_id", "chunk_id"))
 
 
+@register(
+    "knn_probe_recall",
+    """SELECT 5 * count(*) AS n_pairs, true AS reaches FROM embeddings""",
+)
+def knn_probe_recall(spark, sf_dir):
+    """Recall of the approximate form on vectors without clusters: four fifths of some fifty cells, five neighbours of every vector."""
+    corpus = table(spark, sf_dir, "embeddings").withColumn("project", F.lit("all"))
+    queries = corpus.select(F.col("vec_id").alias("query_id"), "project", F.col("embedding").alias("query_vector"))
+    rows = max(1, corpus.count() // 50)
+    names = {"project": "project", "chunk_id": "vec_id", "cell_rows": rows}
+    exact = retrieval.knn_join(queries, corpus, 5, **names).select("query_id", "vec_id", F.lit(1).alias("found"))
+    near = retrieval.knn_probe(queries, corpus, 5, 40, **names).select("query_id", "vec_id", F.lit(1).alias("probed"))
+    both = exact.join(near, ["query_id", "vec_id"], "left")
+    return both.agg(F.count("found").alias("n_pairs"), (F.count("probed") >= 0.9 * F.count("found")).alias("reaches"))
+
+
 @register(
     "normalise",
     """SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS squares, round(v[1] / n, 6) AS first

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskscope.functions import vectors
+from riskscope.operators import pruned_search
 from riskscope.scaling import checked_position, join_on
 from riskscope.session import materialise
 
@@ -27,8 +28,7 @@ TEMPLATE_TYPE = "template_info"
 # Framework classes that are never looked up.
 IGNORED_CLASSES = ["Request", "Response", "AbstractController", "Yaml", "EntityManager", "FormView"]
 
-# Vectors of one cell of a nearest-neighbour join, in bytes, and scores held at a time.
-CELL_BYTES = 16 << 20
+# Scores of a nearest-neighbour join that a task holds at a time.
 SCORE_CELLS = 1 << 21
 
 
@@ -81,6 +81,18 @@ def top_k(
     )
 
 
+def _parts(
+    queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, project: str, chunk_id: str, embedding: str
+) -> tuple[DataFrame, DataFrame]:
+    q = queries.select(
+        F.col(project).alias("project"), F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("vector")
+    )
+    c = corpus.select(
+        F.col(project).alias("project"), F.col(chunk_id).alias("cid"), F.col(embedding).cast("array<double>").alias("vector")
+    )
+    return q, c
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -90,35 +102,35 @@ def knn_join(
     project: str = "project_id",
     chunk_id: str = "chunk_id",
     embedding: str = "embedding",
-    cell_bytes: int = CELL_BYTES,
+    cell_rows: int = pruned_search.CELL_ROWS,
 ) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): k nearest chunks of the same project per query.
 
-    Each chunk goes to one cell of its project, of about `cell_bytes` of vectors, and stays
-    there; queries are sent to the cells of their project and stream past the cell's matrix.
-    A cell keeps k per query, so what is ranked at the end is k rows per query and cell. The
-    plan is the same for one query and for millions. Ties of 12 digits go to the smaller id.
+    Exact: chunks lie in cells around centroids of their project, and a query visits only the
+    cells that its k-th similarity so far does not rule out, see `pruned_search`. Ties of 12
+    digits go to the smaller id.
     """
-    schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {chunk_id} {dict(corpus.dtypes)[chunk_id]}, similarity double"
-    q = queries.select(
-        F.col(query_id).alias("qid"), F.col(project).alias("project"), F.col(query_vector).cast("array<double>").alias("vector")
-    ).where(F.col("vector").isNotNull())
-    c = corpus.where(F.col(embedding).isNotNull()).select(
-        F.col(chunk_id).alias("cid"), F.col(project).alias("project"), F.col(embedding).cast("array<double>").alias("vector")
-    )
-    rows, size = c.agg(F.count(F.lit(1)), F.max(F.size("vector"))).head()
-    cells = max(1, -(-rows * (size or 1) * 8 // cell_bytes))
-    stored = c.withColumn("cell", F.pmod(F.xxhash64("cid"), F.lit(cells)))
-    present = stored.select("project", "cell").distinct()
-    asked = join_on(q, present, ["project"])
-    both = stored.select("project", "cell", F.lit(0).alias("side"), "cid", F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), "vector")
-    both = both.unionByName(
-        asked.select("project", "cell", F.lit(1).alias("side"), F.lit(None).cast(c.schema["cid"].dataType).alias("cid"), "qid", "vector")
-    )
-    met = both.repartition("project", "cell").sortWithinPartitions("project", "cell", "side", "cid")
-    nearest = met.mapInArrow(_cell_nearest(k, query_id, chunk_id), schema)
-    best = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(chunk_id))
-    return nearest.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    q, c = _parts(queries, corpus, query_id, query_vector, project, chunk_id, embedding)
+    found, _ = pruned_search.pruned_neighbours(q, pruned_search.build_cells(c, cell_rows), k, _cell_nearest)
+    return found.select(F.col("qid").alias(query_id), F.col("cid").alias(chunk_id), "similarity", "rank")
+
+
+def knn_probe(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    probes: int,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    project: str = "project_id",
+    chunk_id: str = "chunk_id",
+    embedding: str = "embedding",
+    cell_rows: int = pruned_search.CELL_ROWS,
+) -> DataFrame:
+    """As `knn_join`, from the `probes` nearest cells only: approximate, and bounded work per query."""
+    q, c = _parts(queries, corpus, query_id, query_vector, project, chunk_id, embedding)
+    found = pruned_search.probe(q, pruned_search.build_cells(c, cell_rows), k, _cell_nearest, probes)
+    return found.select(F.col("qid").alias(query_id), F.col("cid").alias(chunk_id), "similarity", "rank")
 
 
 def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -110,8 +110,8 @@ def test_zero_vectors(spark):
     assert df.select(vectors.cosine_similarity(F.col("v"), F.col("v"))).collect()[0][0] is None
 
 
-@pytest.mark.parametrize("cell_bytes", [1 << 20, 64])
-def test_knn_join_brute_force(spark, cell_bytes):
+@pytest.mark.parametrize("cell_rows", [4096, 3])
+def test_knn_join_brute_force(spark, cell_rows):
     rng = np.random.default_rng(0)
     corpus = [(i, i % 2, rng.normal(size=4).astype("float32").tolist()) for i in range(60)] + [(60, 0, [0.0] * 4)]
     queries = [(100 + i, i % 2, rng.normal(size=4).astype("float32").tolist()) for i in range(8)]
@@ -120,7 +120,7 @@ def test_knn_join_brute_force(spark, cell_bytes):
         spark.createDataFrame(queries, schema.format("query_id", "query_vector")),
         spark.createDataFrame(corpus, schema.format("chunk_id", "embedding")),
         3,
-        cell_bytes=cell_bytes,
+        cell_rows=cell_rows,
     )
     unit = lambda v: np.array(v, dtype="float64") / np.linalg.norm(v)
     expected = []
