@@ -7,19 +7,21 @@ Shingles stand in the order of their 64-bit hashes, and ranges of that order are
 Candidates. Two sets of n and m shingles that reach the similarity differ in at most
 (100 - p) (n + m) / (100 + p) shingles. With more non-empty fragments than that, one of them is
 touched by no difference, so it is equal in both sets. Sizes fall into classes so narrow that
-partners are in the same or the next one; a set cuts the order once for its class and once for
-the next and gives a signature for each non-empty fragment. A set with too few non-empty
+partners are in the same or the next one; a set cuts the order once for its class, and once for
+the next if a partner may be there, and gives a signature for each non-empty fragment. A set with too few non-empty
 fragments cuts a re-salted order as well, until one cut has enough (shingle by shingle in the
 end): two similar sets can only both miss a cut if both go on to the next one.
 
-Counts. Candidates are verified in `PIECES` other fragments: the shingles that a pair shares are
-counted in each fragment separately and summed by pair. The pieces also spread a set with
-many partners over as many tasks.
+Counts. Candidates are verified in `PIECES` other fragments. Each set has the size and a digest of
+its pieces; pieces that agree are counted whole, and pairs whose sizes and digests already tell
+too many differences are dropped. For the pieces that differ the shared shingles are counted
+separately and summed by pair, so only their contents are shuffled. The pieces also spread a set
+with many partners over as many tasks.
 
-Large groups. Equal sets are folded first. Each set of a signature is paired with two of its
-sets only, the smallest and the largest key; after two such rounds sets that share a
-signature but not a class yet are paired directly. A class is the connected component, so this
-changes none, and no link between classes is left out.
+Large groups. Equal sets are folded first. Each set of a signature is paired with one of its
+sets only, the one that meets most others, so that the copies of a text meet the text they were
+made from. Sets that share a signature but not a class after that are paired directly. A class
+is the connected component, so this changes none, and no link between classes is left out.
 
 Defined cases: null and empty texts have size 0 and are their own class; repeated rows share a
 class; a null id never names a class, which is null if no member has an id; texts of any length
@@ -41,9 +43,11 @@ from riskscope.session import materialise
 WIDTH = 3
 MIN_PERCENT = 90
 #: Fragments in which overlaps are counted.
-PIECES = 8
+PIECES = 64
 #: Salted orders before every shingle is a fragment of its own.
 ORDERS = 16
+# Set keys that may be shipped to every task: 16 bytes each, 32 MB.
+SHIPPED_KEYS = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -66,12 +70,14 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
 
 
 def size_classes(most: int, percent: int) -> np.ndarray:
-    """First size of each class, up to a class above `most`; partners are in one class or two adjacent ones."""
+    """First size of each class, two classes beyond `most`; partners are in one class or two adjacent ones.
+
+    Wider classes have more fragments than their small sets need, narrower ones more sets that
+    may have a partner in the next; about half as wide again as their first size is the least.
+    """
     lows = [1]
-    while lows[-1] <= most or len(lows) < 4:
-        lows.append(max(lows[-1] + 1, 100 * lows[-1] // percent))
-    lows.append(max(lows[-1] + 1, 100 * lows[-1] // percent))
-    lows.append(max(lows[-1] + 1, 100 * lows[-1] // percent))
+    while len(lows) < 4 or lows[-3] <= most:
+        lows.append(max(lows[-1] + 1, 100 * lows[-1] // percent, 3 * lows[-1] // 2))
     return np.array(lows)
 
 
@@ -108,13 +114,14 @@ def signatures(h: np.ndarray, first: np.ndarray, percent: int = MIN_PERCENT) ->
         level = own + step
         top = lows[level + 1] - 1
         apart = most_differences(top, top, percent)
-        todo = (n > 0) & (apart > 0)
+        todo = (n > 0) & (apart > 0) & ((step == 0) | (100 * n // percent >= lows[level]))
         for salt in range(ORDERS + 1):
             use = todo[owner]
             if not use.any():
                 break
             text = owner[use]
-            run, fragment, digest = _runs(h[use], text, apart[text] + 1, salt)
+            # A tenth more fragments than needed, as some may be empty.
+            run, fragment, digest = _runs(h[use], text, apart[text] + 1 + (apart[text] + 9) // 10, salt)
             place = (level[run].astype(np.uint64) << np.uint64(40)) + (np.uint64(salt) << np.uint64(34)) + fragment.astype(np.uint64)
             texts.append(run)
             found.append(mix(digest ^ mix(place + np.uint64(1))))
@@ -125,60 +132,120 @@ def signatures(h: np.ndarray, first: np.ndarray, percent: int = MIN_PERCENT) ->
     return np.searchsorted(text[order], np.arange(len(n) + 1)), flat[order]
 
 
+def _running(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+
+
+def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = _running(mix(h))
+    return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
+
+
+_keys = set_keys
+
+
+def _pieces(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of all sets begin, `PIECES` of each; one more entry closes the last."""
+    n = np.diff(first)
+    piece = ((h >> np.uint64(32)) * np.uint64(PIECES) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(np.repeat(np.arange(len(n)), n) * PIECES + piece, np.arange(len(n) * PIECES + 1))
+
+
+def _nested(values: pa.Array, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PIECES, pa.int32()), values)
+
+
+def piece_profiles(h: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Sizes and digests of the pieces of each set, as lists."""
+    cuts = _pieces(h, first)
+    total = _running(mix(h ^ np.uint64(0xE7037ED1A0B428DB)))
+    digests = (total[cuts[1:]] - total[cuts[:-1]]).view(np.int64)
+    return _nested(pa.array(np.diff(cuts)), len(first) - 1), _nested(pa.array(digests), len(first) - 1)
+
+
 def _table(docs: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """(id, s, n, sigs, pieces) of every row; s is the key of the set, pieces its shingles by fragment."""
+    """(id, s, n, sigs, sizes, digests) of every row; s is the key of the set, the last two are those of its pieces."""
     sent = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text}`").cast("string").alias("__text"))
     long = F.lit(0).cast("long")
-    schema = sent.select(
-        id_column, long.alias("s"), long.alias("n"), F.array(long).alias("sigs"), F.array(F.array(long)).alias("pieces")
-    ).schema
+    lists = [F.array(long).alias(c) for c in ("sigs", "sizes", "digests")]
+    schema = sent.select(id_column, long.alias("s"), long.alias("n"), *lists).schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
             h, first = shingle_sets(part.column("__text"), width)
             n = np.diff(first)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
-            key = mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
             sig_at, sigs = signatures(h, first, percent)
-            owner = np.repeat(np.arange(len(n)), n)
-            piece = (h >> np.uint64(32)) * np.uint64(PIECES) >> np.uint64(32)
-            cuts = np.searchsorted(owner * PIECES + piece.astype(np.int64), np.arange(len(n) * PIECES + 1))
-            pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array(key.view(np.int64)),
+                    pa.array(set_keys(h, first).view(np.int64)),
                     pa.array(n),
                     pa.ListArray.from_arrays(pa.array(sig_at, pa.int32()), pa.array(sigs.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PIECES, pa.int32()), pieces),
+                    *piece_profiles(h, first),
                 ],
-                [id_column, "s", "n", "sigs", "pieces"],
+                [id_column, "s", "n", "sigs", "sizes", "digests"],
             )
 
     return sent.mapInArrow(fold, schema)
 
 
+def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(s, k, part): the shingles of the wanted (s, mask of pieces)."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "__text"):
+            h, first = shingle_sets(part.column("__text"), width)
+            pieces = pa.ListArray.from_arrays(pa.array(_pieces(h, first), pa.int32()), pa.array(h.view(np.int64)))
+            key = pa.array(set_keys(h, first).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, _nested(pieces, len(key))], ["s", "pieces"])
+
+    sets = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(fold, "s bigint, pieces array<array<bigint>>")
+    shipped = F.broadcast(wanted) if wanted.count() <= SHIPPED_KEYS else wanted
+    apart = sets.join(shipped, "s").select("s", "mask", F.posexplode("pieces").alias("k", "part"))
+    return apart.where("(shiftright(mask, k) & 1) = 1").select("s", "k", "part").dropDuplicates(["s", "k"])
+
+
 def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, n, m, shared) of the pairs (u, v, n, m): overlaps of each fragment, summed."""
-    apart = sets.select("s", F.posexplode("pieces").alias("k", "part"))
-    left, right = (apart.select(F.col("s").alias(x), "k", F.col("part").alias(f"{x}_part")) for x in ("u", "v"))
-    spread = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
-    counted = spread.join(left, ["u", "k"]).join(right, ["v", "k"])
-    counted = counted.select("u", "v", "n", "m", F.size(F.array_intersect("u_part", "v_part")).cast("long").alias("c"))
-    return counted.groupBy("u", "v").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("shared"))
+def _told_apart(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """(u, v, n, m, same, apart) of the pairs that may be similar: shingles in equal pieces, and the other pieces."""
+    left, right = (profiles.select(*[F.col(c).alias(f"{x}_{c}") for c in profiles.columns]) for x in ("u", "v"))
+    joined = pairs.join(left.hint("merge"), F.col("u") == F.col("u_s")).join(right.hint("merge"), F.col("v") == F.col("v_s"))
+    joined = joined.withColumnsRenamed({"u_n": "n", "v_n": "m"})
+    found = joined.withColumn("apart", F.expr(f"filter(sequence(0, {PIECES - 1}), k -> u_digests[k] <> v_digests[k])"))
+    least = F.expr(
+        "aggregate(apart, 0L, (d, k) -> d + greatest(abs(u_sizes[k] - v_sizes[k]), if(u_sizes[k] = v_sizes[k], 2L, 1L)))"
+    )
+    whole = F.expr("aggregate(apart, n, (c, k) -> c - u_sizes[k])")
+    return found.where((100 + percent) * least <= (100 - percent) * (F.col("n") + F.col("m"))).select("u", "v", "n", "m", whole.alias("same"), "apart")
+
 
+def partial_overlaps(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """(u, v, n, m, shared) of the pairs (u, v, n, m, same, apart): overlaps of each piece, summed."""
+    left, right = (contents.select(F.col("s").alias(x), "k", F.col("part").alias(f"{x}_part")) for x in ("u", "v"))
+    spread = pairs.select("u", "v", "n", "m", "same", F.explode("apart").alias("k"))
+    counted = spread.join(left.hint("merge"), ["u", "k"]).join(right.hint("merge"), ["v", "k"])
+    counted = counted.select("u", "v", "n", "m", "same", F.size(F.array_intersect("u_part", "v_part")).cast("long").alias("c"))
+    whole = [F.max(c).alias(c) for c in ("n", "m", "same")]
+    return counted.groupBy("u", "v").agg(*whole, F.sum("c").alias("c")).select("u", "v", "n", "m", (F.col("same") + F.col("c")).alias("shared"))
+
+
+def verified_links(
+    pairs: DataFrame, profiles: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = MIN_PERCENT
+) -> DataFrame:
+    """(u, v) of the different candidate pairs (u, v) that reach the similarity.
 
-def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the candidate pairs (u, v, n, m) that reach the similarity."""
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
-    pairs = materialise(pairs.where(fits).dropDuplicates(["u", "v"]))
-    wanted = pairs.select(F.col("u").alias("s")).union(pairs.select(F.col("v").alias("s"))).distinct()
-    sets = materialise(found.select("s", "pieces").join(wanted, "s", "left_semi").dropDuplicates(["s"]))
-    return materialise(partial_overlaps(pairs, sets).where(similar(F.col("shared"), F.col("n"), F.col("m"), percent)).select("u", "v"))
+    `profiles` (s, n, sizes, digests) has one row for each set of the pairs; contents are read from `docs`.
+    """
+    close = materialise(_told_apart(pairs, profiles, percent))
+    pieces = F.expr("aggregate(apart, 0L, (b, k) -> b | shiftleft(1L, k))")
+    ends = close.select(F.explode(F.array("u", "v")).alias("s"), pieces.alias("mask"))
+    wanted = materialise(ends.groupBy("s").agg(F.bit_or("mask").alias("mask")))
+    contents = materialise(_contents(docs, text, width, wanted))
+    counted = partial_overlaps(close, contents)
+    return materialise(counted.where(similar(F.col("shared"), F.col("n"), F.col("m"), percent)).select("u", "v"))
 
 
 def jaccard_classes(
@@ -188,34 +255,29 @@ def jaccard_classes(
     found = materialise(_table(docs, id_column, text, width, percent))
     some = found.where("n > 0")
     distinct = materialise(some.groupBy("s").agg(F.min(id_column).alias("__first"), F.max("n").alias("n")))
-    members = some.select("s", "n", "sigs").dropDuplicates(["s"]).select("s", "n", F.explode("sigs").alias("h"))
-    met = members.groupBy("h").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high")
-    members = materialise(members.join(met, "h").select("h", "s", "n", "low", "high"))
-    sizes = distinct.select("s", F.col("n").alias("m"))
-
-    def star(rows: DataFrame) -> DataFrame:
-        ends = rows.select(F.col("s").alias("u"), "n", F.explode(F.array("low", "high")).alias("v")).distinct()
-        return _links(ends.join(sizes.withColumnRenamed("s", "v"), "v"), found, percent)
-
-    def labelled(links: DataFrame) -> DataFrame:
-        """The members of signatures whose sets are not in one class yet, with their labels."""
-        labels = materialise(component_labels(links)).withColumnRenamed("node", "s")
-        named = members.select("h", "s", "n").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
-        named = materialise(named)
-        split = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-        return materialise(named.join(split, "h", "left_semi"))
-
-    links = star(members)
-    rest = labelled(links)
-    # Other leaders: the sets of the outer labels of each signature.
-    lead = rest.groupBy("h").agg(F.max(F.struct("label", "s")).alias("high"), F.min(F.struct("label", "s")).alias("low"))
-    lead = lead.select("h", F.col("low.s").alias("low"), F.col("high.s").alias("high"))
-    links = links.union(star(rest.join(lead, "h")))
-    rest = labelled(links)
-    a = rest.select("h", F.col("s").alias("u"), "n", F.col("label").alias("x"))
-    b = rest.select("h", F.col("s").alias("v"), F.col("n").alias("m"), F.col("label").alias("y"))
-    pairs = a.join(b, "h").where("u < v AND x <> y").select("u", "v", "n", "m")
-    links = links.union(_links(pairs, found, percent))
+    # Copies give the same rows, which are combined before the shuffle. Joins are sorted ones at every size.
+    signed = some.select("s", F.explode("sigs").alias("h"))
+    met = signed.groupBy("h").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("h")
+    members = materialise(signed.join(met.hint("merge"), "h").distinct())
+    meets = members.groupBy("h").agg(F.count(F.lit(1)).alias("n_sets"))
+    weight = members.join(meets, "h").groupBy("s").agg(F.sum("n_sets").alias("weight"))
+    members = materialise(members.join(weight.hint("merge"), "s"))
+    shared = weight.select("s").hint("merge")
+    profiles = materialise(some.select("s", "n", "sizes", "digests").join(shared, "s", "left_semi").dropDuplicates(["s"]))
+
+    verified = lambda pairs: verified_links(pairs, profiles, docs, text, width, percent)
+    leads = members.groupBy("h").agg(F.max(F.struct("weight", "s")).alias("lead")).select("h", F.col("lead.s").alias("lead"))
+    stars = members.join(leads, "h").where("s <> lead")
+    stars = materialise(stars.select(F.least("s", "lead").alias("u"), F.greatest("s", "lead").alias("v")).distinct())
+    links = verified(stars)
+    labels = materialise(component_labels(links)).withColumnRenamed("node", "s")
+    named = materialise(members.select("h", "s").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s")))
+    split = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+    rest = materialise(named.join(split, "h", "left_semi"))
+    a = rest.select("h", F.col("s").alias("u"), F.col("label").alias("x"))
+    b = rest.select("h", F.col("s").alias("v"), F.col("label").alias("y"))
+    pairs = a.join(b, "h").where("u < v AND x <> y").select("u", "v").distinct()
+    links = links.union(verified(pairs.join(stars, ["u", "v"], "left_anti")))
     labels = component_labels(links).withColumnRenamed("node", "s")
     classed = distinct.join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
     least = classed.groupBy("label").agg(F.min("__first").alias("component_id"))
