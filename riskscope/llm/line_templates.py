@@ -16,10 +16,13 @@ would be one. Without it, these tokens count against the share.
 
 All of it is counting: documents fold their own repeats first, leaves that too few lines
 reach are dropped before any token is looked at, and counts are combined before the shuffle.
-No leaf or template is gathered in a task.
+No leaf or template is gathered in a task. Lines are masked once. A hash of the line as it
+stands names it afterwards: one line of each masked form is looked up for its tokens, and the
+lines to drop are found in the texts by their hashes.
 
 Defined cases: a null text has no lines; blank lines are kept and never counted; lines that
-differ in white space or fields only are one; repeated rows of one id count as one document
+differ in white space or fields only are one; texts of any length are read whole, and a long line
+is one row like any other; repeated rows of one id count as one document
 and are filtered alike; a null id takes part in the counts of documents as one document and
 keeps no first copy; further columns pass through; an empty table gives no rows.
 """
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskscope.scaling import join_on
 from riskscope.session import materialise
 
 MIN_DOCS = 10
@@ -63,22 +67,28 @@ def _leaf(tokens: Column) -> Column:
 def recurring_lines(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, whole_fields: bool = False
 ) -> DataFrame:
-    """(doc_id, line_hash, template_hash) of the lines to drop, by document."""
-    lines = docs.select(
-        F.col(f"`{id_column}`").alias("doc_id"),
-        F.explode(F.array_distinct(masked_lines(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), whole_fields))).alias("line"),
-    ).where("line <> ''")
-    hashed = lines.select("doc_id", "line", F.xxhash64("line").alias("line_hash"), _leaf(F.split("line", " ")).alias("leaf"))
-    narrow = materialise(hashed.drop("line"))
+    """(doc_id, raw_hash, line_hash, template_hash) of the lines to drop, by document."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    lines = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.explode(F.array_distinct(F.split(body, "\n", -1))).alias("raw"))
+    own = F.struct(F.col("raw"), masked(F.col("raw"), whole_fields).alias("line"))
+    # The pair is bound by an array of one, so that the line is masked once.
+    hashed = lines.select("doc_id", F.explode(F.array(own)).alias("e")).where("e.line <> ''").select(
+        "doc_id", F.xxhash64("e.raw").alias("raw_hash"), F.xxhash64("e.line").alias("line_hash"), _leaf(F.split("e.line", " ")).alias("leaf")
+    )
+    narrow = materialise(hashed)
+    # Lines that differ in fields only count more than once here, which lets no recurring line go.
     reached = narrow.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
     live = materialise(reached.where(F.col("n_lines") >= min_docs).select("leaf"))
     # Few leaves are reached often. Their hashes are shipped while they are few, and shuffled beyond that.
     shipped = F.broadcast(live) if live.count() <= SHIPPED_LEAVES else live
-    placed = materialise(narrow.join(shipped, "leaf", "left_semi").distinct())
+    written = materialise(narrow.join(shipped, "leaf", "left_semi").distinct())
+    placed = written.select("doc_id", "line_hash", "leaf").distinct()
     counted = placed.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"))
-    # Texts of the different lines of live leaves, one row a line.
-    texts = hashed.join(shipped, "leaf", "left_semi").select("line_hash", "line").distinct()
-    known = counted.join(texts, "line_hash")
+    # One line of each masked form of a live leaf, found by its hash and masked again.
+    chosen = materialise(written.groupBy("line_hash").agg(F.min("raw_hash").alias("raw_hash")))
+    few = F.broadcast(chosen) if chosen.count() <= SHIPPED_LEAVES else chosen
+    found = lines.select("raw", F.xxhash64("raw").alias("raw_hash")).join(few, "raw_hash").dropDuplicates(["raw_hash"])
+    known = counted.join(found.select("line_hash", masked(F.col("raw"), whole_fields).alias("line")), "line_hash")
     slots = known.select("leaf", "line_hash", "n_docs", F.posexplode(F.split("line", " ")).alias("slot", "token"))
     slots = materialise(slots.withColumn("token", F.when(F.col("token") != FIELD, F.xxhash64("token"))))
     constant = (
@@ -99,17 +109,21 @@ def recurring_lines(
         .where(F.lit(100) * F.col("n_constant") >= F.lit(MIN_SHARE) * F.col("n_tokens"))
         .select("line_hash", F.xxhash64("leaf", F.col("__sum").cast("string")).alias("template_hash"))
     )
+    templates = materialise(templates)
     held = materialise(placed.join(templates, "line_hash").select("doc_id", "line_hash", "template_hash"))
-    recurring = (
+    recurring = materialise(
         held.select("doc_id", "template_hash")
         .distinct()
         .groupBy("template_hash")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
         .where(F.col("n_docs") >= min_docs)
     )
-    return held.join(recurring, "template_hash").where(
+    # Common templates are few; shipped, their copies do not meet in one task.
+    common = F.broadcast(recurring) if recurring.count() <= SHIPPED_LEAVES else recurring
+    gone = held.join(common, "template_hash").where(
         F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_doc")) | F.col("first_doc").isNull()
     ).select("doc_id", "line_hash", "template_hash")
+    return join_on(written.select("doc_id", "line_hash", "raw_hash"), gone, ["doc_id", "line_hash"]).select("doc_id", "raw_hash", "line_hash", "template_hash")
 
 
 def drop_recurring_lines(
@@ -117,12 +131,12 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The rows of `docs` with recurring lines taken out of the text, and `__n_lines`, `__n_dropped`."""
     gone = recurring_lines(docs, id_column, text, min_docs, whole_fields).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_set("line_hash").alias("__gone")
+        F.collect_set("raw_hash").alias("__gone")
     ).hint("shuffle_hash")
     body = F.col(f"`{text}`").cast("string")
     joined = docs.join(gone, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")), "left")
     lines = F.split(body, "\n", -1)
-    stays = F.filter(lines, lambda line: ~F.array_contains("__gone", F.xxhash64(masked(line, whole_fields))))
+    stays = F.filter(lines, lambda line: ~F.array_contains("__gone", F.xxhash64(line)))
     kept = F.when(F.col("__gone").isNull() | body.isNull(), F.array(body)).otherwise(stays)
     marked = joined.withColumn("__kept", kept)
     out = F.array_join("__kept", "\n")

@@ -135,36 +135,51 @@ def contaminated(text, items, span, share, least=5):
     return found
 
 
+def mask(line):
+    """The line with fields masked; one of nothing but fields stays, with the mark at its end."""
+    plain = re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ")
+    parts = plain.split(" ")
+    field = [any(c in "0123456789" for c in p) for p in parts]
+    if plain and all(field):
+        return plain + "<*>"
+    return " ".join("<*>" if f else p for p, f in zip(parts, field))
+
+
 def recurring(docs, min_docs, leading=3, share=80):
-    """{doc_id: masked lines to drop} of the line-template tree."""
-    mask = lambda line: re.sub(r"(?<!\S)[^\s\d]*\d\S*", "<*>", re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" "), flags=re.A)
+    """{doc_id: masked lines to drop} of the line-template tree; fields match at their place."""
     own = defaultdict(set)
     for doc, text in docs:
         own[doc] |= {mask(x) for x in (text or "").split("\n")} - {""}
     leaf = lambda line: (len(line.split(" ")), *(line.split(" ") + [None] * leading)[:leading])
-    size, held = Counter(), Counter()
-    for lines in own.values():
-        for line in lines:
-            size[leaf(line)] += 1
-            held[line] += 1
+    held = Counter(line for lines in own.values() for line in lines)
     slots = Counter()
     for line, n in held.items():
         for i, t in enumerate(line.split(" ")):
             if t != "<*>":
                 slots[leaf(line), i, t] += n
+
     def template(line):
         parts = line.split(" ")
         fixed = tuple((i, t) for i, t in enumerate(parts) if t != "<*>" and slots[leaf(line), i, t] >= min_docs)
-        return (leaf(line), fixed) if 100 * len(fixed) >= share * len(parts) else None
+        matching = len(fixed) + parts.count("<*>")
+        return (leaf(line), fixed) if 100 * matching >= share * len(parts) else None
+
     by = defaultdict(set)
     for doc, lines in own.items():
         for line in lines:
-            if size[leaf(line)] >= min_docs and template(line):
+            if template(line):
                 by[template(line)].add(doc)
     gone = defaultdict(set)
     for doc, lines in own.items():
         for line in lines:
             t = template(line)
-            if t and size[leaf(line)] >= min_docs and len(by[t]) >= min_docs and doc > min(by[t]):
+            if t and len(by[t]) >= min_docs and doc > min(by[t]):
                 gone[doc].add(line)
     return gone
+
+
+def without_recurring(docs, min_docs=10):
+    """{doc_id: text without its recurring lines}."""
+    gone = recurring(docs, min_docs)
+    cut = lambda doc, text: "\n".join(x for x in text.split("\n") if mask(x) not in gone[doc])
+    return {doc: cut(doc, text) if text is not None else None for doc, text in docs}

@@ -134,7 +134,7 @@ def test_line_templates_against_brute_force(spark):
     rng = np.random.default_rng(5)
     data = [(i, "\n".join(" ".join(rng.choice(["a", "b", "c", "7x"], 5)) for _ in range(6))) for i in range(80)]
     gone = brute.recurring(data, 12)
-    found = line_templates.recurring_lines(spark.createDataFrame(data, "doc_id bigint, text string"), min_docs=12)
+    found = line_templates.recurring_lines(spark.createDataFrame(data, "doc_id bigint, text string"), min_docs=12, whole_fields=True)
     got = {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.count_distinct("line_hash").alias("n")).collect()}
     assert got == {d: len(v) for d, v in gone.items() if v}
 

@@ -62,9 +62,16 @@ def test_pages(spark, sf_dir, given):
 
 
 def test_line_templates(spark, sf_dir, given):
-    gone = brute.recurring(given["docs"], 10)
-    got = {r[0]: r[2] for r in found(spark, sf_dir, "op4_line_templates")}
-    assert {d for d, n in got.items() if n} == {d for d, lines in gone.items() if lines}
+    kept = brute.without_recurring(given["docs"])
+    rows = {r.doc_id: r for r in queries.QUERIES["op4_line_templates"](spark, sf_dir).collect()}
+    for doc, text in given["docs"]:
+        lines, left = (text or "").split("\n"), (kept[doc] or "").split("\n")
+        worded = sum(bool(brute.words(x)) for x in lines)
+        # A text of dropped lines only is empty, as is one line less.
+        dropped = len(lines) - len(left) if kept[doc] else rows[doc].n_dropped
+        assert (rows[doc].n_lines, rows[doc].n_dropped) == (worded, dropped)
+        assert (rows[doc].kept_chars, rows[doc].kept_sha256) == (len(kept[doc] or ""), brute.sha(kept[doc] or ""))
+    assert any(r.n_dropped for r in rows.values())
 
 
 def test_masked_lm(spark, sf_dir, given):
