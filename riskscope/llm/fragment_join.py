@@ -20,8 +20,11 @@ with many partners over as many tasks.
 
 Large groups. Equal sets are folded first. Each set of a signature is paired with one of its
 sets only, the one that meets most others, so that the copies of a text meet the text they were
-made from. Sets that share a signature but not a class after that are paired directly. A class
-is the connected component, so this changes none, and no link between classes is left out.
+made from. Sets that share a signature but not a class after that are paired directly, if at most
+`CROWD` sets of different classes hold it. Those of larger groups are cut once more, shingle by shingle: rare
+shingles first, two similar sets meet within the differences they may have, and a pair is taken at
+its first common shingle only if what lies behind can still reach the overlap. A class is the
+connected component, so none of this changes one, and no link between classes is left out.
 
 Defined cases: null and empty texts have size 0 and are their own class; repeated rows share a
 class; a null id never names a class, which is null if no member has an id; texts of any length
@@ -46,6 +49,8 @@ MIN_PERCENT = 90
 PIECES = 64
 #: Salted orders before every shingle is a fragment of its own.
 ORDERS = 16
+#: Sets of a signature that are paired directly.
+CROWD = 64
 # Set keys that may be shipped to every task: 16 bytes each, 32 MB.
 SHIPPED_KEYS = 2_000_000
 
@@ -248,6 +253,26 @@ def verified_links(
     return materialise(counted.where(similar(F.col("shared"), F.col("n"), F.col("m"), percent)).select("u", "v"))
 
 
+def crowd_pairs(crowd: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """(u, v) of the sets of `crowd` (s, label) that may be similar and have different labels."""
+    parts = _contents(docs, text, width, crowd.select("s", F.lit(-1).cast("long").alias("mask")))
+    tokens = materialise(parts.select("s", F.explode("part").alias("token")))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    # The list of a set, never of a group.
+    ordered = tokens.join(counts.hint("merge"), "token").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("all"))
+    n = F.size("all").cast("long")
+    first = F.slice("all", F.lit(1), (n - F.floor((percent * n + 99) / 100) + 1).cast("int"))
+    cut = materialise(ordered.select("s", n.alias("n"), first.alias("first")).join(crowd, "s"))
+    placed = cut.select("s", "n", "label", F.transform("first", lambda x: x["token"]).alias("prefix"), F.posexplode("first").alias("i", "e"))
+    placed = placed.where("e.c > 1").select("s", "n", "label", "prefix", "i", "e.token")
+    a = placed.select("token", *[F.col(c).alias(x) for c, x in (("s", "u"), ("n", "n"), ("label", "x"), ("prefix", "p"), ("i", "i"))])
+    b = placed.select("token", *[F.col(c).alias(x) for c, x in (("s", "v"), ("n", "m"), ("label", "y"), ("prefix", "q"), ("i", "j"))])
+    most = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    near = (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & similar(most, F.col("n"), F.col("m"), percent)
+    at_first = F.get(F.array_intersect("p", "q"), F.lit(0)) == a["token"]
+    return a.join(b, (a["token"] == b["token"]) & near & at_first).select("u", "v")
+
+
 def jaccard_classes(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = MIN_PERCENT
 ) -> DataFrame:
@@ -274,10 +299,16 @@ def jaccard_classes(
     named = materialise(members.select("h", "s").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s")))
     split = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     rest = materialise(named.join(split, "h", "left_semi"))
-    a = rest.select("h", F.col("s").alias("u"), F.col("label").alias("x"))
-    b = rest.select("h", F.col("s").alias("v"), F.col("label").alias("y"))
-    pairs = a.join(b, "h").where("u < v AND x <> y").select("u", "v").distinct()
-    links = links.union(verified(pairs.join(stars, ["u", "v"], "left_anti")))
+    held = rest.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
+    rest = materialise(rest.join(held, "h"))
+    few = rest.where(F.col("held") <= CROWD)
+    a = few.select("h", F.col("s").alias("u"), F.col("label").alias("x"))
+    b = few.select("h", F.col("s").alias("v"), F.col("label").alias("y"))
+    pairs = a.join(b, "h").where("u < v AND x <> y").select("u", "v")
+    crowd = materialise(rest.where(F.col("held") > CROWD).select("s", "label").distinct())
+    if not crowd.isEmpty():
+        pairs = pairs.union(crowd_pairs(crowd, docs, text, width, percent))
+    links = links.union(verified(pairs.distinct().join(stars, ["u", "v"], "left_anti")))
     labels = component_labels(links).withColumnRenamed("node", "s")
     classed = distinct.join(labels, "s", "left").withColumn("label", F.coalesce("label", "s"))
     least = classed.groupBy("label").agg(F.min("__first").alias("component_id"))

@@ -101,6 +101,23 @@ def test_all_similar_pairs_are_linked(spark, vocabulary):
     assert len({r[2] for r in got}) < len(docs)
 
 
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_crowded_signatures(spark, monkeypatch, crowd):
+    """Groups of near copies of all distances to their text, beyond the size that is paired directly."""
+    monkeypatch.setattr(fragment_join, "CROWD", crowd)
+    rng = np.random.default_rng(crowd)
+    base = [f"b{i}" for i in range(150)]
+    texts = varied(crowd, 25, 8)
+    for changes in [0, *range(1, 9)] * 12:
+        words = list(base)
+        for at in rng.integers(0, 150, changes):
+            words[at] = f"n{rng.integers(0, 40)}"
+        texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in fragment_join.jaccard_classes(df).collect()) == classes(docs)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one "), (6, "ONE two"), (7, "one two"), (8, long), (9, long + " more")]
