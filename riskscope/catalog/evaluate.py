@@ -159,6 +159,26 @@ def stratified_group_folds(spark, sf_dir):
     return folds.stratified_group_folds(features(spark, sf_dir), "file", "label")
 
 
+@register(
+    "balanced_group_folds",
+    f"""WITH {FEATURES_SQL} SELECT count(DISTINCT file) AS n_groups, count(*) AS n_rows, sum(label)::BIGINT AS n_positive,
+    5 AS n_folds, true AS rows_even, true AS positives_even FROM features""",
+)
+def balanced_group_folds(spark, sf_dir):
+    """All groups in five folds whose rows and positives differ by less than the deal by label alone leaves."""
+    df = features(spark, sf_dir)
+    dealt = folds.balanced_group_folds(df, "file", "label")
+    counts = dealt.select("file", "n_rows", "n_positive")
+    before = folds.stratified_group_folds(df, "file", "label").select("file", "fold").join(counts, "file")
+    ours = folds.fold_spread(dealt).select(F.col("rows").alias("r"), F.col("positives").alias("p"))
+    both = folds.fold_spread(before).crossJoin(ours)
+    totals = dealt.agg(
+        F.count(F.lit(1)).alias("n_groups"), F.sum("n_rows").alias("n_rows"), F.sum("n_positive").alias("n_positive"),
+        F.count_distinct("fold").cast("int").alias("n_folds"),
+    )
+    return totals.crossJoin(both.select((F.col("r") <= F.col("rows")).alias("rows_even"), (F.col("p") <= F.col("positives")).alias("positives_even")))
+
+
 @register(
     "group_split",
     f"""WITH {_GROUPS}

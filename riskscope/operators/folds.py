@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskscope.scaling import bucketed_position, hash_bucket
+from riskscope.session import materialise
 
 
 def digest(columns: Sequence[str], seed: int) -> Column:
@@ -53,6 +54,64 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, se
     return ordered.withColumn("fold", ((F.col("position") - 1) % k).cast("int")).drop("position", "n_groups")
 
 
+def deal_classes(classes: Sequence[tuple[int, int, int]], k: int) -> list[list[int]]:
+    """How many groups of each (rows, positives, groups) class go to each fold.
+
+    Classes with most rows come first. Equal groups are dealt evenly; each group of the remainder goes to
+    the fold that keeps the shares of positives and of negatives of the folds closest together, then
+    to the one with fewest rows.
+    """
+    positives = max(1, sum(p * c for _, p, c in classes))
+    negatives = max(1, sum((n - p) * c for n, p, c in classes))
+    rows, pos, neg = [0] * k, [0] * k, [0] * k
+    quotas: list[list[int]] = [[] for _ in classes]
+    for at in sorted(range(len(classes)), key=lambda i: (-classes[i][0], -classes[i][1])):
+        n, p, count = classes[at]
+        quota = [count // k] * k
+        for f in range(k):
+            rows[f] += quota[f] * n
+            pos[f] += quota[f] * p
+            neg[f] += quota[f] * (n - p)
+        for _ in range(count % k):
+            # Adding a and b to one fold changes the sum of squared shares by this much, whatever the mean.
+            cost = lambda f: ((2 * pos[f] + p) * p / positives**2 + (2 * neg[f] + n - p) * (n - p) / negatives**2, rows[f], f)
+            best = min((f for f in range(k) if quota[f] == count // k), key=cost)
+            quota[best] += 1
+            rows[best] += n
+            pos[best] += p
+            neg[best] += n - p
+        quotas[at] = quota
+    return quotas
+
+
+def balanced_group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(group, n_rows, n_positive, fold): whole groups, folds of even rows and even positives.
+
+    Groups with the same counts form a class, and the greedy deal runs on the histogram of classes:
+    a row for each pair of counts that occurs, and groups of n rows in all have at most n / r of r rows. Inside a class
+    the groups follow in hash order, numbered without gathering a class in one task.
+    """
+    groups = materialise(
+        df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("n_positive"))
+    )
+    keys = ["n_rows", "n_positive"]
+    found = [tuple(r) for r in groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect()]
+    quotas = deal_classes(found, k)
+    plan = [(n, p, [sum(q[: f + 1]) for f in range(k)]) for (n, p, _), q in zip(found, quotas)]
+    table = df.sparkSession.createDataFrame(plan, "n_rows long, n_positive long, upto array<long>")
+    placed = bucketed_position(
+        groups.withColumn("__hash", digest([group], seed)), keys, hash_bucket(F.col("__hash")), [F.col("__hash"), F.col(group)], "position"
+    )
+    fold = F.size(F.filter("upto", lambda u: u < F.col("position"))).alias("fold")
+    return placed.join(table, keys).select(group, *keys, fold)
+
+
+def fold_spread(folded: DataFrame) -> DataFrame:
+    """(rows, positives): the largest fold less the smallest, from (n_rows, n_positive, fold) of groups."""
+    totals = folded.groupBy("fold").agg(F.sum("n_rows").alias("r"), F.sum("n_positive").alias("p"))
+    return totals.agg((F.max("r") - F.min("r")).alias("rows"), (F.max("p") - F.min("p")).alias("positives"))
+
+
 def attach_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     return df.join(folds.select(group, "fold"), group)
 
