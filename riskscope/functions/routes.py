@@ -142,6 +142,14 @@ def first_class_role(content: Column) -> Column:
     return strip_space(F.get(F.split(chunk_text.extract(content, chunk_text.CLASS_ROLES), ","), F.lit(0)))
 
 
+def anchor_segment(route: Column) -> Column:
+    """The longest path segment that every text with the route has between two slashes; null if there is none."""
+    whole = lambda part: F.slice(F.split(part, "/"), F.lit(2), F.greatest(F.size(F.split(part, "/")) - 2, F.lit(0)))
+    segments = F.flatten(F.transform(F.split(route, r"\{[^}]+\}"), whole))
+    named = F.filter(segments, lambda x: x != "")
+    return F.array_max(F.transform(named, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+
+
 def coverage_pattern(route: Column) -> Column:
     """Pattern that finds a route in code, any value standing for a parameter."""
     parts = F.split(route, r"\{[^}]+\}")

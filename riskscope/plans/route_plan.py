@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskscope.functions import code
-from riskscope.functions.routes import coverage_pattern
+from riskscope.functions.routes import anchor_segment, coverage_pattern
 from riskscope.operators.prompts import build_prompt, join_pieces
 from riskscope.plans.rendering import FILE_FOOTER, file_header, test_class_name
 from riskscope.plans.scenarios import _text
 from riskscope.plans.settings import AppSettings
 from riskscope.scaling import join_on
+from riskscope.session import materialise
 
 # Fixed value: output budget of the first attempt.
 OUTPUT_BUDGET = 1024
@@ -211,16 +212,35 @@ def generated_blocks(responses: DataFrame, keys: Sequence[str], text: str) -> Da
     )
 
 
+def route_hits(routes: DataFrame, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(route_id, pattern, text_id) pairs that may match: a whole literal segment of the route occurs in a text of its class.
+
+    `routes` has keys, route_id and raw route `route`; `texts` has keys, text_id and `text`. Segments
+    are looked up by hash, so a class with many texts is spread over its segments. Routes without a whole
+    literal segment are paired with every text of their class.
+    """
+    pieces = F.array_distinct(F.transform(F.split("text", "/"), lambda x: F.xxhash64(x)))
+    found = texts.select(*[F.col(k).alias(f"__{k}") for k in keys], "text_id", F.explode(pieces).alias("piece"))
+    asked = routes.select(*keys, "route_id", coverage_pattern(F.col("route")).alias("pattern"), F.xxhash64(anchor_segment(F.col("route"))).alias("anchor"), anchor_segment(F.col("route")).isNull().alias("open"))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    pairs = ("route_id", "pattern", "text_id")
+    hits = asked.where(~F.col("open")).join(found, [*same, F.col("anchor") == F.col("piece")]).select(*pairs)
+    whole = texts.select(*[F.col(k).alias(f"__{k}") for k in keys], "text_id")
+    return hits.unionByName(asked.where("open").join(whole, same).select(*pairs))
+
+
 def uncovered_routes(routes: DataFrame, code_texts: DataFrame, keys: Sequence[str], route: str = "raw_route", text: str = "text") -> DataFrame:
     """Routes whose pattern is found in no generated text of their own class.
 
-    An anti join on the class with the pattern as a further condition: texts never become
-    part of the result rows, and a class without any text has all its routes uncovered.
+    Patterns run only on the texts that `route_hits` finds. A class without any text has all its
+    routes uncovered. Both sides are written once, so that their numbers hold.
     """
-    texts = code_texts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(text).alias("__text"))
-    same_class = [F.col(k) == F.col(f"__{k}") for k in keys]
-    covered = F.call_function("regexp_like", F.col("__text"), coverage_pattern(F.col(route)))
-    return routes.join(texts, [*same_class, covered], "left_anti")
+    asked = materialise(routes.withColumn("__route", F.monotonically_increasing_id()))
+    texts = materialise(code_texts.select(*keys, F.col(text).alias("text"), F.monotonically_increasing_id().alias("text_id")))
+    numbered = asked.select(*keys, F.col("__route").alias("route_id"), F.col(route).alias("route"))
+    hits = route_hits(numbered, texts, keys).join(texts.select("text_id", "text"), "text_id")
+    covered = hits.where(F.call_function("regexp_like", F.col("text"), F.col("pattern"))).select(F.col("route_id").alias("__route"))
+    return asked.join(covered.distinct(), "__route", "left_anti").select(*routes.columns)
 
 
 def coverage_retry(uncovered: DataFrame, keys: Sequence[str], most: int = 6) -> DataFrame:

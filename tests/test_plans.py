@@ -235,6 +235,18 @@ def test_uncovered_routes(spark):
     assert rows(route_plan.coverage_retry(missing, KEYS)) == [("C", 1), ("D", 1)]
 
 
+def test_patterns_run_on_hits_only(spark):
+    routes = [(i, "C", f"/admin/part{i}/{{id}}/edit") for i in range(40)] + [(40, "C", "/{id}"), (41, "C", "/docket"), (42, None, "/a/b/")]
+    texts = [(i, "C", f"get('/admin/part{i}/7/edit'); get('/x')") for i in range(0, 40, 2)] + [(90, "D", "/admin/part1/7/edit"), (91, None, "/a/b/")]
+    asked = spark.createDataFrame(routes, "route_id long, class_name string, route string")
+    given = spark.createDataFrame(texts, "text_id long, class_name string, text string")
+    hits = route_plan.route_hits(asked, given, KEYS)
+    assert hits.count() == 20 + 2 * 20 < len(routes) * len(texts) / 10
+    left = route_plan.uncovered_routes(asked.withColumnRenamed("route", "raw_route"), given, KEYS)
+    assert sorted(r.route_id for r in left.collect()) == [*range(1, 40, 2), 41, 42]
+    assert left.columns == ["route_id", "class_name", "raw_route"]
+
+
 def test_generation_outcome(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", False), ("c", True)], "k string, ok boolean")
     found = route_plan.generation_outcome(df, ["k"]).select("k", "status")
