@@ -51,6 +51,8 @@ PIECES = 64
 ORDERS = 16
 #: Sets of a signature that are paired directly.
 CROWD = 64
+# Buckets of shingle counts that order the shingles of crowded signatures; 8 MB.
+BUCKETS = 1 << 20
 # Set keys that may be shipped to every task: 16 bytes each, 32 MB.
 SHIPPED_KEYS = 2_000_000
 
@@ -256,15 +258,36 @@ def verified_links(
 def crowd_pairs(crowd: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """(u, v) of the sets of `crowd` (s, label) that may be similar and have different labels."""
     parts = _contents(docs, text, width, crowd.select("s", F.lit(-1).cast("long").alias("mask")))
-    tokens = materialise(parts.select("s", F.explode("part").alias("token")))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    # The list of a set, never of a group.
-    ordered = tokens.join(counts.hint("merge"), "token").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("all"))
-    n = F.size("all").cast("long")
-    first = F.slice("all", F.lit(1), (n - F.floor((percent * n + 99) / 100) + 1).cast("int"))
-    cut = materialise(ordered.select("s", n.alias("n"), first.alias("first")).join(crowd, "s"))
-    placed = cut.select("s", "n", "label", F.transform("first", lambda x: x["token"]).alias("prefix"), F.posexplode("first").alias("i", "e"))
-    placed = placed.where("e.c > 1").select("s", "n", "label", "prefix", "i", "e.token")
+    # The shingles of a set, never of a group.
+    sets = materialise(parts.groupBy("s").agg(F.flatten(F.collect_list("part")).alias("tokens")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held += np.bincount((tokens % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["bucket", "c"])
+
+    # A row a bucket at most. They set the order of all sets, so collisions cost candidates, never links.
+    found = sets.mapInArrow(count, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    rarity = np.zeros(BUCKETS, np.int64)
+    rarity[found.column("bucket").to_numpy()] = found.column("c").to_numpy()
+    order = docs.sparkSession.sparkContext.broadcast(rarity)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, prefixes = [], []
+            for tokens in batch.column(1):
+                h = tokens.values.to_numpy(zero_copy_only=False)
+                rank = order.value[(h.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)]
+                size.append(len(h))
+                prefixes.append(h[np.lexsort((h, rank))[: len(h) - (percent * len(h) + 99) // 100 + 1]])
+            lists = pa.array(prefixes, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), lists], ["s", "n", "prefix"])
+
+    short = materialise(sets.mapInArrow(cut, "s bigint, n bigint, prefix array<bigint>").join(crowd, "s"))
+    placed = short.select("s", "n", "label", "prefix", F.posexplode("prefix").alias("i", "token"))
     a = placed.select("token", *[F.col(c).alias(x) for c, x in (("s", "u"), ("n", "n"), ("label", "x"), ("prefix", "p"), ("i", "i"))])
     b = placed.select("token", *[F.col(c).alias(x) for c, x in (("s", "v"), ("n", "m"), ("label", "y"), ("prefix", "q"), ("i", "j"))])
     most = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
