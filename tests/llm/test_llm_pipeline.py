@@ -2,6 +2,7 @@
 
 import brute
 from pyspark.sql import functions as F
+from test_near_copies import classes as near_classes
 
 import corpus_pipeline
 from riskscope.llm.decontaminate import MIN_SHARE, SPAN
@@ -21,10 +22,8 @@ def test_stages(spark, sf_dir):
         before = after
     (_, kept), (_, thin), (seen, single), (_, clean) = outs
     assert all(not brute.quality_counts(t)[5] for _, t in kept)
-    gone = brute.recurring(kept, 10)
-    assert {d for d, t in thin if t != dict(kept)[d]} == {d for d, v in gone.items() if v}
-    classes = brute.simhash_classes(seen)
-    assert [d for d, _ in single] == sorted({c for _, _, c in classes})
+    assert dict(thin) == brute.without_recurring(kept)
+    assert [d for d, _ in single] == sorted(set(near_classes(seen).values()))
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert clean == [(d, t) for d, t in single if not brute.contaminated(t, items, SPAN, MIN_SHARE)]
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
