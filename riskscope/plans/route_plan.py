@@ -12,11 +12,13 @@ from riskscope.operators.prompts import build_prompt, join_pieces
 from riskscope.plans.rendering import FILE_FOOTER, file_header, test_class_name
 from riskscope.plans.scenarios import _text
 from riskscope.plans.settings import AppSettings
-from riskscope.scaling import join_on
+from riskscope.scaling import join_on, spread
 from riskscope.session import materialise
 
 # Fixed value: output budget of the first attempt.
 OUTPUT_BUDGET = 1024
+# Rows that one task sorts by family of names.
+NAMED_ROWS = 1 << 18
 
 
 def output_budget(attempt: Column) -> Column:
@@ -114,7 +116,9 @@ def unique_names(df: DataFrame, keys: Sequence[str], name: str, pos: str, part:
     """
     order = [pos] + ([part] if part else [])
     family = [*keys, "__family"]
-    rows = df.withColumn("__family", F.regexp_replace(name, "[0-9]+$", ""))
+    # Both results read the rows, which are stored, so that they are computed once and counted by the file.
+    stored = materialise(df.withColumn("__family", F.regexp_replace(name, "[0-9]+$", "")))
+    rows = spread(stored, NAMED_ROWS, *family)
     group = Window.partitionBy(*family)
     found = (
         rows.withColumn("__copy", F.row_number().over(Window.partitionBy(*family, name).orderBy(*order)))
