@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskscope.functions import vectors
+from riskscope.llm.words import slices
 from riskscope.operators import pruned_search
 from riskscope.scaling import checked_position, join_on
 from riskscope.session import materialise
@@ -379,13 +380,23 @@ def related_classes(
 
 
 def embed(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], output: str = "embedding") -> DataFrame:
-    """Add unit vectors of a text column from a user-supplied encoder, one Arrow batch at a time."""
+    """Add unit vectors of a text column from a user-supplied encoder; a null text is encoded as an empty one.
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        raw = np.asarray(encode(texts.fillna("").tolist()), dtype="float32")
+    A batch of any size is encoded in slices of bounded bytes, so a task holds few texts as objects at once.
+    """
+
+    def unit(texts: pa.Array) -> pa.Array:
+        raw = np.asarray(encode(pc.fill_null(texts, "").to_pylist()), dtype="float32")
         length = np.linalg.norm(raw, axis=1, keepdims=True)
-        return pd.Series(list(raw / np.where(length == 0, 1, length)))
+        values = (raw / np.where(length == 0, 1, length)).astype("float32")
+        at = np.arange(len(values) + 1, dtype="int32") * values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(values.ravel()))
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [unit(part.column(0)) for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])])]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     return df.withColumn(output, run(F.col(text)))
 
