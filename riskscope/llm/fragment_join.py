@@ -196,8 +196,8 @@ def _table(docs: DataFrame, id_column: str, text: str, width: int, percent: int)
     return sent.mapInArrow(fold, schema)
 
 
-def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(s, k, part): the shingles of the wanted (s, mask of pieces)."""
+def _set_pieces(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(s, pieces, …): the shingles of the sets in `wanted` by piece, a row for each text, with the columns of `wanted`."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
@@ -208,8 +208,14 @@ def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> Data
 
     sets = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(fold, "s bigint, pieces array<array<bigint>>")
     shipped = F.broadcast(wanted) if wanted.count() <= SHIPPED_KEYS else wanted
-    apart = sets.join(shipped, "s").select("s", "mask", F.posexplode("pieces").alias("k", "part"))
-    return apart.where("(shiftright(mask, k) & 1) = 1").select("s", "k", "part").dropDuplicates(["s", "k"])
+    return sets.join(shipped, "s")
+
+
+def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(s, k, part): the shingles of the wanted (s, mask of pieces); other pieces make no row."""
+    asked = "filter(transform(pieces, (part, k) -> struct(k, part)), p -> (shiftright(mask, p.k) & 1) = 1)"
+    apart = _set_pieces(docs, text, width, wanted).select("s", F.explode(F.expr(asked)).alias("p"))
+    return apart.select("s", "p.k", "p.part").dropDuplicates(["s", "k"])
 
 
 def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -257,9 +263,9 @@ def verified_links(
 
 def crowd_pairs(crowd: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """(u, v) of the sets of `crowd` (s, label) that may be similar and have different labels."""
-    parts = _contents(docs, text, width, crowd.select("s", F.lit(-1).cast("long").alias("mask")))
-    # The shingles of a set, never of a group.
-    sets = materialise(parts.groupBy("s").agg(F.flatten(F.collect_list("part")).alias("tokens")))
+    # The shingles of a set in one row, never of a group; copies go before the shuffle.
+    whole = _set_pieces(docs, text, width, crowd.select("s")).select("s", F.flatten("pieces").alias("tokens"))
+    sets = materialise(whole.dropDuplicates(["s"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BUCKETS, np.int64)

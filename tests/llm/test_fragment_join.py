@@ -1,5 +1,7 @@
 """The n-gram join against the similarity of all pairs."""
 
+import tracemalloc
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskscope.llm import fragment_join, queries
+from riskscope.llm.words import slices
 
 
 def shingles(text):
@@ -128,3 +131,30 @@ def test_odd_rows(spark):
     want += [(10, 2, 10), (11, 2, 11), (12, 2, 11), (12, 2, 11), (None, 1, 4), (None, 0, None), (None, 1, None)]
     assert got == sorted(want, key=repr)
     assert fragment_join.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_only_wanted_pieces_make_rows(spark):
+    """Pieces outside the mask are dropped inside the row, before anything is exploded."""
+    text = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(text,), (text,), ("other words here",)], "text string")
+    h, first = fragment_join.shingle_sets(pa.array([text]))
+    key = int(fragment_join.set_keys(h, first).view(np.int64)[0])
+    wanted = spark.createDataFrame([(key, 0b1010 | -(1 << 63))], "s long, mask long")
+    found = fragment_join._contents(df, "text", 3, wanted)
+    assert "posexplode" not in found._jdf.queryExecution().toString()
+    pieces = {r.k: r.part for r in found.collect()}
+    assert sorted(pieces) == [1, 3, 63] and found.count() == 3
+    cuts = fragment_join._pieces(h, first)
+    assert all(pieces[k] == h[cuts[k] : cuts[k + 1]].view(np.int64).tolist() for k in pieces)
+
+
+def test_slices_take_little_memory():
+    """A task of Python holds the arrays of one slice, tens of times its bytes."""
+    texts = pa.array([" ".join(f"w{i % 999}" for i in range(2000))] * 400)
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    tracemalloc.start()
+    for part in slices([batch]):
+        fragment_join.shingle_sets(part.column(0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64_000_000
