@@ -9,13 +9,15 @@ That is exact. `probe` looks in the nearest `probes` cells only.
 
 Centroids and radii are shipped to every task; there are `MOST_CELLS` cells at most, whatever the
 corpus, as cells grow with it. Members of a crowded cell are dealt over parts by id, so equal
-vectors do not meet in one task. Queries are dealt to the cells they visit, never to all.
+vectors do not meet in one task. Queries are dealt to the cells they visit, never to all, a few
+of them in a row; a cell with many visitors is searched in several tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,13 @@ from riskscope.session import materialise
 CELL_ROWS = 4096
 # 4,096 centroids of 1,024 elements are 32 MB.
 MOST_CELLS = 4096
+# Visitors of a cell that one task answers, bytes of vectors in a row of them, and vectors that are dealt at a time.
+VISIT_ROWS = 1 << 16
+VISIT_BYTES = 4096
+DEALT_ROWS = 8192
+# Scores of a task, and how many of them a visit costs besides.
+TASK_SCORES = 1 << 25
+VISIT_SCORES = 2048
 # Scores are compared after rounding to 12 digits; the bound leaves room for that and for sums of doubles.
 SLACK = 1e-9
 
@@ -33,8 +42,13 @@ SLACK = 1e-9
 def unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The vectors as rows of length one, and which of them have a length; all have one size."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+    return unit_matrix(lists.flatten().to_numpy(zero_copy_only=False), len(lists))
+
+
+def unit_matrix(flat: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `unit_rows`, from the elements of so many vectors one after the other."""
+    flat = flat.astype(np.float64)
+    matrix = flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
     length = np.linalg.norm(matrix, axis=1)
     return np.divide(matrix, length[:, None], where=length[:, None] > 0, out=np.zeros_like(matrix)), length > 0
 
@@ -58,8 +72,8 @@ class Cells:
 
 
 def build_cells(corpus: DataFrame, cell_rows: int = CELL_ROWS) -> Cells:
-    """`corpus` has project, cid and vector (array<double>); null and zero vectors are left out."""
-    zero = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x) == 0
+    """`corpus` has project, cid and vector (array of float or double); null and zero vectors are left out."""
+    zero = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) == 0
     stored = materialise(corpus.where(F.col("vector").isNotNull() & ~zero))
     # Projects are counted by row; a corpus of more of them than cells has one cell for each.
     sizes = stored.groupBy("project").agg(F.count(F.lit(1)).alias("rows"))
@@ -106,8 +120,11 @@ def build_cells(corpus: DataFrame, cell_rows: int = CELL_ROWS) -> Cells:
     return Cells(members, kept)
 
 
-def _visits(queries: DataFrame, cells: Cells, mode: str, probes: int = 1) -> DataFrame:
-    """(project, qid, vector, cell): `nearest` cells of each query, or the `others` that its `least` does not rule out."""
+def _visits(queries: DataFrame, cells: Cells, mode: str, probes: int | None = None) -> DataFrame:
+    """(qid, packed, least, cell), a few visitors of a cell in a row, the bytes of their vectors one after the other.
+
+    They go to the `nearest` cell of each query, or to the `others`, of its `probes` nearest if given, that its `least` does not rule out.
+    """
     centroids = cells.centroids
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,44 +141,73 @@ def _visits(queries: DataFrame, cells: Cells, mode: str, probes: int = 1) -> Dat
                     own = np.flatnonzero([live[i] and (x == p) for i, x in enumerate(projects)])
                     names, centres, radius = centroids[p]
                     similar = unit[own] @ centres.T
-                    first = np.argsort(-similar, axis=1, kind="stable")[:, :probes]
+                    order = np.argsort(-similar, axis=1, kind="stable")
                     near = np.zeros(similar.shape, bool)
-                    np.put_along_axis(near, first, True, axis=1)
-                    # Without k rows in the nearest cell there is no bound, and every cell may help.
-                    go = near if mode == "nearest" else ~near & ~(reach(similar, radius) < least[own][:, None] - SLACK)
-                    r, c = np.nonzero(go)
+                    np.put_along_axis(near, order[:, :1], True, axis=1)
+                    go = near
+                    if mode == "others":
+                        # Without k rows in the nearest cell there is no bound, and every cell may help.
+                        go = ~near & ~(reach(similar, radius) < least[own][:, None] - SLACK)
+                        if probes is not None:
+                            np.put_along_axis(go, order[:, probes:], False, axis=1)
+                    c, r = np.nonzero(go.T)
                     rows.append(own[r])
                     numbers.append(names[c])
-                if rows:
-                    taken = batch.take(pa.array(np.concatenate(rows))).select(["project", "qid", "vector"])
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(numbers))], ["project", "qid", "vector", "cell"])
-
-    schema = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("project", "qid", "vector")) + ", cell bigint"
-    return queries.mapInArrow(fold, schema)
+                rows, numbers = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, numbers))
+                for start in range(0, len(rows), DEALT_ROWS):
+                    yield packed(batch, rows[start : start + DEALT_ROWS], numbers[start : start + DEALT_ROWS], unit.shape[1])
+
+    def packed(batch: pa.RecordBatch, rows: np.ndarray, numbers: np.ndarray, size: int) -> pa.RecordBatch:
+        taken = batch.take(pa.array(rows))
+        flat = taken.column("vector").flatten().to_numpy(zero_copy_only=False)
+        step = max(1, VISIT_BYTES // (size * flat.itemsize))
+        first = np.r_[True, numbers[1:] != numbers[:-1]]
+        inside = np.arange(len(numbers)) - np.maximum.accumulate(np.where(first, np.arange(len(numbers)), 0))
+        starts = np.flatnonzero(inside % step == 0)
+        ends = np.r_[starts, len(numbers)]
+        columns = {
+            "qid": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.column("qid")),
+            "packed": pa.array([flat[i * size : j * size].tobytes() for i, j in pairwise(ends.tolist())], pa.binary()),
+            "least": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.column("least")),
+            "cell": pa.array(numbers[starts]),
+        }
+        return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return queries.mapInArrow(fold, f"qid array<{queries.schema['qid'].dataType.simpleString()}>, packed binary, least array<double>, cell bigint")
 
 
 def _found(visits: DataFrame, cells: Cells, k: int, search) -> DataFrame:
-    """(qid, cid, similarity): k best of each query in each part of the cells that it visits."""
+    """(qid, cid, similarity): k best of each query in each part of the cells that it visits; those under its `least` may miss."""
     members = cells.members
-    ways = members.select("cell", "ways").distinct().where("ways > 1")
-    dealt = visits.join(F.broadcast(ways), "cell", "left").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)).cast("long") - 1))
-    )
+    crowds = visits.groupBy("cell").agg(F.sum(F.size("qid")).alias("visits"))
+    sizes = members.groupBy("cell").agg(F.max("ways").cast("long").alias("ways"), F.count(F.lit(1)).alias("rows"))
+    # One short row for each visited cell.
+    deal = crowds.join(sizes, "cell").select("*", F.ceil(F.col("visits") / VISIT_ROWS).cast("long").alias("slots")).collect()
+    dealt = F.broadcast(visits.sparkSession.createDataFrame([(r.cell, r.slots, r.ways) for r in deal], "cell long, slots long, ways long"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     nothing = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
-    place = F.struct("cell", "part").alias("cell")
-    both = members.select("project", place, F.lit(0).alias("side"), "cid", nothing(visits, "qid"), "vector").unionByName(
-        dealt.select("project", place, F.lit(1).alias("side"), nothing(members, "cid"), "qid", "vector")
+    place = F.struct("cell", "part", "slot").alias("place")
+    hosts = members.drop("ways").join(dealt, "cell").withColumn("slot", upto("slots"))
+    guests = (
+        visits.join(dealt, "cell")
+        .withColumn("slot", F.pmod(F.xxhash64(F.get("qid", F.lit(0))), F.col("slots")))
+        .withColumn("part", upto("ways"))
     )
-    met = both.repartition("cell").sortWithinPartitions("cell", "side", "cid")
-    kinds = f"qid {visits.schema['qid'].dataType.simpleString()}, cid {members.schema['cid'].dataType.simpleString()}, similarity double"
-    return met.select("project", F.to_json("cell").alias("cell"), "side", "cid", "qid", "vector").mapInArrow(search(k, "qid", "cid"), kinds)
-
-
-def pruned_neighbours(queries: DataFrame, cells: Cells, k: int, search) -> tuple[DataFrame, DataFrame]:
-    """Best (qid, cid, similarity, rank) rows, and (qid, visited) cells; `queries` has project, qid, vector.
-
-    `search(k, qid, cid)` folds sorted rows of one cell, its members and then its visitors.
-    """
+    both = hosts.select(
+        place, F.lit(0).alias("side"), "cid", "vector", *[nothing(visits, c) for c in ("qid", "packed", "least")]
+    ).unionByName(guests.select(place, F.lit(1).alias("side"), *[nothing(members, c) for c in ("cid", "vector")], "qid", "packed", "least"))
+    # The number of tasks is given, as rows do not tell the work; more of them than places, so that few share one.
+    places, work = sum(r.slots * r.ways for r in deal), sum(r.visits * (r.rows + VISIT_SCORES) for r in deal)
+    tasks = max(1, min(2 * places, places + 1024, -(-work // TASK_SCORES)))
+    met = both.repartition(tasks, "place").sortWithinPartitions("place", "side", "cid")
+    kinds = f"qid {visits.schema['qid'].dataType.elementType.simpleString()}, cid {members.schema['cid'].dataType.simpleString()}, similarity double"
+    return met.select("place.*", "side", "cid", "vector", "qid", "packed", "least").mapInArrow(search(k, "qid", "cid"), kinds)
+
+
+def _in_two_steps(
+    queries: DataFrame, cells: Cells, k: int, search, probes: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Best rows, visits of the nearest cells and of others: with the k-th similarity of the first, less is found in the second."""
     asked = materialise(queries.where(F.col("vector").isNotNull()).withColumn("least", F.lit(None).cast("double")))
     first = materialise(_visits(asked, cells, "nearest"))
     near = materialise(_found(first, cells, k, search))
@@ -169,15 +215,20 @@ def pruned_neighbours(queries: DataFrame, cells: Cells, k: int, search) -> tuple
     ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     kth = ranked(near).where(F.col("rank") == k).select(F.col("qid").alias("__qid"), F.col("similarity").alias("least"))
     bounded = asked.drop("least").join(kth, F.col("qid") == F.col("__qid"), "left").select("project", "qid", "vector", "least")
-    others = materialise(_visits(bounded, cells, "others"))
-    found = ranked(near.unionByName(_found(others, cells, k, search)))
-    visited = first.select("qid").unionByName(others.select("qid")).groupBy("qid").agg(F.count(F.lit(1)).alias("visited"))
-    return found, visited
+    others = materialise(_visits(bounded, cells, "others", probes))
+    return ranked(near.unionByName(_found(others, cells, k, search))), first, others
+
+
+def pruned_neighbours(queries: DataFrame, cells: Cells, k: int, search) -> tuple[DataFrame, DataFrame]:
+    """Best (qid, cid, similarity, rank) rows, and (qid, visited) cells; `queries` has project, qid, vector.
+
+    `search(k, qid, cid)` folds sorted rows of one place, the members and then their visitors.
+    """
+    found, first, others = _in_two_steps(queries, cells, k, search)
+    went = first.select(F.explode("qid").alias("qid")).unionByName(others.select(F.explode("qid").alias("qid")))
+    return found, went.groupBy("qid").agg(F.count(F.lit(1)).alias("visited"))
 
 
 def probe(queries: DataFrame, cells: Cells, k: int, search, probes: int) -> DataFrame:
     """Approximate (qid, cid, similarity, rank): the best rows of the `probes` nearest cells only."""
-    asked = queries.where(F.col("vector").isNotNull()).withColumn("least", F.lit(None).cast("double"))
-    found = _found(materialise(_visits(asked, cells, "nearest", probes)), cells, k, search)
-    best = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "cid")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _in_two_steps(queries, cells, k, search, probes)[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ TEMPLATE_TYPE = "template_info"
 # Framework classes that are never looked up.
 IGNORED_CLASSES = ["Request", "Response", "AbstractController", "Yaml", "EntityManager", "FormView"]
 
-# Scores of a nearest-neighbour join that a task holds at a time.
-SCORE_CELLS = 1 << 21
+# Scores of a nearest-neighbour join that a task holds at a time, and how many share a maximum.
+SCORE_CELLS = 1 << 20
+SCORE_GROUP = 32
 
 
 @dataclass(frozen=True)
@@ -85,12 +87,13 @@ def top_k(
 def _parts(
     queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, project: str, chunk_id: str, embedding: str
 ) -> tuple[DataFrame, DataFrame]:
+    # Floats stay floats until a task scores them in doubles.
+    floats = {queries.schema[query_vector].dataType.simpleString(), corpus.schema[embedding].dataType.simpleString()} == {"array<float>"}
+    kind = "array<float>" if floats else "array<double>"
     q = queries.select(
-        F.col(project).alias("project"), F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("vector")
-    )
-    c = corpus.select(
-        F.col(project).alias("project"), F.col(chunk_id).alias("cid"), F.col(embedding).cast("array<double>").alias("vector")
+        F.col(project).alias("project"), F.col(query_id).alias("qid"), F.col(query_vector).cast(kind).alias("vector")
     )
+    c = corpus.select(F.col(project).alias("project"), F.col(chunk_id).alias("cid"), F.col(embedding).cast(kind).alias("vector"))
     return q, c
 
 
@@ -134,13 +137,6 @@ def knn_probe(
     return found.select(F.col("qid").alias(query_id), F.col("cid").alias(chunk_id), "similarity", "rank")
 
 
-def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors as rows of length one, and which of them have a length."""
-    matrix = np.array(column.to_pylist(), dtype="float64").reshape(len(column), -1)
-    length = np.linalg.norm(matrix, axis=1)
-    return np.divide(matrix, length[:, None], where=length[:, None] > 0, out=np.zeros_like(matrix)), length > 0
-
-
 def _best_of(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, chunk row, similarity) of the k best chunks of each query; chunk rows are in id order."""
     scores = np.round(q @ c.T, 12)
@@ -155,42 +151,85 @@ def _best_of(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return row[place < k], col[place < k], scores[row, col][place < k]
 
 
+def _few_copies(c: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that have k equal ones before them, which no query has among its k best."""
+    if len(c) <= k:
+        return np.arange(len(c))
+    kind = np.unique(np.ascontiguousarray(c).view(np.dtype((np.void, c.dtype.itemsize * c.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.argsort(kind, kind="stable")
+    place = np.arange(len(c)) - np.searchsorted(kind[order], kind[order])
+    return np.sort(order[place < k])
+
+
+def _best_above(
+    q: np.ndarray, c: np.ndarray, c32: np.ndarray, k: int, least: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_best_of`, without rows under `least` (NaN: no such bound).
+
+    Scores in single precision, off by less than `margin` for rows of length one, only tell which
+    pairs cannot be among the best; the others are scored again in doubles. The k-th best of the
+    maxima of groups is a bound, as each group has a row that reaches its maximum.
+    """
+    width = len(c) // SCORE_GROUP
+    if width >= 4 * k:
+        margin = (c.shape[1] + 8) * 2.0**-24
+        scores = q.astype(np.float32) @ c32.T
+        grouped = scores[:, : SCORE_GROUP * width].reshape(len(q), SCORE_GROUP, width)
+        tops = grouped.max(axis=1)
+        bound = np.partition(tops, width - k, axis=1)[:, width - k] - 2 * margin
+        bound = np.fmax(bound, least - margin).astype(np.float32)
+        # A NaN, from a vector of infinite length, makes no bound.
+        if np.isfinite(tops).all():
+            at, group = np.divmod(np.flatnonzero(tops >= bound[:, None]), width)
+            hit, turn = np.nonzero(grouped[at, :, group] >= bound[at][:, None])
+            rest, last = np.nonzero(scores[:, SCORE_GROUP * width :] >= bound[:, None])
+            row = np.concatenate([at[hit], rest])
+            col = np.concatenate([turn * width + group[hit], last + SCORE_GROUP * width])
+            if len(row) <= scores.size // 16:
+                score = np.round(np.einsum("ij,ij->i", q[row], c[col]), 12)
+                order = np.lexsort((col, -score, row))
+                order = order[~(score < least[row])[order]]
+                row, col, score = row[order], col[order], score[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                return row[best], col[best], score[best]
+    row, col, score = _best_of(q, c, k)
+    kept = ~(score < least[row])
+    return row[kept], col[kept], score[kept]
+
+
 def _cell_nearest(k: int, query_id: str, chunk_id: str) -> Callable:
-    """Folds sorted rows: the chunks of a cell, then the queries that visit it."""
+    """Folds sorted rows: the chunks of a place, then the queries that visit it, a few in a row."""
 
-    def run(batches):
-        cell, ids, vectors_, matrix = None, [], [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, units, matrix, single = None, [], [], None, None
         for batch in batches:
-            keys = list(zip(batch.column("project").to_pylist(), batch.column("cell").to_pylist(), batch.column("side").to_pylist(), strict=True))
-            at = 0
-            while at < len(keys):
-                to = at
-                while to < len(keys) and keys[to] == keys[at]:
-                    to += 1
-                part, (project, number, side) = batch.slice(at, to - at), keys[at]
-                at = to
-                if cell != (project, number):
-                    cell, ids, vectors_, matrix = (project, number), [], [], None
-                unit, live = _unit_rows(part.column("vector"))
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "slot", "side")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for at, to in pairwise([0, *cuts.tolist(), len(keys)] if len(keys) else []):
+                part, (*here, side) = batch.slice(at, to - at), keys[at].tolist()
+                if place != here:
+                    place, ids, units, matrix = here, [], [], None
                 if side == 0:
-                    ids += [i for i, ok in zip(part.column("cid").to_pylist(), live, strict=True) if ok]
-                    vectors_.append(unit[live])
+                    unit, live = pruned_search.unit_rows(part.column("vector"))
+                    ids.append(part.column("cid").filter(pa.array(live)))
+                    units.append(unit[live])
+                    continue
+                if matrix is None and units:
+                    matrix, ids = np.concatenate(units), pa.concat_arrays(ids)
+                    few = _few_copies(matrix, k)
+                    matrix, ids, units = matrix[few], ids.take(pa.array(few)), []
+                    single = matrix.astype(np.float32)
+                names = part.column("qid").flatten()
+                kind = part.schema.field("vector").type.value_type.to_pandas_dtype()
+                unit, _ = pruned_search.unit_matrix(np.frombuffer(b"".join(part.column("packed").to_pylist()), kind), len(names))
+                least = part.column("least").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if matrix is None or not len(matrix):
                     continue
-                if matrix is None:
-                    matrix = np.concatenate(vectors_) if vectors_ else np.zeros((0, unit.shape[1]))
-                    vectors_ = []
-                names = [i for i, ok in zip(part.column("qid").to_pylist(), live, strict=True) if ok]
-                unit = unit[live]
-                step = max(1, SCORE_CELLS // max(1, len(matrix)))
-                for start in range(0, len(names) if len(ids) else 0, step):
-                    row, col, score = _best_of(unit[start : start + step], matrix, k)
+                step = max(1, SCORE_CELLS // len(matrix))
+                for start in range(0, len(unit), step):
+                    row, col, score = _best_above(unit[start : start + step], matrix, single, k, least[start : start + step])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[start + r] for r in row], part.schema.field("qid").type),
-                            pa.array([ids[j] for j in col], part.schema.field("cid").type),
-                            pa.array(score, pa.float64()),
-                        ],
-                        [query_id, chunk_id, "similarity"],
+                        [names.take(pa.array(start + row)), ids.take(pa.array(col)), pa.array(score)], [query_id, chunk_id, "similarity"]
                     )
 
     return run

@@ -67,3 +67,37 @@ def test_the_bound_holds():
     centre, members, queries = x[0], x[1:400], x[400:]
     radius = np.sqrt(2 - 2 * members @ centre).max()
     assert ((queries @ members.T).max(1) <= pruned_search.reach(queries @ centre, np.full(len(queries), radius)) + 1e-12).all()
+
+
+def test_visitors_travel_in_rows_of_many_and_a_crowded_cell_has_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    corpus = [(i, "p", rng.normal(size=8).tolist()) for i in range(700)] + [(1000 + i, "p", [0.3] * 8) for i in range(60)]
+    corpus += [(7, "p", corpus[7][2]), (None, "p", corpus[9][2])]
+    queries = [r for r in corpus[::5] if r[0] is not None]
+    c, q = frame(spark, corpus, "chunk_id", "embedding"), frame(spark, queries, "query_id", "query_vector")
+    asked, chunks = retrieval._parts(q, c, "query_id", "query_vector", "project_id", "chunk_id", "embedding")
+    cells = pruned_search.build_cells(chunks, 400)
+    visits = pruned_search._visits(asked.withColumn("least", F.lit(None).cast("double")), cells, "nearest")
+    assert visits.count() <= cells.count + len(queries) // 8
+    assert visits.agg(F.sum(F.size("qid"))).head()[0] == len(queries)
+    monkeypatch.setattr(pruned_search, "VISIT_ROWS", 16)
+    found = retrieval.knn_join(q, c, 3, cell_rows=400).collect()
+    want = nearest([(-1 if i is None else i, p, v) for i, p, v in corpus], queries, 3)
+    assert sorted((r.query_id, -1 if r.chunk_id is None else r.chunk_id, r["rank"]) for r in found) == want
+
+
+def test_scores_in_single_precision_lose_no_neighbour():
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit(np.full((300, 24), 0.2) + rng.normal(size=(300, 24)) * 1e-9)
+    c = unit(np.concatenate([rng.normal(size=(1500, 24)), near, np.repeat(rng.normal(size=(3, 24)), 200, axis=0)]))[rng.permutation(2400)]
+    q = np.concatenate([c[:90], unit(rng.normal(size=(60, 24))), near[:20]])
+    want = [x.tolist() for x in retrieval._best_of(q, c, 4)]
+    few = retrieval._few_copies(c, 4)
+    assert len(few) == 1500 + 300 + 3 * 4
+    row, col, score = retrieval._best_above(q, c[few], c[few].astype("float32"), 4, np.full(len(q), np.nan))
+    assert [row.tolist(), few[col].tolist()] == want[:2] and np.allclose(score, want[2], atol=2e-12, rtol=0)
+    least = np.where(np.arange(len(q)) % 3 == 0, np.nan, 0.6)
+    row, col, score = retrieval._best_above(q, c[few], c[few].astype("float32"), 4, least)
+    kept = [i for i, (r, s) in enumerate(zip(want[0], want[2])) if not s < least[r]]
+    assert [row.tolist(), few[col].tolist()] == [[x[i] for i in kept] for x in want[:2]]
