@@ -12,7 +12,9 @@ holds the path above each node once, and only the leaves carry it for every row.
 
 Positions come from rows that are sorted in ranges of (group, id) and written, plus an offset
 for each group and range, so no group has to fit in one task. A parent has at most `FANOUT`
-children, and no later step is keyed by group alone but for one row of each group.
+children, and no later step is keyed by group alone but for one row of each group. Joins with a
+table of paths are sorted ones at every size: its files are a hundredth of its rows in memory, as
+the digests of siblings repeat, so their size would have Spark gather it in the driver.
 
 Defined cases: a null in any field, the id and the group included, is hashed as `-`; null ids
 come first; equal ids, also of repeated rows, are ordered by leaf, which makes the tree the same
@@ -119,6 +121,7 @@ def paths(tree: Tree, above: DataFrame) -> DataFrame:
     `above` holds one row for each tree: tree, path (the way on from its root) and further columns.
     """
     extra = [c for c in above.columns if c not in ("tree", "path")]
+    above = above.hint("merge")
     known = None
     for level in reversed(tree.levels):
         found = join_on(level.where("n = 1"), above, ["tree"])
@@ -131,14 +134,14 @@ def paths(tree: Tree, above: DataFrame) -> DataFrame:
                 F.concat(_step(F.col("slot")), F.col("path")).alias("path"),
                 *extra,
             )
-            found = found.unionByName(join_on(level.where("n > 1"), down, ["tree", "pos"]))
+            found = found.unionByName(join_on(level.where("n > 1"), down.hint("merge"), ["tree", "pos"]))
         known = materialise(found.drop("node", "n"))
     lone = join_on(tree.leaves.where("n = 1"), above, ["tree"])
     if known is None:
         return lone
     placed = tree.leaves.where("n > 1").withColumn("slot", (F.col("pos") % FANOUT).cast("int"))
     placed = placed.withColumn("own", F.col("pos")).withColumn("pos", F.expr(f"pos div {FANOUT}"))
-    joined = join_on(placed, known, ["tree", "pos"])
+    joined = join_on(placed, known.hint("merge"), ["tree", "pos"])
     joined = joined.withColumn("path", F.concat(_step(F.col("slot")), F.col("path"))).withColumn("pos", F.col("own"))
     return lone.unionByName(joined.drop("slot", "own", *_SLOTS))
 
