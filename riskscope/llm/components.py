@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskscope.session import materialise
+from riskscope.session import materialise, release
 
 MAX_ROUNDS = 60
 
@@ -35,13 +35,14 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge: the label is the smallest node it can reach.
 
     `edges` has bigint columns u and v; their order, repeats and loops do not matter. Every
-    round is written to the shared folder, so no lineage grows with the rounds.
+    round is written to the shared folder, so no lineage grows with the rounds; the one before it goes.
     """
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current = materialise(ordered.distinct())
     signature = None
     for _ in range(MAX_ROUNDS):
-        current = materialise(_small_star(_large_star(current)))
+        before, current = current, materialise(_small_star(_large_star(current)))
+        release(before)
         found = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(found) == signature:
             break

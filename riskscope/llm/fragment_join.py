@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskscope.llm.components import component_labels
 from riskscope.llm.words import Scan, mix, scan, slices
-from riskscope.session import materialise
+from riskscope.session import materialise, release
 
 WIDTH = 3
 MIN_PERCENT = 90
@@ -222,43 +222,90 @@ def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _told_apart(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """(u, v, n, m, same, apart) of the pairs that may be similar: shingles in equal pieces, and the other pieces."""
+def _told_apart(pairs: DataFrame, profiles: DataFrame, percent: int, trial: int) -> DataFrame:
+    """(u, v, n, m, same, apart, left, tried, least) of the pairs that may be similar: shingles in equal pieces, and the other pieces.
+
+    `apart` has the first `trial` of these, `left` the rest as a mask. All but the rest makes `tried` - 2 * shared differences, if `shared`
+    counts the equal pieces too, and the rest `least` at the fewest.
+    """
     left, right = (profiles.select(*[F.col(c).alias(f"{x}_{c}") for c in profiles.columns]) for x in ("u", "v"))
     joined = pairs.join(left.hint("merge"), F.col("u") == F.col("u_s")).join(right.hint("merge"), F.col("v") == F.col("v_s"))
     joined = joined.withColumnsRenamed({"u_n": "n", "v_n": "m"})
     found = joined.withColumn("apart", F.expr(f"filter(sequence(0, {PIECES - 1}), k -> u_digests[k] <> v_digests[k])"))
-    least = F.expr(
-        "aggregate(apart, 0L, (d, k) -> d + greatest(abs(u_sizes[k] - v_sizes[k]), if(u_sizes[k] = v_sizes[k], 2L, 1L)))"
-    )
+    fewest = "aggregate({}, 0L, (d, k) -> d + greatest(abs(u_sizes[k] - v_sizes[k]), if(u_sizes[k] = v_sizes[k], 2L, 1L)))"
+    least = F.expr(fewest.format("apart"))
     whole = F.expr("aggregate(apart, n, (c, k) -> c - u_sizes[k])")
-    return found.where((100 + percent) * least <= (100 - percent) * (F.col("n") + F.col("m"))).select("u", "v", "n", "m", whole.alias("same"), "apart")
+    return found.where(_near_enough(least, percent)).select(
+        "u",
+        "v",
+        "n",
+        "m",
+        whole.alias("same"),
+        F.slice("apart", 1, trial).alias("apart"),
+        _mask(f"slice(apart, {trial + 1}, {PIECES})").alias("left"),
+        (2 * whole + F.expr(f"aggregate(slice(apart, 1, {trial}), 0L, (d, k) -> d + u_sizes[k] + v_sizes[k])")).alias("tried"),
+        F.expr(fewest.format(f"slice(apart, {trial + 1}, {PIECES})")).alias("least"),
+    )
+
+
+def _near_enough(differences: Column, percent: int) -> Column:
+    return (100 + percent) * differences <= (100 - percent) * (F.col("n") + F.col("m"))
+
+
+def _mask(pieces: str) -> Column:
+    return F.expr(f"aggregate({pieces}, 0L, (b, k) -> b | shiftleft(1L, k))")
+
+
+def _overlaps(pairs: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """`partial_overlaps` of stored pairs, with the contents read from `docs`; the result is stored."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("s"), _mask("apart").alias("mask"))
+    wanted = materialise(ends.groupBy("s").agg(F.bit_or("mask").alias("mask")))
+    contents = materialise(_contents(docs, text, width, wanted))
+    counted = materialise(partial_overlaps(pairs, contents))
+    release(wanted, contents)
+    return counted
 
 
 def partial_overlaps(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(u, v, n, m, shared) of the pairs (u, v, n, m, same, apart): overlaps of each piece, summed."""
+    """(u, v, n, m, …, shared) of the pairs (u, v, n, m, …, same, apart): overlaps of each piece, summed."""
+    kept = [c for c in pairs.columns if c not in ("same", "apart")]
     left, right = (contents.select(F.col("s").alias(x), "k", F.col("part").alias(f"{x}_part")) for x in ("u", "v"))
-    spread = pairs.select("u", "v", "n", "m", "same", F.explode("apart").alias("k"))
+    spread = pairs.select(*kept, "same", F.explode("apart").alias("k"))
     counted = spread.join(left.hint("merge"), ["u", "k"]).join(right.hint("merge"), ["v", "k"])
-    counted = counted.select("u", "v", "n", "m", "same", F.size(F.array_intersect("u_part", "v_part")).cast("long").alias("c"))
-    whole = [F.max(c).alias(c) for c in ("n", "m", "same")]
-    return counted.groupBy("u", "v").agg(*whole, F.sum("c").alias("c")).select("u", "v", "n", "m", (F.col("same") + F.col("c")).alias("shared"))
+    counted = counted.select(*kept, "same", F.size(F.array_intersect("u_part", "v_part")).cast("long").alias("c"))
+    whole = [F.max(c).alias(c) for c in (*kept[2:], "same")]
+    return counted.groupBy("u", "v").agg(*whole, F.sum("c").alias("c")).select(*kept, (F.col("same") + F.col("c")).alias("shared"))
 
 
 def verified_links(
-    pairs: DataFrame, profiles: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = MIN_PERCENT
+    pairs: DataFrame,
+    profiles: DataFrame,
+    docs: DataFrame,
+    text: str = "text",
+    width: int = WIDTH,
+    percent: int = MIN_PERCENT,
+    trial: int = PIECES,
 ) -> DataFrame:
     """(u, v) of the different candidate pairs (u, v) that reach the similarity.
 
-    `profiles` (s, n, sizes, digests) has one row for each set of the pairs; contents are read from `docs`.
+    `profiles` (s, n, sizes, digests) has one row for each set of the pairs; contents are read from `docs`. With a `trial`, that many
+    differing pieces are counted first, and the others only for pairs that may still be similar: one more pass over
+    the texts, and a fraction of the contents where few candidates are similar.
     """
-    close = materialise(_told_apart(pairs, profiles, percent))
-    pieces = F.expr("aggregate(apart, 0L, (b, k) -> b | shiftleft(1L, k))")
-    ends = close.select(F.explode(F.array("u", "v")).alias("s"), pieces.alias("mask"))
-    wanted = materialise(ends.groupBy("s").agg(F.bit_or("mask").alias("mask")))
-    contents = materialise(_contents(docs, text, width, wanted))
-    counted = partial_overlaps(close, contents)
-    return materialise(counted.where(similar(F.col("shared"), F.col("n"), F.col("m"), percent)).select("u", "v"))
+    close = materialise(_told_apart(pairs, profiles, percent, trial))
+    counted = _overlaps(close, docs, text, width)
+    alike = similar(F.col("shared"), F.col("n"), F.col("m"), percent)
+    if trial >= PIECES:
+        links = materialise(counted.where(alike).select("u", "v"))
+        release(close, counted)
+        return links
+    rest = F.expr(f"filter(sequence(0, {PIECES - 1}), k -> (shiftright(left, k) & 1) = 1)").alias("apart")
+    hopeful = counted.where("left <> 0").where(_near_enough(F.col("tried") - 2 * F.col("shared") + F.col("least"), percent))
+    hopeful = materialise(hopeful.select("u", "v", "n", "m", F.col("shared").alias("same"), rest))
+    whole = _overlaps(hopeful, docs, text, width)
+    links = materialise(counted.where("left = 0").where(alike).select("u", "v").union(whole.where(alike).select("u", "v")))
+    release(close, counted, hopeful, whole)
+    return links
 
 
 def crowd_pairs(crowd: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskscope.scaling import join_on
-from riskscope.session import materialise
+from riskscope.session import materialise, release
 
 MIN_DOCS = 10
 LEADING = 3
@@ -123,7 +123,10 @@ def recurring_lines(
     gone = held.join(common, "template_hash").where(
         F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_doc")) | F.col("first_doc").isNull()
     ).select("doc_id", "line_hash", "template_hash")
-    return join_on(written.select("doc_id", "line_hash", "raw_hash"), gone, ["doc_id", "line_hash"]).select("doc_id", "raw_hash", "line_hash", "template_hash")
+    dropped = join_on(written.select("doc_id", "line_hash", "raw_hash"), gone, ["doc_id", "line_hash"])
+    dropped = materialise(dropped.select("doc_id", "raw_hash", "line_hash", "template_hash"))
+    release(narrow, live, written, chosen, slots, templates, held, recurring)
+    return dropped
 
 
 def drop_recurring_lines(
